@@ -31,11 +31,21 @@ def attach_small(
 ) -> DataFrame:
     """Inner join of a big frame with a table of few rows per key.
 
-    The table is written and counted first. Up to BROADCAST_BYTES it is
-    broadcast; beyond, the big side is salted so a hot key spreads over tasks.
+    The table is written and counted first, then joined by its measured size.
     """
     small = cut_lineage(small)
-    if small.count() * row_bytes <= BROADCAST_BYTES:
+    return join_small(big, small, keys, salt_key, fits_broadcast(small, row_bytes))
+
+
+def fits_broadcast(small: DataFrame, row_bytes: int) -> bool:
+    return small.count() * row_bytes <= BROADCAST_BYTES
+
+
+def join_small(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], salt_key: Sequence[str], broadcast: bool
+) -> DataFrame:
+    """Broadcast the small side, or salt the big one so a hot key spreads over tasks."""
+    if broadcast:
         return big.join(F.broadcast(small), list(keys))
     salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
     return (
@@ -70,15 +80,16 @@ def per_block(
     group: Sequence[str],
     kernel: Callable,
     schema: str,
-    row_bytes: int,
+    broadcast: bool,
 ) -> DataFrame:
     """Run kernel(points, model rows) on every block; adds the group columns.
 
-    The kernel gets two Arrow tables and returns a dict of output columns.
+    Models are a written table; `broadcast` says whether its size was checked to
+    be small, see `fits_broadcast`. The kernel gets two Arrow tables and returns a dict of output columns.
     """
     group = list(group)
     each = counts.select(*group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    sent = attach_small(each, models, group, ["block"], row_bytes)
+    sent = join_small(each, models, group, ["block"], broadcast)
     types = dict(blocks.dtypes)
     keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
     run = _with_group(kernel, group)
@@ -120,6 +131,11 @@ def lists(array):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(array.ravel()))
 
 
+def dimension(points: DataFrame) -> int:
+    row = points.select(F.size("vector")).first()
+    return row[0] if row else 0
+
+
 def sum_arrays(column: str) -> Column:
     """Aggregate: element-wise sum of equally long arrays, combined map-side."""
     return vector_to_array(Summarizer.sum(array_to_vector(F.col(column))))

@@ -55,20 +55,21 @@ def start_centroids(
 def lloyd(
     blocks: DataFrame,
     counts: DataFrame,
-    centroids: DataFrame,
+    models: DataFrame,
     group: Sequence[str],
     max_iter: int = 300,
     tol: float = 1e-4,
+    broadcast: bool = False,
 ) -> DataFrame:
-    """Repeat assign and update until the centroids of every model stand still.
+    """Repeat assign and update until the packed centroids of every model stand still.
 
     tol bounds the summed squared shift of a model, for points of variance 1.
     """
     group = list(group)
-    moving, resting = cut_lineage(packed(centroids, group)), []
+    moving, resting = models, []
     for _ in range(max_iter):
         seen = Observation()
-        moved = step(blocks, counts, moving, group).observe(
+        moved = step(blocks, counts, moving, group, broadcast).observe(
             seen, F.sum(F.when(F.col("shift") > tol, 1).otherwise(0)).alias("moving")
         )
         moved = cut_lineage(moved)
@@ -101,14 +102,16 @@ def unpacked(models: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def step(blocks: DataFrame, counts: DataFrame, models: DataFrame, group: Sequence[str]) -> DataFrame:
+def step(
+    blocks: DataFrame, counts: DataFrame, models: DataFrame, group: Sequence[str], broadcast: bool = False
+) -> DataFrame:
     """One assign and update of packed models: group, start, k, centroids, n, cost, shift.
 
     A cluster without points keeps its centroid.
     """
     schema = "start int, k int, n array<double>, cost double, totals array<double>, previous array<double>"
     partial = B.per_block(
-        blocks, counts, models.select(*group, "start", "k", "centroids"), group, _partial_sums, schema, 64 * 1024
+        blocks, counts, models.select(*group, "start", "k", "centroids"), group, _partial_sums, schema, broadcast
     )
     summed = partial.groupBy(*group, "start", "k").agg(
         B.sum_arrays("n").alias("n"),
@@ -128,12 +131,14 @@ def step(blocks: DataFrame, counts: DataFrame, models: DataFrame, group: Sequenc
     )
 
 
-def assign(blocks: DataFrame, counts: DataFrame, models: DataFrame, group: Sequence[str]) -> DataFrame:
+def assign(
+    blocks: DataFrame, counts: DataFrame, models: DataFrame, group: Sequence[str], broadcast: bool = False
+) -> DataFrame:
     """group, usage_id, start, k, label, distance to the nearest centroid."""
     types = dict(blocks.dtypes)
     schema = f"usage_id {types['usage_id']}, start int, k int, label int, distance double"
     return B.per_block(
-        blocks, counts, models.select(*group, "start", "k", "centroids"), group, _labels, schema, 64 * 1024
+        blocks, counts, models.select(*group, "start", "k", "centroids"), group, _labels, schema, broadcast
     )
 
 
@@ -155,11 +160,13 @@ def fit(
     counts = cut_lineage(B.block_counts(points, group, block_rows))
     blocks = B.with_blocks(points.select(*group, "usage_id", "vector"), counts, group, "usage_id")
     first = start_centroids(blocks.drop("block"), group, k_range, starts, seed)
-    state = lloyd(blocks, counts, first, group, max_iter, tol)
+    models = cut_lineage(packed(first, group))
+    broadcast = B.fits_broadcast(models, 8 * max(k_range) * B.dimension(blocks))
+    state = lloyd(blocks, counts, models, group, max_iter, tol, broadcast)
     if starts > 1:
         best = state.groupBy(*group, "k").agg(F.min_by("start", F.struct("cost", "start")).alias("start"))
-        state = state.join(best, [*group, "k", "start"], "left_semi")
-    labels = cut_lineage(assign(blocks, counts, state, group))
+        state = cut_lineage(state.join(best, [*group, "k", "start"], "left_semi"))
+    labels = cut_lineage(assign(blocks, counts, state, group, broadcast))
     blocks.unpersist()
     return unpacked(state, group).drop("start"), labels.drop("start")
 
@@ -168,8 +175,9 @@ def _models(table):
     """start, k and the centroid matrix of each model among the rows."""
     import numpy as np
 
-    for row in table.select(["start", "k", "centroids"]).to_pylist():
-        yield row["start"], row["k"], np.asarray(row["centroids"]).reshape(row["k"], -1)
+    starts, sizes = table.column("start").to_pylist(), table.column("k").to_pylist()
+    for start, k, centroids in zip(starts, sizes, table.column("centroids")):
+        yield start, k, np.asarray(centroids.values).reshape(k, -1)
 
 
 def _nearest(points, centroids):

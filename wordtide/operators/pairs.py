@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
+from wordtide.operators.blocks import attach_small
 from wordtide.operators.ranking import hash_order, top_per_group
 from wordtide.operators.sampling import hash_number
 from wordtide.operators.usage import period_labels
@@ -65,7 +66,7 @@ def sample_snippets(snippets: DataFrame, periods: Sequence[str], seed: int = 42)
     # A cluster never gives away more than one text per asked period, plus what
     # other clusters lack, which is at most all cells of the word.
     n_clusters = snippets.groupBy("word").agg(F.count_distinct("cluster").alias("_clusters"))
-    bounded = unique.join(n_clusters, "word").withColumn("_most", F.col("_clusters") * n_periods)
+    bounded = attach_small(unique, n_clusters, ["word"], ["snippet_id"], 64).withColumn("_most", F.col("_clusters") * n_periods)
     salt = ["snippet_id"]
     by_cell = top_per_group(bounded, ["word", "cluster", "period"], order, F.col("_most"), salt, "_in_cell")
     by_cell = cut_lineage(by_cell.drop("_clusters"))

@@ -19,11 +19,8 @@ def usage_distribution(
     labelled: DataFrame, group: Sequence[str] = (), label: str = "cluster", period: str = "period"
 ) -> DataFrame:
     """group, cluster, period, n for every cluster 0 .. max and every period present."""
-    counts = cut_lineage(labelled.groupBy(*group, label, period).agg(F.count("*").alias("n")))
-    # Sequences up to the largest label: clusters without rows show too.
-    top = counts.groupBy(*group).agg(F.max(label).alias("_top"))
-    clusters = top.select(*group, F.explode(F.sequence(F.lit(0), F.col("_top"))).alias(label))
-    return _filled(counts, clusters, group, label, period, F.lit(0))
+    counts = labelled.groupBy(*group, label, period).agg(F.count("*").alias("n"))
+    return _filled(counts, group, label, period, F.lit(0))
 
 
 def soft_usage_distribution(
@@ -31,15 +28,17 @@ def soft_usage_distribution(
 ) -> DataFrame:
     """The same from one probability per cluster and row: sums instead of counts."""
     exploded = soft.select(*group, period, F.posexplode(probabilities).alias("cluster", "_p"))
-    sums = cut_lineage(exploded.groupBy(*group, "cluster", period).agg(F.sum("_p").alias("n")))
-    clusters = sums.select(*group, "cluster").distinct()
-    return _filled(sums, clusters, group, "cluster", period, F.lit(0.0))
+    sums = exploded.groupBy(*group, "cluster", period).agg(F.sum("_p").alias("n"))
+    return _filled(sums, group, "cluster", period, F.lit(0.0))
 
 
-def _filled(counts, clusters, group, label, period, zero):
-    # Clusters x periods of counted cells, both short lists.
-    periods = counts.select(*group, period).distinct()
-    grid = clusters.join(periods, list(group)) if group else clusters.crossJoin(periods)
+def _filled(counts: DataFrame, group: Sequence[str], label: str, period: str, zero: Column) -> DataFrame:
+    """Every cell of a group's grid; the cells come from the counts, not from the data."""
+    counts = cut_lineage(counts)
+    edges = counts.groupBy(*group).agg(F.max(label).alias("_top"), F.collect_set(period).alias("_periods"))
+    grid = edges.select(*group, F.explode(F.sequence(F.lit(0), F.col("_top"))).alias(label), "_periods").select(
+        *group, label, F.explode("_periods").alias(period)
+    )
     return grid.join(counts, [*group, label, period], "left").select(
         *group, label, period, F.coalesce("n", zero).alias("n")
     )

@@ -71,19 +71,17 @@ def project_2d(
     group = list(group)
     counts = cut_lineage(B.block_counts(points, group, block_rows))
     blocks = B.with_blocks(points.select(*group, id_col, "vector"), counts, group, id_col)
-    means = moments(points, group).select(*group, "mean")
-    row_bytes = 8 * 1024
-    partial = B.per_block(blocks, counts, means, group, _scatter, "scatter array<double>, mean array<double>", row_bytes)
+    means = cut_lineage(moments(points, group).select(*group, "mean"))
+    broadcast = B.fits_broadcast(means, 3 * 8 * B.dimension(blocks))
+    partial = B.per_block(blocks, counts, means, group, _scatter, "scatter array<double>, mean array<double>", broadcast)
     scatter = partial.groupBy(*group).agg(
         B.sum_arrays("scatter").alias("scatter"), F.first("mean").alias("mean")
     )
     types = dict(points.dtypes)
-    schema = ", ".join(f"`{g}` {types[g]}" for g in group)
-    axes = scatter.mapInArrow(_axes(group), f"{schema}, mean array<double>, axis1 array<double>, axis2 array<double>")
-    placed = B.per_block(
-        blocks, counts, axes, group, _project(id_col), f"{id_col} {types[id_col]}, x double, y double", 3 * row_bytes
-    )
-    result = cut_lineage(placed)
+    keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
+    axes = scatter.mapInArrow(_axes(group), f"{keyed}, mean array<double>, axis1 array<double>, axis2 array<double>")
+    schema = f"{id_col} {types[id_col]}, x double, y double"
+    result = cut_lineage(B.per_block(blocks, counts, cut_lineage(axes), group, _project(id_col), schema, broadcast))
     blocks.unpersist()
     return result
 
