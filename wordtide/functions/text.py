@@ -103,36 +103,37 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sentence_start(words: Column, position: Column) -> Column:
-    """Index after the nearest sentence end at or before `position`."""
+def _sentence_ends(words: Column) -> Column:
+    return F.filter(_indexes(words, lambda w, i: w.isin(SENTENCE_ENDS)), lambda i: i.isNotNull())
 
-    def search(at: Column) -> Column:
-        before = F.array_max(_indexes(words, lambda w, i: w.isin(SENTENCE_ENDS) & (i <= at)))
-        inside = (at >= 0) & (at < F.size(words))
-        return F.when(inside, F.coalesce(before, F.lit(-1)) + 1).otherwise(at + 1)
 
-    return _let(position, search)
+def _start(ends: Column, size: Column, at: Column) -> Column:
+    before = F.array_max(F.filter(ends, lambda i: i <= at))
+    inside = (at >= 0) & (at < size)
+    return F.when(inside, F.coalesce(before, F.lit(-1)) + 1).otherwise(at + 1)
 
 
-def sentence_end(words: Column, position: Column) -> Column:
-    """Index of the nearest sentence end at or after `position`."""
+def _end(ends: Column, size: Column, at: Column) -> Column:
+    return F.coalesce(F.array_min(F.filter(ends, lambda i: i >= at)), F.greatest(size, at))
 
-    def search(at: Column) -> Column:
-        after = F.array_min(_indexes(words, lambda w, i: w.isin(SENTENCE_ENDS) & (i >= at)))
-        return F.coalesce(after, F.greatest(F.size(words), at))
 
-    return _let(position, search)
+def sentence_start(words: Column, position: Column) -> Column:
+    """Index after the nearest sentence end at or before `position`."""
+    return _let(_sentence_ends(words), lambda ends: _start(ends, F.size(words), position))
+
+
+def sentence_end(words: Column, position: Column) -> Column:
+    """Index of the nearest sentence end at or after `position`."""
+    return _let(_sentence_ends(words), lambda ends: _end(ends, F.size(words), position))
 
 
 def context_window(words: Column, position: Column, width: int = 10) -> Column:
     """The target in [[ ]] with up to `width` tokens on each side."""
     first = F.greatest(position - width, F.lit(0))
-    window = F.slice(words, first + 1, position - first + width + 1)
-    marked = F.transform(
-        window,
-        lambda w, i: F.when(i == position - first, F.concat(F.lit("[["), w, F.lit("]]"))).otherwise(w),
-    )
-    return F.array_join(marked, " ")
+    before = F.array_join(F.slice(words, first + 1, position - first), " ")
+    after = F.array_join(F.slice(words, position + 2, F.lit(width)), " ")
+    marked = F.concat(F.lit("[["), F.get(words, position), F.lit("]]"))
+    return F.concat_ws(" ", F.nullif(before, F.lit("")), marked, F.nullif(after, F.lit("")))
 
 
 def snippet(
@@ -147,29 +148,40 @@ def snippet(
     target is only a part of a longer word, unless `affixation`; null too where
     fewer than `min_context` tokens stand on either side, if that is asked for.
     """
-    edges = F.struct(
-        sentence_start(words, sentence_start(words, position) - 2).alias("first"),
-        sentence_end(words, sentence_end(words, position) + 1).alias("last"),
-    )
+    size = F.size(words)
 
-    def render(word: Column, i: Column, edge: Column) -> Column:
-        is_piece = word.startswith("##")
-        return (
-            F.when((i < edge["first"]) | (i > edge["last"]), "")
-            .when(
-                i == position,
-                F.concat(F.when(is_piece, "").otherwise(" "), F.lit("[["), word, F.lit("]]")),
-            )
-            .when(is_piece, F.substr(word, F.lit(3)))
-            .when(word.isin(PADDING_TOKENS), " ")
-            .otherwise(F.concat(F.lit(" "), word))
+    def edges(ends: Column) -> Column:
+        inner = F.struct(
+            (_start(ends, size, position) - 2).alias("first"), (_end(ends, size, position) + 1).alias("last")
+        )
+        return _let(
+            inner,
+            lambda at: F.struct(
+                F.greatest(_start(ends, size, at["first"]), F.lit(0)).alias("first"),
+                _end(ends, size, at["last"]).alias("last"),
+            ),
         )
 
-    pieces = _let(edges, lambda edge: F.transform(words, lambda w, i: render(w, i, edge)))
-    text = strip(F.array_join(pieces, ""))
+    # Padding becomes an empty token, which leaves its blanks behind.
+    padded = F.arrays_overlap(words, F.array(*map(F.lit, PADDING_TOKENS)))
+    plain = F.when(padded, F.transform(words, lambda w: F.when(w.isin(PADDING_TOKENS), "").otherwise(w))).otherwise(words)
+
+    def joined(first: Column, length: Column) -> Column:
+        run = F.array_join(F.slice(plain, first + 1, length), " ")
+        return F.regexp_replace(F.concat(F.lit(" "), run), " ##", "")
+
+    target = F.get(words, position)
+    marked = F.concat(F.when(target.startswith("##"), "").otherwise(" "), F.lit("[["), target, F.lit("]]"))
+
+    def rendered(edge: Column) -> Column:
+        before = joined(edge["first"], position - edge["first"])
+        after = joined(position + 1, F.greatest(edge["last"] - position, F.lit(0)))
+        return strip(F.concat(before, marked, after))
+
+    text = _let(_let(_sentence_ends(words), edges), rendered)
     # Markup left in the corpus and its plain form, in this order.
     for markup, plain in [("< p >", ""), ("/ /", ""), ("& lt ;", "<"), ("& gt ;", ">"), ("  ", " ")]:
-        text = F.replace(text, F.lit(markup), F.lit(plain))
+        text = F.regexp_replace(text, markup, plain)
     keep = F.lit(True)
     if not affixation:
         keep = keep & ~F.coalesce(F.get(words, position + 1).startswith("##"), F.lit(False))

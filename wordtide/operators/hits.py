@@ -27,12 +27,11 @@ def collect_hits(
     sentences = sentence_table(docs, id_col, text_col)
     words = _literal_words(targets)
     if words is not None:
-        found = sentences.where(_mentions(F.col("sentence"), words)).select(
-            "*", F.posexplode(T.tokens(F.col("sentence"))).alias("start_idx", "word")
-        )
+        mentioned = sentences.where(_mentions(F.col("sentence"), words))
+        found = _exploded(mentioned, T.tokens(F.col("sentence")), "start_idx", "word")
         found = found.where(F.col("word").isin(words))
     else:
-        found = sentences.select("*", F.posexplode(T.tokens(F.col("sentence"))).alias("start_idx", "word"))
+        found = _exploded(sentences, T.tokens(F.col("sentence")), "start_idx", "word")
         found = found.join(targets.select("word").distinct(), "word", "left_semi")
     return found.select(
         "corpus_id",
@@ -46,17 +45,14 @@ def collect_hits(
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """corpus_id, sent_idx, sentence."""
-    return docs.select(
-        F.col(id_col).alias("corpus_id"),
-        F.posexplode(T.sentences(F.col(text_col))).alias("sent_idx", "sentence"),
-    )
+    texts = docs.select(F.col(id_col).alias("corpus_id"), F.col(text_col).alias("_text"))
+    return _exploded(texts, T.sentences(F.col("_text")), "sent_idx", "sentence").drop("_text")
 
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """corpus_id, sent_idx, pos, token."""
-    return sentence_table(docs, id_col, text_col).select(
-        "corpus_id", "sent_idx", F.posexplode(T.tokens(F.col("sentence"))).alias("pos", "token")
-    )
+    sentences = sentence_table(docs, id_col, text_col)
+    return _exploded(sentences, T.tokens(F.col("sentence")), "pos", "token").drop("sentence")
 
 
 def hit_contexts(
@@ -66,31 +62,42 @@ def hit_contexts(
 
     Columns: corpus_id, sent_idx, start_idx, word, context, position (in context).
     """
-    sentences = docs.select(F.col(id_col).alias("corpus_id"), T.sentences(F.col(text_col)).alias("all"))
-    own = sentences.select("*", F.posexplode("all").alias("sent_idx", "sentence"))
-    own = own.where(_mentions(F.col("sentence"), list(targets)))
-    neighbour = lambda step: F.coalesce(F.get("all", F.col("sent_idx") + step), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("corpus_id"), T.sentences(F.col(text_col)).alias("all"))
+    # Each sentence is zipped with its neighbours before the explode, so rows
+    # carry three sentences and not their whole document.
+    edge = F.array(F.lit(""))
+    size = F.size("all")
+    triples = F.arrays_zip(
+        F.col("all").alias("sentence"),
+        F.concat(edge, F.slice("all", F.lit(1), size)).alias("before"),
+        F.concat(F.slice("all", F.lit(2), size), edge).alias("after"),
+    )
+    own = _exploded(texts, F.slice(triples, F.lit(1), size), "sent_idx", "t").drop("all")
+    own = own.where(_mentions(F.col("t.sentence"), list(targets)))
     windows = own.select(
         "corpus_id",
         "sent_idx",
-        T.tokens(F.col("sentence")).alias("words"),
-        T.tokens(neighbour(-1)).alias("before"),
-        T.tokens(neighbour(1)).alias("after"),
+        T.tokens(F.col("t.sentence")).alias("words"),
+        T.tokens(F.col("t.before")).alias("before"),
+        T.tokens(F.col("t.after")).alias("after"),
     )
-    return (
-        windows.select("*", F.posexplode("words").alias("start_idx", "word"))
-        .where(F.col("word").isin(list(targets)))
-        .select(
-            "corpus_id",
-            "sent_idx",
-            "start_idx",
-            "word",
-            F.concat("before", "words", "after").alias("context"),
-            (F.size("before") + F.col("start_idx")).alias("position"),
-        )
+    found = _exploded(windows, F.col("words"), "start_idx", "word")
+    return found.where(F.col("word").isin(list(targets))).select(
+        "corpus_id",
+        "sent_idx",
+        "start_idx",
+        "word",
+        F.concat("before", "words", "after").alias("context"),
+        (F.size("before") + F.col("start_idx")).alias("position"),
     )
 
 
+def _exploded(df: DataFrame, array: Column, position: str, element: str) -> DataFrame:
+    """posexplode without the non-empty filter Spark puts before it, which would
+    run the array's regular expression a second and a third time."""
+    return df.select("*", F.posexplode_outer(array).alias(position, element)).where(F.col(element).isNotNull())
+
+
 def attach_year(hits: DataFrame, papers: DataFrame, id_col: str, year: Column) -> DataFrame:
     """Left join on the paper id; only id and year of the papers are read.
 

@@ -216,14 +216,17 @@ def _labels(points, models):
     import pyarrow as pa
 
     vectors = B.matrix(points, "vector")
-    found = [(s, k, *_nearest(vectors, c)) for s, k, c in _models(models)]
+    found = []
+    for start, k, centroids in _models(models):
+        labels, _ = _nearest(vectors, centroids)
+        found.append((start, k, labels, np.linalg.norm(vectors - centroids[labels], axis=1)))
     rows = len(vectors)
     return {
         "usage_id": pa.concat_arrays([points.column("usage_id").combine_chunks()] * len(found)),
         "start": pa.array(np.repeat([f[0] for f in found], rows).astype("int32")),
         "k": pa.array(np.repeat([f[1] for f in found], rows).astype("int32")),
         "label": pa.array(np.concatenate([f[2] for f in found]).astype("int32")),
-        "distance": pa.array(np.sqrt(np.concatenate([f[3] for f in found]))),
+        "distance": pa.array(np.concatenate([f[3] for f in found])),
     }
 
 

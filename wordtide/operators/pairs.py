@@ -71,7 +71,7 @@ def sample_snippets(snippets: DataFrame, periods: Sequence[str], seed: int = 42)
     by_cell = top_per_group(bounded, ["word", "cluster", "period"], order, F.col("_most"), salt, "_in_cell")
     by_cell = cut_lineage(by_cell.drop("_clusters"))
 
-    asked = F.col("period").isin(list(periods))
+    asked = F.coalesce(F.col("period").isin(list(periods)), F.lit(False))
     own = by_cell.where(asked & (F.col("_in_cell") == 1)).select("word", "cluster", "period", "snippet_id", "text")
     left = by_cell.where(~(asked & (F.col("_in_cell") == 1)))
     empty = cells.join(own, ["word", "cluster", "period"], "left_anti")

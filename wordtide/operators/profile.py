@@ -57,7 +57,8 @@ def binned_attribute_counts(
 
 def shares(counts: DataFrame, places: int = 2) -> DataFrame:
     """Adds proportion = n / total, rounded half to even; null for an empty period."""
-    return counts.withColumn("proportion", F.bround(F.try_divide("n", "total"), places))
+    scale = 10.0**places
+    return counts.withColumn("proportion", F.rint(F.try_divide("n", "total") * scale) / scale)
 
 
 def pivot_shares(

@@ -106,6 +106,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, keys: Sequence[str
 
 def prototypes(
     assigned: DataFrame,
+    contexts: DataFrame,
     group: Sequence[str] = ("word", "cluster"),
     n: int = 5,
     window: int = 10,
@@ -113,11 +114,15 @@ def prototypes(
 ) -> DataFrame:
     """The n members nearest to the centroid of each cluster, as text; repeats once.
 
-    Input: group, usage_id, distance, context (tokens), position.
+    assigned: group, usage_id, distance. contexts: usage_id, context (tokens),
+    position; they are looked up for the chosen members only.
     """
     order = F.col("distance").desc() if farthest else F.col("distance").asc()
-    picked = top_per_group(assigned, group, [order, F.col("usage_id")], n, ["usage_id"])
-    shown = picked.withColumn("text", T.context_window(F.col("context"), F.col("position"), window))
+    members = assigned.select(*group, "usage_id", "distance")
+    picked = top_per_group(members, group, [order, F.col("usage_id")], n, ["usage_id"])
+    shown = picked.join(contexts, "usage_id").withColumn(
+        "text", T.context_window(F.col("context"), F.col("position"), window)
+    )
     return shown.groupBy(*group, "text").agg(F.min("rank").alias("rank")).select(*group, "rank", "text")
 
 
