@@ -55,21 +55,21 @@ def sample_snippets(snippets: DataFrame, periods: Sequence[str], seed: int = 42)
     keyed = snippets.withColumn("_hash", hash_order("snippet_id", seed=seed))
     # One home cell per word and text, the one of its first row in hash order.
     homes = keyed.groupBy("word", "text").agg(
-        F.min(F.struct("_hash", "snippet_id", "cluster", "period")).alias("_home")
-    )
-    unique = homes.select("word", "text", "_home.*")
-    cells = snippets.select("word", "cluster").distinct().withColumn(
-        "period", F.explode(F.array(*[F.lit(p) for p in periods]))
+        F.min(F.struct("_hash", "snippet_id", "cluster", "period")).alias("_home"),
+        F.collect_set("cluster").alias("_clusters"),
     )
+    # Written once: the steps below read it several times.
+    homes = cut_lineage(homes)
+    clusters = cut_lineage(homes.select("word", F.explode("_clusters").alias("cluster")).distinct())
+    cells = clusters.withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
     order = [F.col("_hash"), F.col("snippet_id")]
-    n_periods = len(periods)
-    # A cluster never gives away more than one text per asked period, plus what
-    # other clusters lack, which is at most all cells of the word.
-    n_clusters = snippets.groupBy("word").agg(F.count_distinct("cluster").alias("_clusters"))
-    bounded = attach_small(unique, n_clusters, ["word"], ["snippet_id"], 64).withColumn("_most", F.col("_clusters") * n_periods)
+    # A word never needs more texts of one cell or cluster than it has cells.
+    most = clusters.groupBy("word").agg((F.count("*") * len(periods)).alias("_most"))
+    unique = homes.select("word", "text", "_home.*")
+    bounded = attach_small(unique, most, ["word"], ["snippet_id"], 64)
     salt = ["snippet_id"]
     by_cell = top_per_group(bounded, ["word", "cluster", "period"], order, F.col("_most"), salt, "_in_cell")
-    by_cell = cut_lineage(by_cell.drop("_clusters"))
+    by_cell = cut_lineage(by_cell)
 
     asked = F.coalesce(F.col("period").isin(list(periods)), F.lit(False))
     own = by_cell.where(asked & (F.col("_in_cell") == 1)).select("word", "cluster", "period", "snippet_id", "text")
