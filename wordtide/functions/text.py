@@ -136,18 +136,8 @@ def context_window(words: Column, position: Column, width: int = 10) -> Column:
     return F.concat_ws(" ", F.nullif(before, F.lit("")), marked, F.nullif(after, F.lit("")))
 
 
-def snippet(
-    words: Column,
-    position: Column,
-    affixation: bool = False,
-    min_context: int | None = None,
-) -> Column:
-    """Readable text of the target's sentence and its two neighbours.
-
-    Word pieces are rejoined and the target is put in [[ ]]. Null where the
-    target is only a part of a longer word, unless `affixation`; null too where
-    fewer than `min_context` tokens stand on either side, if that is asked for.
-    """
+def snippet_edges(words: Column, position: Column) -> Column:
+    """First and last token of the target's sentence and its two neighbours."""
     size = F.size(words)
 
     def edges(ends: Column) -> Column:
@@ -162,6 +152,11 @@ def snippet(
             ),
         )
 
+    return _let(_sentence_ends(words), edges)
+
+
+def snippet_text(words: Column, position: Column, edge: Column) -> Column:
+    """Readable text between the edges: word pieces rejoined, the target in [[ ]]."""
     # Padding becomes an empty token, which leaves its blanks behind.
     padded = F.arrays_overlap(words, F.array(*map(F.lit, PADDING_TOKENS)))
     plain = F.when(padded, F.transform(words, lambda w: F.when(w.isin(PADDING_TOKENS), "").otherwise(w))).otherwise(words)
@@ -172,22 +167,26 @@ def snippet(
 
     target = F.get(words, position)
     marked = F.concat(F.when(target.startswith("##"), "").otherwise(" "), F.lit("[["), target, F.lit("]]"))
+    before = joined(edge["first"], position - edge["first"])
+    after = joined(position + 1, F.greatest(edge["last"] - position, F.lit(0)))
+    text = strip(F.concat(before, marked, after))
+    # Markup left in the corpus and its plain form, in this order.
+    for markup, replacement in [("< p >", ""), ("/ /", ""), ("& lt ;", "<"), ("& gt ;", ">"), ("  ", " ")]:
+        text = F.regexp_replace(text, markup, replacement)
+    return text
 
-    def rendered(edge: Column) -> Column:
-        before = joined(edge["first"], position - edge["first"])
-        after = joined(position + 1, F.greatest(edge["last"] - position, F.lit(0)))
-        return strip(F.concat(before, marked, after))
 
-    text = _let(_let(_sentence_ends(words), edges), rendered)
-    # Markup left in the corpus and its plain form, in this order.
-    for markup, plain in [("< p >", ""), ("/ /", ""), ("& lt ;", "<"), ("& gt ;", ">"), ("  ", " ")]:
-        text = F.regexp_replace(text, markup, plain)
-    keep = F.lit(True)
+def snippet_wanted(
+    words: Column, position: Column, affixation: bool = False, min_context: int | None = None
+) -> Column:
+    """False where the target is only a part of a longer word, unless `affixation`,
+    and where fewer than `min_context` tokens stand on either side, if asked for."""
+    wanted = F.lit(True)
     if not affixation:
-        keep = keep & ~F.coalesce(F.get(words, position + 1).startswith("##"), F.lit(False))
+        wanted = wanted & ~F.coalesce(F.get(words, position + 1).startswith("##"), F.lit(False))
     if min_context is not None:
-        keep = keep & (position >= min_context) & (F.size(words) - position > min_context)
-    return F.when(keep, text)
+        wanted = wanted & (position >= min_context) & (F.size(words) - position > min_context)
+    return wanted
 
 
 def trim_around_target(text: Column, offset: Column, from_start: Column) -> Column:

@@ -113,24 +113,6 @@ def _with_group(kernel: Callable, group: list[str]) -> Callable:
     return run
 
 
-def matrix(table, column: str):
-    """Arrow list column as a two-dimensional array."""
-    import numpy as np
-
-    values = table.column(column).combine_chunks()
-    return np.asarray(values.flatten()).reshape(len(values), -1)
-
-
-def lists(array):
-    """Two-dimensional array as an Arrow list column."""
-    import numpy as np
-    import pyarrow as pa
-
-    array = np.ascontiguousarray(array, dtype="float64")
-    ends = np.arange(array.shape[0] + 1, dtype="int32") * array.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(array.ravel()))
-
-
 def dimension(points: DataFrame) -> int:
     row = points.select(F.size("vector")).first()
     return row[0] if row else 0

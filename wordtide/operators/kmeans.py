@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wordtide.functions.vectors import squared_distance
 from wordtide.operators import blocks as B
+from wordtide.operators.arrays import lists, matrix
 from wordtide.operators.ranking import hash_order
 from wordtide.operators.sampling import sample_per_group
 from wordtide.session import cut_lineage
@@ -193,7 +194,7 @@ def _partial_sums(points, models):
     import numpy as np
     import pyarrow as pa
 
-    vectors = B.matrix(points, "vector")
+    vectors = matrix(points, "vector")
     rows = []
     for start, k, centroids in _models(models):
         labels, gaps = _nearest(vectors, centroids)
@@ -215,7 +216,7 @@ def _labels(points, models):
     import numpy as np
     import pyarrow as pa
 
-    vectors = B.matrix(points, "vector")
+    vectors = matrix(points, "vector")
     found = []
     for start, k, centroids in _models(models):
         labels, _ = _nearest(vectors, centroids)
@@ -236,7 +237,7 @@ def _plus_plus(group, size, starts, seed):
         import pyarrow as pa
 
         table = table.sort_by("_order")
-        vectors = B.matrix(table, "vector")
+        vectors = matrix(table, "vector")
         rows = []
         for start in range(starts):
             draw = np.random.default_rng([seed, start])
@@ -254,7 +255,7 @@ def _plus_plus(group, size, starts, seed):
                 **names,
                 "start": pa.array([r[0] for r in rows], "int32"),
                 "place": pa.array([r[1] for r in rows], "int32"),
-                "centroid": B.lists(vectors[[r[2] for r in rows]]),
+                "centroid": lists(vectors[[r[2] for r in rows]]),
             }
         )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wordtide.operators import blocks as B
 from wordtide.operators import kmeans as K
+from wordtide.operators.arrays import lists, matrix
 from wordtide.operators.scores import information_criteria
 from wordtide.session import cut_lineage
 
@@ -188,7 +189,7 @@ def _expect(points, models):
     import numpy as np
     import pyarrow as pa
 
-    x = B.matrix(points, "vector")
+    x = matrix(points, "vector")
     rows = []
     for kind, k, start, weights, means, flat in _read_models(models):
         share, likelihood = _responsibilities(x, kind, weights, means, flat)
@@ -258,7 +259,7 @@ def _predict(points, models):
     import numpy as np
     import pyarrow as pa
 
-    x = B.matrix(points, "vector")
+    x = matrix(points, "vector")
     parts = []
     for kind, k, _, weights, means, flat in _read_models(models):
         share, _ = _responsibilities(x, kind, weights, means, flat)
@@ -269,7 +270,7 @@ def _predict(points, models):
                     "covariance": pa.array([kind] * len(x)),
                     "k": pa.array([k] * len(x), "int32"),
                     "label": pa.array(share.argmax(axis=1).astype("int32")),
-                    "prob": B.lists(share),
+                    "prob": lists(share),
                 }
             )
         )

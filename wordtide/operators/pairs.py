@@ -19,6 +19,21 @@ from wordtide.session import cut_lineage
 EXCLUDED_WORDS = ["address", "mean"]
 
 
+def with_snippets(usages: DataFrame, affixation: bool = False, min_context: int | None = None) -> DataFrame:
+    """Adds `text`, the snippet of each usage's context; usages without one go.
+
+    The test comes before the text is made. The edges are a column of their own:
+    they are used several times.
+    """
+    words, position = F.col("context"), F.col("position")
+    return (
+        usages.where(T.snippet_wanted(words, position, affixation, min_context))
+        .withColumn("_edge", T.snippet_edges(words, position))
+        .withColumn("text", T.snippet_text(words, position, F.col("_edge")))
+        .drop("_edge")
+    )
+
+
 def prepare_snippets(
     usages: DataFrame,
     labels: dict | None = None,
@@ -27,19 +42,15 @@ def prepare_snippets(
 ) -> DataFrame:
     """word, cluster, period, snippet_id, text from usages with context and position.
 
-    Usages: word, cluster, period, usage_id, context, position. Null snippets go.
+    Usages: word, cluster, period, usage_id, context, position.
     """
-    text = T.snippet(F.col("context"), F.col("position"), affixation)
-    return (
-        usages.where(~F.col("word").isin(list(excluded)))
-        .select(
-            "word",
-            "cluster",
-            period_labels(F.col("period"), labels).alias("period"),
-            F.col("usage_id").alias("snippet_id"),
-            text.alias("text"),
-        )
-        .dropna(subset=["text"])
+    kept = usages.where(~F.col("word").isin(list(excluded)))
+    return with_snippets(kept, affixation).select(
+        "word",
+        "cluster",
+        period_labels(F.col("period"), labels).alias("period"),
+        F.col("usage_id").alias("snippet_id"),
+        "text",
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordtide.operators import blocks as B
+from wordtide.operators.arrays import lists, matrix
 from wordtide.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -114,7 +115,7 @@ def _pair_sums(group, sizes):
             return pa.table({})
         same = key[-2].as_py() == key[-1].as_py()
         sides = [(left, right)] if same else [(left, right), (right, left)]
-        x, y = B.matrix(left, "vector"), B.matrix(right, "vector")
+        x, y = matrix(left, "vector"), matrix(right, "vector")
         squares = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :]
         gaps = np.sqrt(np.maximum(squares - 2 * x @ y.T, 0.0))
         if same:
@@ -130,7 +131,7 @@ def _pair_sums(group, sizes):
                     {
                         "usage_id": mine.column("usage_id"),
                         "labels": mine.column("labels"),
-                        "sums": B.lists(np.concatenate([sums, sizes_here], axis=1)),
+                        "sums": lists(np.concatenate([sums, sizes_here], axis=1)),
                     }
                 )
             )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wordtide.functions.vectors import as_doubles, cosine_similarity
 from wordtide.operators import blocks as B
+from wordtide.operators.arrays import lists, matrix
 from wordtide.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,9 +88,9 @@ def project_2d(
 
 
 def _scatter(points, models):
-    centred = B.matrix(points, "vector") - B.matrix(models, "mean")[0]
+    centred = matrix(points, "vector") - matrix(models, "mean")[0]
     total = centred.T @ centred
-    return {"scatter": B.lists(total.reshape(1, -1)), "mean": B.lists(B.matrix(models, "mean")[:1])}
+    return {"scatter": lists(total.reshape(1, -1)), "mean": lists(matrix(models, "mean")[:1])}
 
 
 def _axes(group):
@@ -101,7 +102,7 @@ def _axes(group):
             table = pa.Table.from_batches([batch])
             if not table.num_rows:
                 continue
-            means = B.matrix(table, "mean")
+            means = matrix(table, "mean")
             first, second = [], []
             # One d x d matrix per group: its size depends on the dimensions only.
             for flat in table.column("scatter").combine_chunks():
@@ -114,7 +115,7 @@ def _axes(group):
                 first.append(top[0])
                 second.append(top[1] if size > 1 else np.zeros(size))
             columns = {g: table.column(g) for g in group}
-            out = {"mean": B.lists(means), "axis1": B.lists(np.stack(first)), "axis2": B.lists(np.stack(second))}
+            out = {"mean": lists(means), "axis1": lists(np.stack(first)), "axis2": lists(np.stack(second))}
             yield from pa.table({**columns, **out}).to_batches()
 
     return run
@@ -124,11 +125,11 @@ def _project(id_col):
     def kernel(points, models):
         import pyarrow as pa
 
-        centred = B.matrix(points, "vector") - B.matrix(models, "mean")[0]
+        centred = matrix(points, "vector") - matrix(models, "mean")[0]
         return {
             id_col: points.column(id_col),
-            "x": pa.array(centred @ B.matrix(models, "axis1")[0]),
-            "y": pa.array(centred @ B.matrix(models, "axis2")[0]),
+            "x": pa.array(centred @ matrix(models, "axis1")[0]),
+            "y": pa.array(centred @ matrix(models, "axis2")[0]),
         }
 
     return kernel

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordtide.functions import text as T
 from wordtide.functions.periods import decade, period
 from wordtide.operators import colloc, hits as H, profile as P
+from wordtide.operators.pairs import with_snippets
 from wordtide.plans.time_profile import hits_over_time
 from wordtide.registry.common import (
     BINS, BOUNDS, CONTEXTS, HITS, SENTENCES, SNIPPETS, TOKENS, WORDS, documents, rounded, table, with_parts, year_of,
@@ -62,9 +63,7 @@ def sentence_bounds(spark, sf):
 
 def snippet(spark, sf):
     contexts = H.hit_contexts(documents(spark, sf), WORDS)
-    return contexts.select(
-        "corpus_id", "sent_idx", "start_idx", "word", T.snippet(F.col("context"), F.col("position")).alias("text")
-    )
+    return with_snippets(contexts).select("corpus_id", "sent_idx", "start_idx", "word", "text")
 
 
 def trim_snippet(spark, sf):
