@@ -15,6 +15,8 @@ from wordtide.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PAIR_ROWS = 500
+
 
 def calinski_harabasz(labelled: DataFrame, group: Sequence[str], label: str = "label") -> DataFrame:
     """group, score: (between / (k - 1)) / (within / (n - k)), one pass over the points."""
@@ -114,24 +116,32 @@ def _pair_sums(group, sizes):
         if not left.num_rows or not right.num_rows:
             return pa.table({})
         same = key[-2].as_py() == key[-1].as_py()
-        sides = [(left, right)] if same else [(left, right), (right, left)]
         x, y = matrix(left, "vector"), matrix(right, "vector")
-        squares = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :]
-        gaps = np.sqrt(np.maximum(squares - 2 * x @ y.T, 0.0))
-        if same:
-            ids = left.column("usage_id").to_numpy(), right.column("usage_id").to_numpy()
-            gaps[ids[0][:, None] == ids[1][None, :]] = 0.0
+        ids, other_ids = left.column("usage_id").to_numpy(), right.column("usage_id").to_numpy()
+        members, other_members = _members(left, sizes), _members(right, sizes)
+        sums, other_sums = [], np.zeros((len(y), sum(sizes)))
+        # Some rows of distances at a time: never the whole square in memory.
+        for at in range(0, len(x), PAIR_ROWS):
+            part = slice(at, at + PAIR_ROWS)
+            squares = (x[part] ** 2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :]
+            gaps = np.sqrt(np.maximum(squares - 2 * x[part] @ y.T, 0.0))
+            if same:
+                gaps[ids[part][:, None] == other_ids[None, :]] = 0.0
+            sums.append(gaps @ other_members)
+            if not same:
+                other_sums += gaps.T @ members[part]
+        sides = [(left, np.concatenate(sums), other_members)]
+        if not same:
+            sides.append((right, other_sums, members))
         parts = []
-        for turn, (mine, theirs) in enumerate(sides):
-            member = _members(theirs, sizes)
-            sums = (gaps if turn == 0 else gaps.T) @ member
-            sizes_here = np.broadcast_to(member.sum(axis=0), sums.shape)
+        for mine, total, behind in sides:
+            counted = np.broadcast_to(behind.sum(axis=0), total.shape)
             parts.append(
                 pa.table(
                     {
                         "usage_id": mine.column("usage_id"),
                         "labels": mine.column("labels"),
-                        "sums": lists(np.concatenate([sums, sizes_here], axis=1)),
+                        "sums": lists(np.concatenate([total, counted], axis=1)),
                     }
                 )
             )

@@ -29,9 +29,13 @@ def clean_corpus(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def hits_by_word(df: DataFrame, path: str) -> None:
-    """CSV, one folder per word; a word without hits gets none."""
+    """CSV, one folder per word; a word without hits gets none.
+
+    Rows are rebalanced by word first: rare words end in one file each, a
+    frequent word is split over many, whatever the number of scan tasks.
+    """
     columns = ["corpus_id", "sentence", "start_idx", "end_idx", "word"]
-    df.select(columns).write.mode("overwrite").partitionBy("word").csv(
+    df.select(columns).hint("rebalance", "word").write.mode("overwrite").partitionBy("word").csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
@@ -54,7 +58,8 @@ def pair_sheet(pairs: DataFrame, path: str, control: bool = False) -> None:
 
 
 def json_by_word(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("word").json(path)
+    """JSON lines, one folder per word, rebalanced as in `hits_by_word`."""
+    df.hint("rebalance", "word").write.mode("overwrite").partitionBy("word").json(path)
 
 
 def finished_words(spark: SparkSession, path: str) -> DataFrame:
