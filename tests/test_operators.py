@@ -191,7 +191,8 @@ def silhouette_of(x, labels):
 
 
 @pytest.mark.parametrize("block_rows", [1000, 9])
-def test_silhouette_equals_brute_force(spark, block_rows):
+def test_silhouette_equals_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(scores, "PAIR_ROWS", 4)
     x, df = points(spark, n=50, words=1)
     a, b = np.arange(50) % 3, np.where(np.arange(50) == 0, 1, 0)
     labels = spark.createDataFrame([(i, [int(a[i]), int(b[i])]) for i in range(50)], "usage_id long, labels array<int>")

@@ -68,7 +68,8 @@ def with_blocks(points: DataFrame, counts: DataFrame, group: Sequence[str], id_c
     joined = attach_small(points, counts.select(*group, "blocks"), group, [id_col], 64)
     block = F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")
     keys = [*group, "block"]
-    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(most, counts.agg(F.sum("blocks")).first()[0] or 1)
     placed = joined.withColumn("block", block).drop("blocks").repartition(partitions, *keys)
     return placed.sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
 
