@@ -314,9 +314,9 @@ def test_prototypes_nearest_or_farthest(spark):
     rows = [("w", 0, i, float(i)) for i in range(6)]
     assigned = spark.createDataFrame(rows, "word string, cluster int, usage_id long, distance double")
     contexts = spark.createDataFrame([(i, ["a", f"t{i // 2}", "z"], 1) for i in range(6)], "usage_id long, context array<string>, position int")
-    near = U.prototypes(assigned, contexts, n=3).orderBy("rank").collect()
+    near = U.prototypes(U.nearest_members(assigned, n=3), contexts).orderBy("rank").collect()
     assert [(r["rank"], r["text"]) for r in near] == [(1, "a [[t0]] z"), (3, "a [[t1]] z")]
-    far = U.prototypes(assigned, contexts, n=2, farthest=True).collect()
+    far = U.prototypes(U.nearest_members(assigned, n=2, farthest=True), contexts).collect()
     assert [(r["rank"], r["text"]) for r in far] == [(1, "a [[t2]] z")]
 
 

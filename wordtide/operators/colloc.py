@@ -86,17 +86,17 @@ def without(targets: Sequence[str]) -> Callable[..., Column]:
 
 
 def likelihood_ratio(
-    counts: DataFrame, min_count: int = 3, remove: Callable[..., Column] | None = None
+    bigrams: DataFrame, min_count: int = 3, remove: Callable[..., Column] | None = None
 ) -> DataFrame:
-    """w1, w2, n, llr for the frequent bigrams; margins come from all bigrams.
+    """w1, w2, n, llr of the frequent bigrams; margins come from all tokens.
 
-    The word counts are sums over the bigram counts. Those are written once, as
-    the filters differ per use and the text would be read again for each.
+    Input are the bigrams themselves, one row per token. Word counts are written
+    once and looked up three times; bigrams that `remove` takes out are filtered
+    before they are counted, so only the wanted ones are shuffled.
     """
-    counts = cut_lineage(counts)
-    unigrams = counts.groupBy("w1").agg(F.sum("n").alias("_count"))
+    unigrams = cut_lineage(bigrams.groupBy("w1").agg(F.count("*").alias("_count")))
     total = unigrams.agg(F.sum("_count").alias("_all"))
-    pairs = frequent(counts, min_count, remove)
+    pairs = frequent(ngram_counts(bigrams), min_count, remove)
     first = unigrams.select("w1", F.col("_count").alias("_n1"))
     second = unigrams.select(F.col("w1").alias("w2"), F.col("_count").alias("_n2"))
     # `total` is a single row.

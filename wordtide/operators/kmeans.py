@@ -13,7 +13,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from wordtide.functions.vectors import squared_distance
 from wordtide.operators import blocks as B
 from wordtide.operators.arrays import lists, matrix
 from wordtide.operators.ranking import hash_order
@@ -120,16 +119,12 @@ def step(
         B.sum_arrays("totals").alias("totals"),
         F.first("previous").alias("previous"),
     )
-    size = F.size("totals") / F.col("k")
-
-    def mean(total, i):
-        n = F.get("n", F.floor(i / size).cast("int"))
-        return F.when(n > 0, total / n).otherwise(F.get("previous", i))
-
-    moved = summed.withColumn("centroids", F.transform("totals", mean))
-    return moved.withColumn("shift", squared_distance(F.col("centroids"), F.col("previous"))).select(
-        *group, "start", "k", "centroids", "n", "cost", "shift"
-    )
+    # Element i belongs to cluster floor(i / dimensions).
+    of = "n[cast(floor(i / (size(totals) / k)) as int)]"
+    mean = f"transform(totals, (t, i) -> if({of} > 0, t / {of}, previous[i]))"
+    gap = "aggregate(zip_with(centroids, previous, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
+    kept = [*group, "start", "k", "centroids", "n", "cost"]
+    return summed.selectExpr("*", f"{mean} as centroids").selectExpr(*kept, f"{gap} as shift")
 
 
 def assign(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wordtide.functions.periods import PERIOD_BOUNDS, period, period_table
 from wordtide.operators.ranking import text_offset
+from wordtide.session import cut_lineage
 
 
 def hits_per_period(
@@ -42,7 +43,8 @@ def binned_attribute_counts(
     df: DataFrame, time: str, attribute: str, bounds: Sequence[int] = PERIOD_BOUNDS
 ) -> DataFrame:
     """As `attribute_counts` for binned periods: every pair of bin and value, 0 if absent."""
-    counted = df.groupBy(time, attribute).agg(F.count("*").alias("n"))
+    # Counts are few and used three times below: compute them once.
+    counted = cut_lineage(df.groupBy(time, attribute).agg(F.count("*").alias("n")))
     totals = counted.where(F.col(time).isNotNull()).groupBy(time).agg(F.sum("n").alias("total"))
     labels = period_table(df.sparkSession, bounds).select(F.col("period").alias(time))
     values = counted.select(attribute).dropna().distinct()

@@ -104,23 +104,26 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, keys: Sequence[str
     )
 
 
-def prototypes(
-    assigned: DataFrame,
-    contexts: DataFrame,
-    group: Sequence[str] = ("word", "cluster"),
-    n: int = 5,
-    window: int = 10,
-    farthest: bool = False,
+def nearest_members(
+    assigned: DataFrame, group: Sequence[str] = ("word", "cluster"), n: int = 5, farthest: bool = False
 ) -> DataFrame:
-    """The n members nearest to the centroid of each cluster, as text; repeats once.
+    """group, usage_id, rank: the n members nearest to the centroid of each cluster.
 
-    assigned: group, usage_id, distance. contexts: usage_id, context (tokens),
-    position; they are looked up for the chosen members only.
+    assigned: group, usage_id, distance.
     """
     order = F.col("distance").desc() if farthest else F.col("distance").asc()
     members = assigned.select(*group, "usage_id", "distance")
-    picked = top_per_group(members, group, [order, F.col("usage_id")], n, ["usage_id"])
-    shown = picked.join(contexts, "usage_id").withColumn(
+    return top_per_group(members, group, [order, F.col("usage_id")], n, ["usage_id"]).drop("distance")
+
+
+def prototypes(
+    members: DataFrame, contexts: DataFrame, group: Sequence[str] = ("word", "cluster"), window: int = 10
+) -> DataFrame:
+    """group, rank, text: the chosen members as text; a text shows once per cluster.
+
+    contexts: usage_id, context (tokens), position, at least of the members.
+    """
+    shown = members.join(contexts, "usage_id").withColumn(
         "text", T.context_window(F.col("context"), F.col("position"), window)
     )
     return shown.groupBy(*group, "text").agg(F.min("rank").alias("rank")).select(*group, "rank", "text")

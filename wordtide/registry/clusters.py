@@ -172,9 +172,12 @@ def prototypes(spark, sf):
     points = usages(spark, sf)
     centroids = V.pool(points, ["word", "label"]).select("word", F.col("label").alias("cluster"), F.col("vector").alias("centroid"))
     assigned = U.nearest_centroid(points.select("word", "usage_id", "vector"), centroids)
-    contexts = documents(spark, sf).select(F.col("doc_id").alias("usage_id"), T.tokens(F.col("text")).alias("context"))
+    members = cut_lineage(U.nearest_members(assigned))
+    # Only the documents of the members are tokenised.
+    texts = table(spark, sf, "documents").join(members, F.col("doc_id") == F.col("usage_id"), "left_semi")
+    contexts = texts.select(F.col("doc_id").alias("usage_id"), T.tokens(F.col("text")).alias("context"))
     contexts = contexts.where(F.size("context") > 0).withColumn("position", F.floor(F.size("context") / 2).cast("int"))
-    return U.prototypes(assigned, contexts)
+    return U.prototypes(members, contexts)
 
 
 QUERIES = {

@@ -168,8 +168,8 @@ def trigram_counts(spark, sf):
 
 
 def bigram_llr(spark, sf):
-    counts = colloc.ngram_counts(colloc.ngrams_of_texts(documents(spark, sf), 2))
-    best = colloc.best(colloc.likelihood_ratio(counts, 3, colloc.without(["the"])), 40)
+    bigrams = colloc.ngrams_of_texts(documents(spark, sf), 2)
+    best = colloc.best(colloc.likelihood_ratio(bigrams, 3, colloc.without(["the"])), 40)
     return best.select("w1", "w2", "n", rounded(F.col("llr"), 4).alias("llr"))
 
 
