@@ -394,3 +394,15 @@ def test_full_outer_join_keeps_both_sides(spark):
     occurrences = spark.createDataFrame([("a", "s"), ("b", "t")], "bnc_index string, sentence string")
     got = U.join_clusters(occurrences, U.labels_of_members(clusters, 5, 7)).collect()
     assert {tuple(r) for r in got} == {("a", "s", "1"), ("b", "t", None), ("z", None, "1")}
+
+
+def test_joins_and_blocks_beyond_the_broadcast_size(spark, monkeypatch):
+    _, df = points(spark)
+    small = {r["usage_id"]: r["vector"] for r in V.standardize(df).collect()}
+    _, labels = K.fit(df, ["word"], [3], block_rows=7)
+    want = {(r["word"], r["usage_id"]): r["label"] for r in labels.collect()}
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    salted = {r["usage_id"]: r["vector"] for r in V.standardize(df).collect()}
+    assert salted == small
+    _, labels = K.fit(df, ["word"], [3], block_rows=7)
+    assert {(r["word"], r["usage_id"]): r["label"] for r in labels.collect()} == want

@@ -26,19 +26,19 @@ JOIN_SALTS = 64
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def attach_small(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], salt_key: Sequence[str], row_bytes: int
-) -> DataFrame:
+def attach_small(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_key: Sequence[str]) -> DataFrame:
     """Inner join of a big frame with a table of few rows per key.
 
-    The table is written and counted first, then joined by its measured size.
+    The table is written and measured first, then joined by its size.
     """
     small = cut_lineage(small)
-    return join_small(big, small, keys, salt_key, fits_broadcast(small, row_bytes))
+    return join_small(big, small, keys, salt_key, fits_broadcast(small))
 
 
-def fits_broadcast(small: DataFrame, row_bytes: int) -> bool:
-    return small.count() * row_bytes <= BROADCAST_BYTES
+def fits_broadcast(small: DataFrame) -> bool:
+    """Whether the rows of a written table take at most BROADCAST_BYTES as text."""
+    size = F.sum(F.length(F.to_json(F.struct("*"))).cast("long"))
+    return (small.agg(size).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def join_small(
@@ -65,7 +65,7 @@ def with_blocks(points: DataFrame, counts: DataFrame, group: Sequence[str], id_c
     """Adds `block`. Rows are placed and sorted by group and block and kept
     there, so passes over the blocks do not move them again. Unpersist at the end.
     """
-    joined = attach_small(points, counts.select(*group, "blocks"), group, [id_col], 64)
+    joined = attach_small(points, counts.select(*group, "blocks"), group, [id_col])
     block = F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")
     keys = [*group, "block"]
     most = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,11 +114,6 @@ def _with_group(kernel: Callable, group: list[str]) -> Callable:
     return run
 
 
-def dimension(points: DataFrame) -> int:
-    row = points.select(F.size("vector")).first()
-    return row[0] if row else 0
-
-
 def sum_arrays(column: str) -> Column:
     """Aggregate: element-wise sum of equally long arrays, combined map-side."""
     return vector_to_array(Summarizer.sum(array_to_vector(F.col(column))))

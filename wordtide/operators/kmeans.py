@@ -157,7 +157,7 @@ def fit(
     blocks = B.with_blocks(points.select(*group, "usage_id", "vector"), counts, group, "usage_id")
     first = start_centroids(blocks.drop("block"), group, k_range, starts, seed)
     models = cut_lineage(packed(first, group))
-    broadcast = B.fits_broadcast(models, 8 * max(k_range) * B.dimension(blocks))
+    broadcast = B.fits_broadcast(models)
     state = lloyd(blocks, counts, models, group, max_iter, tol, broadcast)
     if starts > 1:
         best = state.groupBy(*group, "k").agg(F.min_by("start", F.struct("cost", "start")).alias("start"))

@@ -49,11 +49,8 @@ def fit(
     types = [covariance_types] if isinstance(covariance_types, str) else list(covariance_types or COVARIANCE_TYPES)
     counts = cut_lineage(B.block_counts(points, group, block_rows))
     blocks = B.with_blocks(points.select(*group, "usage_id", "vector"), counts, group, "usage_id")
-    size = B.dimension(blocks)
-    row_bytes = 8 * max(k_range) * size * (size + 1 if {"full", "tied"} & set(types) else 2)
-
     first = cut_lineage(K.packed(K.start_centroids(blocks.drop("block"), group, k_range, starts, seed), group))
-    shaped = K.lloyd(blocks, counts, first, group, broadcast=B.fits_broadcast(first, 8 * max(k_range) * size))
+    shaped = K.lloyd(blocks, counts, first, group, broadcast=B.fits_broadcast(first))
     none = F.array().cast("array<double>")
     start = shaped.select(
         *group,
@@ -66,9 +63,9 @@ def fit(
         F.lit(NO_LIKELIHOOD).alias("log_likelihood"),
     )
     start = cut_lineage(start)
-    broadcast = B.fits_broadcast(start, row_bytes)
     # The first pass turns clusters into responsibilities of 0 and 1.
-    moving, resting = cut_lineage(step(blocks, counts, start, group, broadcast)), []
+    moving, resting = cut_lineage(step(blocks, counts, start, group, B.fits_broadcast(start))), []
+    broadcast = B.fits_broadcast(moving)
     keys = [*group, "covariance", "k", "start"]
     for _ in range(max_iter):
         seen = Observation()
@@ -95,7 +92,11 @@ def fit(
     )
     chosen = result.join(best, keys, "left_semi").join(counts.select(*group, "points"), group)
     criteria = information_criteria(
-        F.col("log_likelihood"), F.col("covariance"), F.col("k"), F.lit(size), F.col("points")
+        F.col("log_likelihood"),
+        F.col("covariance"),
+        F.col("k"),
+        (F.size("means") / F.col("k")).cast("int"),
+        F.col("points"),
     )
     fitted = cut_lineage(chosen.withColumns(criteria).drop("start", "points"))
     blocks.unpersist()
@@ -120,12 +121,11 @@ def assign(points: DataFrame, models: DataFrame, group: Sequence[str], block_row
     group = list(group)
     counts = cut_lineage(B.block_counts(points, group, block_rows))
     blocks = B.with_blocks(points.select(*group, "usage_id", "vector"), counts, group, "usage_id")
-    size = B.dimension(blocks)
     types = dict(points.dtypes)
     schema = f"usage_id {types['usage_id']}, covariance string, k int, label int, prob array<double>"
     named = models.select(*group, "covariance", "k", F.lit(0).alias("start"), "weights", "means", "covariances")
     named = cut_lineage(named)
-    broadcast = B.fits_broadcast(named, 8 * 10 * size * (size + 1))
+    broadcast = B.fits_broadcast(named)
     labels = cut_lineage(B.per_block(blocks, counts, named, group, _predict, schema, broadcast))
     blocks.unpersist()
     return labels

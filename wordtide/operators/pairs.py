@@ -77,7 +77,7 @@ def sample_snippets(snippets: DataFrame, periods: Sequence[str], seed: int = 42)
     # A word never needs more texts of one cell or cluster than it has cells.
     most = clusters.groupBy("word").agg((F.count("*") * len(periods)).alias("_most"))
     unique = homes.select("word", "text", "_home.*")
-    bounded = attach_small(unique, most, ["word"], ["snippet_id"], 64)
+    bounded = attach_small(unique, most, ["word"], ["snippet_id"])
     salt = ["snippet_id"]
     by_cell = top_per_group(bounded, ["word", "cluster", "period"], order, F.col("_most"), salt, "_in_cell")
     by_cell = cut_lineage(by_cell)

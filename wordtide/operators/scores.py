@@ -60,7 +60,7 @@ def silhouette(
     """
     group = list(group)
     counts = cut_lineage(B.block_counts(points, group, block_rows))
-    with_count = B.attach_small(points, counts.select(*group, "blocks"), group, ["usage_id"], 64)
+    with_count = B.attach_small(points, counts.select(*group, "blocks"), group, ["usage_id"])
     placed = with_count.withColumn("block", F.pmod(F.xxhash64("usage_id"), F.col("blocks")).cast("int")).select(
         *group, "block", "blocks", "usage_id", "vector", "labels"
     )

@@ -93,7 +93,7 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, keys: Sequence[str
     Centroids (keys, cluster, centroid) are packed to one row per word first.
     """
     packed = centroids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("_all"))
-    joined = B.attach_small(points, packed, keys, ["usage_id"], row_bytes=64 * 1024)
+    joined = B.attach_small(points, packed, keys, ["usage_id"])
     gaps = F.transform(
         "_all", lambda c: F.struct(squared_distance(F.col("vector"), c["centroid"]).alias("gap"), c["cluster"].alias("cluster"))
     )

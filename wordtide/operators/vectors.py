@@ -49,7 +49,7 @@ def standardize(
 ) -> DataFrame:
     """Mean 0 and variance 1 per group and dimension; constant dimensions become 0."""
     stats = moments(points, group, vector)
-    joined = B.attach_small(points, stats, group, [id_col], row_bytes=2 * 8 * 1024)
+    joined = B.attach_small(points, stats, group, [id_col])
     centred = F.zip_with(vector, "mean", lambda x, m: x - m)
     scaled = F.zip_with(centred, "deviation", lambda x, d: x / F.when(d > 0, d).otherwise(1.0))
     return joined.withColumn(vector, scaled).drop("mean", "deviation")
@@ -73,7 +73,7 @@ def project_2d(
     counts = cut_lineage(B.block_counts(points, group, block_rows))
     blocks = B.with_blocks(points.select(*group, id_col, "vector"), counts, group, id_col)
     means = cut_lineage(moments(points, group).select(*group, "mean"))
-    broadcast = B.fits_broadcast(means, 3 * 8 * B.dimension(blocks))
+    broadcast = B.fits_broadcast(means)
     partial = B.per_block(blocks, counts, means, group, _scatter, "scatter array<double>, mean array<double>", broadcast)
     scatter = partial.groupBy(*group).agg(
         B.sum_arrays("scatter").alias("scatter"), F.first("mean").alias("mean")
@@ -82,7 +82,9 @@ def project_2d(
     keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
     axes = scatter.mapInArrow(_axes(group), f"{keyed}, mean array<double>, axis1 array<double>, axis2 array<double>")
     schema = f"{id_col} {types[id_col]}, x double, y double"
-    result = cut_lineage(B.per_block(blocks, counts, cut_lineage(axes), group, _project(id_col), schema, broadcast))
+    axes = cut_lineage(axes)
+    placed = B.per_block(blocks, counts, axes, group, _project(id_col), schema, B.fits_broadcast(axes))
+    result = cut_lineage(placed)
     blocks.unpersist()
     return result
 

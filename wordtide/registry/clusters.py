@@ -90,7 +90,7 @@ def _fixed_start(spark, sf):
     first = points.groupBy("word", F.col("label").alias("cluster")).agg(F.min_by("vector", "usage_id").alias("centroid"))
     models = first.withColumns({"start": F.lit(0), "k": F.lit(10)})
     packed = cut_lineage(K.packed(models, GROUP))
-    return blocks, counts, packed, B.fits_broadcast(packed, 8 * 10 * 64)
+    return blocks, counts, packed, B.fits_broadcast(packed)
 
 
 def kmeans_assign(spark, sf):
