@@ -251,8 +251,8 @@ def test_mixture_steps_equal_plain_em(spark, block_rows):
     labels = np.linalg.norm(x[:, None] - centres[None], axis=2).argmin(1)
     counts = cut_lineage(B.block_counts(df, ["word"], block_rows))
     blocks = B.with_blocks(df, counts, ["word"], "usage_id")
-    schema = "word string, covariance string, k int, start int, " + M.PARAMETERS
-    start = [("w0", kind, 2, 0, [], centres.ravel().tolist(), []) for kind in M.COVARIANCE_TYPES]
+    schema = f"word string, covariance string, k int, start int, {M.PARAMETERS}, log_likelihood double"
+    start = [("w0", kind, 2, 0, [], centres.ravel().tolist(), [], M.NO_LIKELIHOOD) for kind in M.COVARIANCE_TYPES]
     models = cut_lineage(spark.createDataFrame(start, schema))
     for steps in range(4):
         models = cut_lineage(M.step(blocks, counts, models, ["word"], True))

@@ -17,7 +17,7 @@ from wordtide.operators import blocks as B
 from wordtide.operators.arrays import lists, matrix
 from wordtide.operators.ranking import hash_order
 from wordtide.operators.sampling import sample_per_group
-from wordtide.session import cut_lineage
+from wordtide.session import cut_lineage, read_steps, write_step
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -66,21 +66,19 @@ def lloyd(
     tol bounds the summed squared shift of a model, for points of variance 1.
     """
     group = list(group)
-    moving, resting = models, []
+    moving, paths = models, []
     for _ in range(max_iter):
         seen = Observation()
         moved = step(blocks, counts, moving, group, broadcast).observe(
-            seen, F.sum(F.when(F.col("shift") > tol, 1).otherwise(0)).alias("moving")
+            seen, F.count_if(F.col("shift") > tol).alias("moving")
         )
-        moved = cut_lineage(moved)
-        resting.append(moved.where(F.col("shift") <= tol))
-        moving = moved.where(F.col("shift") > tol)
+        paths.append(write_step(moved))
+        moving = read_steps(moved, paths[-1:]).where(F.col("shift") > tol)
         if not seen.get["moving"]:
             break
-    result = moving
-    for done in resting:
-        result = result.unionByName(done)
-    return cut_lineage(result.drop("shift"))
+    # Every model rests in the table of its last step; those cut off still move.
+    resting = read_steps(moved, paths).where(F.col("shift") <= tol)
+    return cut_lineage(resting.unionByName(moving).drop("shift"))
 
 
 def packed(centroids: DataFrame, group: Sequence[str]) -> DataFrame:

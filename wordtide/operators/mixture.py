@@ -18,7 +18,7 @@ from wordtide.operators import blocks as B
 from wordtide.operators import kmeans as K
 from wordtide.operators.arrays import lists, matrix
 from wordtide.operators.scores import information_criteria
-from wordtide.session import cut_lineage
+from wordtide.session import cut_lineage, read_steps, write_step
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -64,29 +64,24 @@ def fit(
     )
     start = cut_lineage(start)
     # The first pass turns clusters into responsibilities of 0 and 1.
-    moving, resting = cut_lineage(step(blocks, counts, start, group, B.fits_broadcast(start))), []
+    moving = cut_lineage(step(blocks, counts, start, group, B.fits_broadcast(start)))
     broadcast = B.fits_broadcast(moving)
-    keys = [*group, "covariance", "k", "start"]
+    keys, paths = [*group, "covariance", "k", "start"], []
     for _ in range(max_iter):
         seen = Observation()
-        last = moving.select(*keys, F.col("log_likelihood").alias("_last"))
-        moved = step(blocks, counts, moving, group, broadcast).join(last, keys).join(
-            counts.select(*group, "points"), group
-        )
-        gain = (F.col("log_likelihood") - F.col("_last")) / F.col("points")
-        still = F.abs(gain) < tol
-        moved = moved.withColumn("_still", still).drop("_last", "points")
-        moved = cut_lineage(moved.observe(seen, F.count_if(~F.col("_still")).alias("moving")))
-        score = moved.select(*keys, "_still", F.col("log_likelihood").alias("_score"))
-        scored = moving.join(score, keys).withColumn("log_likelihood", F.col("_score")).drop("_score")
-        resting.append(scored.where("_still").drop("_still"))
-        unfinished = scored.where("not _still").drop("_still")
-        moving = moved.where("not _still").drop("_still")
+        moved = step(blocks, counts, moving, group, broadcast)
+        gain = (F.col("log_likelihood") - F.col("last")) / F.col("points")
+        moved = moved.withColumn("still", F.abs(gain) < tol)
+        moved = moved.observe(seen, F.count_if(~F.col("still")).alias("moving"))
+        paths.append(write_step(moved))
+        moving = read_steps(moved, paths[-1:]).where("not still")
         if not seen.get["moving"]:
             break
-    result = unfinished
-    for done in resting:
-        result = result.unionByName(done)
+    resting = read_steps(moved, paths).where("still")
+    final = cut_lineage(resting.unionByName(moving).drop("still", "last", "points"))
+    # One more pass scores the final parameters.
+    scored = step(blocks, counts, final, group, broadcast).select(*keys, "log_likelihood")
+    result = cut_lineage(final.drop("log_likelihood").join(scored, keys))
     best = result.groupBy(*group, "covariance", "k").agg(
         F.max_by("start", F.struct("log_likelihood", -F.col("start"))).alias("start")
     )
@@ -104,15 +99,22 @@ def fit(
 
 
 def step(blocks: DataFrame, counts: DataFrame, models: DataFrame, group: Sequence[str], broadcast: bool) -> DataFrame:
-    """One expectation and maximisation. log_likelihood is that of the models given."""
-    named = models.select(*group, "covariance", "k", "start", "weights", "means", "covariances")
-    partial = B.per_block(
-        blocks, counts, named, group, _expect, "covariance string, k int, start int, sums array<double>", broadcast
+    """One expectation and maximisation.
+
+    Gives the next parameters, log_likelihood of the models given, the one they
+    carried as `last`, and the number of points.
+    """
+    named = models.select(
+        *group, "covariance", "k", "start", "weights", "means", "covariances", F.col("log_likelihood").alias("last")
+    )
+    outcome = "covariance string, k int, start int, last double, sums array<double>"
+    partial = B.per_block(blocks, counts, named, group, _expect, outcome, broadcast)
+    summed = partial.groupBy(*group, "covariance", "k", "start").agg(
+        F.first("last").alias("last"), B.sum_arrays("sums").alias("sums")
     )
-    summed = partial.groupBy(*group, "covariance", "k", "start").agg(B.sum_arrays("sums").alias("sums"))
     types = dict(blocks.dtypes)
     keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
-    schema = f"{keyed}, covariance string, k int, start int, {PARAMETERS}, log_likelihood double"
+    schema = f"{keyed}, covariance string, k int, start int, last double, {PARAMETERS}, log_likelihood double, points double"
     return summed.mapInArrow(_maximise, schema)
 
 
@@ -191,7 +193,8 @@ def _expect(points, models):
 
     x = matrix(points, "vector")
     rows = []
-    for kind, k, start, weights, means, flat in _read_models(models):
+    last = models.column("last").to_pylist()
+    for i, (kind, k, start, weights, means, flat) in enumerate(_read_models(models)):
         share, likelihood = _responsibilities(x, kind, weights, means, flat)
         if kind == "full":
             second = np.concatenate([((share[:, [j]] * x).T @ x).ravel() for j in range(k)])
@@ -200,12 +203,13 @@ def _expect(points, models):
         else:
             second = (share.T @ x**2).ravel()
         sums = np.concatenate([[likelihood], share.sum(axis=0), (share.T @ x).ravel(), second])
-        rows.append((kind, k, start, sums))
-    kind, k, start, sums = zip(*rows)
+        rows.append((kind, k, start, last[i], sums))
+    kind, k, start, last, sums = zip(*rows)
     return {
         "covariance": pa.array(kind),
         "k": pa.array(k, "int32"),
         "start": pa.array(start, "int32"),
+        "last": pa.array(last, "float64"),
         "sums": pa.array(sums, pa.list_(pa.float64())),
     }
 
@@ -217,7 +221,7 @@ def _maximise(batches):
     many = pa.list_(pa.float64())
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        weights, means, covariances, scores = [], [], [], []
+        weights, means, covariances, scores, points = [], [], [], [], []
         sizes = table.column("k").to_pylist()
         for i, kind in enumerate(table.column("covariance").to_pylist()):
             k, sums = sizes[i], np.asarray(table.column("sums")[i].values)
@@ -245,12 +249,14 @@ def _maximise(batches):
             means.append(centre.ravel())
             covariances.append(np.asarray(spread).ravel())
             scores.append(sums[0])
+            points.append(sums[1 : 1 + k].sum())
         kept = [c for c in table.column_names if c != "sums"]
         out = {
             "weights": pa.array(weights, many),
             "means": pa.array(means, many),
             "covariances": pa.array(covariances, many),
             "log_likelihood": pa.array(scores, "float64"),
+            "points": pa.array(points, "float64"),
         }
         yield from pa.table({**{c: table.column(c) for c in kept}, **out}).to_batches()
 

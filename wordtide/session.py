@@ -51,6 +51,15 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     Later plans start at the table: it survives the loss of executors, is
     computed once, and has a known size.
     """
+    return read_steps(df, [write_step(df, name)])
+
+
+def write_step(df: DataFrame, name: str = "step") -> str:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_steps(like: DataFrame, paths: list[str]) -> DataFrame:
+    """Rows of several tables written by the steps of a loop, in a single scan."""
+    return like.sparkSession.read.schema(like.schema).parquet(*paths)
