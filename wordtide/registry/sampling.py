@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from wordtide.functions.periods import period
 from wordtide.operators import hits as H, sampling as S
 from wordtide.operators.ranking import hash_order, rank_by_hash
