@@ -73,7 +73,10 @@ def _numbered(sizes: DataFrame) -> DataFrame:
 def gated_sample(
     df: DataFrame, word: str, key: Sequence[str], n: int = 200, more_than: int = 100, seed: int = 42
 ) -> DataFrame:
-    """At most n rows per word, for words that have more than `more_than` rows."""
+    """At most n rows per word, for words that have more than `more_than` rows.
+
+    Reads df twice: pass a written table if it is costly to compute.
+    """
     sizes = df.groupBy(word).agg(F.count("*").alias("_size")).where(F.col("_size") > more_than)
     sampled = sample_per_group(df, [word], n, key, seed)
     return sampled.join(sizes.select(word), word, "left_semi")

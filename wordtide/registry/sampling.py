@@ -6,6 +6,7 @@ from wordtide.functions.periods import period
 from wordtide.operators import hits as H, sampling as S
 from wordtide.operators.ranking import hash_order, rank_by_hash
 from wordtide.registry.common import BINS, SENTENCES, TOKENS, documents, table, with_parts, year_of
+from wordtide.session import cut_lineage
 
 GATE_WORDS = ["the", "de", "and", "under", "hahahe", "model"]
 
@@ -38,7 +39,8 @@ def shuffle(spark, sf):
 
 def min_size_gate(spark, sf):
     found = H.collect_hits(documents(spark, sf), GATE_WORDS).select("word", "corpus_id", "sent_idx", "start_idx")
-    return S.gated_sample(found, "word", ["corpus_id", "sent_idx", "start_idx"])
+    # Written once, as the gate reads it twice and the text should be searched once.
+    return S.gated_sample(cut_lineage(found), "word", ["corpus_id", "sent_idx", "start_idx"])
 
 
 QUERIES = {f.__name__: f for f in [sample_n, sample_per_period, sample_replace, sample_fraction, shuffle, min_size_gate]}
