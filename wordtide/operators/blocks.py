@@ -94,6 +94,9 @@ def per_block(
     types = dict(blocks.dtypes)
     keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
     run = _with_group(kernel, group)
+    if broadcast:
+        # Blocks without a model, such as those of finished words, stay in the JVM.
+        blocks = blocks.join(F.broadcast(models.select(*group)), group, "left_semi")
     keys = [*group, "block"]
     theirs = [f"_{k}" for k in keys]
     sent = sent.withColumnsRenamed(dict(zip(keys, theirs)))
