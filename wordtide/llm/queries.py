@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.llm import chat, warc
+from wordtide.llm import chat, packing, pieces, secrets, voronoi, warc
 from wordtide.llm.tables import table
 
 
@@ -56,5 +56,39 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
-QUERIES = {"op10_warc": op10_warc, "op8_chat": op8_chat}
-ORACLES = {"op10_warc": OP10_SQL, "op8_chat": OP8_SQL}
+TOP_SCALE = 256
+TOP_K = 5
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = voronoi.scaled(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", TOP_SCALE)
+    return voronoi.top_k(data, data.where("id % 50 = 0"), TOP_K).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score")
+    )
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS y FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.y, d.y) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.roundtrip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
+ORACLES = {"op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op8_chat": OP8_SQL}
