@@ -23,8 +23,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the format: the mark of white space, and how far an unknown character lies below the worst piece.
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_CHUNKS = 400_000
-MATRIX_CELLS = 2_000_000
+# What a task holds at once: encoded chunks, cells of the recurrence, bytes of text.
+CACHED_CHUNKS = 100_000
+MATRIX_CELLS = 250_000
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -255,27 +257,39 @@ def _encode(vocab, text, ids):
 
         find = chunk_pattern(vocab).findall
         cache = {}
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            each = []
-            for value in texts:
-                each.append(find((" " if vocab.dummy_prefix else "") + value) if value else [])
-            fresh = list({c for chunks in each for c in chunks if c not in cache})
-            if len(cache) + len(fresh) > CACHED_CHUNKS:
-                cache = {}
-                fresh = list({c for chunks in each for c in chunks})
-            cache.update(zip(fresh, viterbi(vocab, fresh)))
-            joined = [b"".join(map(cache.__getitem__, chunks)) for chunks in each]
-            sizes = np.fromiter((len(x) // 4 for x in joined), dtype="int64", count=len(joined))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
-            values = pa.array(np.frombuffer(b"".join(joined), dtype="<i4"))
-            missing = pa.array([t is None for t in texts])
-            column = pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
+        for whole in batches:
+            for batch in _slices(whole, text):
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                each = [find((" " if vocab.dummy_prefix else "") + t) if t else [] for t in texts]
+                fresh = list({c for chunks in each for c in chunks if c not in cache})
+                if len(cache) + len(fresh) > CACHED_CHUNKS:
+                    cache = {}
+                    fresh = list({c for chunks in each for c in chunks})
+                cache.update(zip(fresh, viterbi(vocab, fresh)))
+                joined = [b"".join(map(cache.__getitem__, chunks)) for chunks in each]
+                ends = np.cumsum([0, *(len(x) // 4 for x in joined)]).astype("int32")
+                values = pa.array(np.frombuffer(b"".join(joined), dtype="<i4"))
+                missing = pa.array([t is None for t in texts])
+                column = pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
 
     return run
 
 
+def _slices(batch, column, most=SLICE_BYTES):
+    """The batch in parts whose texts have about so many bytes, a row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    total, low = np.cumsum(np.asarray(sizes, dtype="int64")), 0
+    while low < batch.num_rows:
+        before = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _decode(pieces, dummy_prefix, ids, text):
     def run(batches):
         import numpy as np
