@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.llm import chat, packing, pieces, secrets, voronoi, warc
+from wordtide.llm import chat, minhash, packing, pieces, quality, secrets, toxicity, voronoi, warc
 from wordtide.llm.tables import table
 
 
@@ -90,5 +90,19 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.roundtrip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.flagged(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.judged(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op1_minhash": op1_minhash, "op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
 ORACLES = {"op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op8_chat": OP8_SQL}
