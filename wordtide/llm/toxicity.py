@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings whose use differs clearly between the labels. The
+Terms are words and word beginnings that examples of label 1 use clearly more often. The
 labelled examples form an inverted index whose documents lie in blocks; each term keeps its
 largest weight per block. A text's possible score in a block is bounded by these maxima, so
 blocks are visited from the best bound down until none can hold a better neighbour: the
@@ -10,6 +10,7 @@ leave-one-out votes of the examples, and come with the neighbours as evidence.
 
 from __future__ import annotations
 
+from math import log
 import sys
 
 from pyspark import cloudpickle
@@ -24,7 +25,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EXAMPLES = 20_000
 TERMS = 4_096
 LEAST_USES = 4
-LEAST_Z = 5.0
 NEIGHBOURS = 24
 BLOCK = 64
 PREFIXES = (4, 5, 6)
@@ -92,7 +92,8 @@ def flagged(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2,
 
 def _bin(raw: str) -> Column:
     """-1 without votes, else 0 to BINS - 1."""
-    return F.coalesce(F.least(F.floor(F.col(raw) * BINS), F.lit(BINS - 1)), F.lit(-1)).cast("int")
+    place = F.least(F.floor(F.col(raw) * BINS), F.lit(BINS - 1))  # least() skips nulls
+    return F.when(F.col(raw).isNull(), -1).otherwise(place).cast("int")
 
 
 def calibration(bins: dict, rate: float) -> list:
@@ -120,7 +121,7 @@ def _idf(seen, total, size):
 
 
 def _choose(sample: DataFrame, most: int) -> list:
-    """The terms with the clearest difference between the labels, at most so many, in a fixed order."""
+    """The terms that most clearly speak for label 1, at most so many, in a fixed order."""
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
@@ -129,11 +130,19 @@ def _choose(sample: DataFrame, most: int) -> list:
         sample.select("y", "text").mapInArrow(_uses, "term string, a long, b long")
         .groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_USES)
     )
-    odds = lambda k, n: F.log((F.col(k) + 0.5) / (n - F.col(k) + 0.5))
-    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    z = F.abs(odds("a", ones) - odds("b", zeros)) / spread
-    picked = uses.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(most)
-    return [r["term"] for r in picked.select("term").collect()]
+    # Likelihood ratio against equal use in both labels; over so many terms one may reach 2 ln(terms) by chance.
+    part = lambda k, n, rate: F.when(k > 0, k * F.log(k / (n * rate))).otherwise(F.lit(0.0))
+    rate = (F.col("a") + F.col("b")) / (ones + zeros)
+    ratio = 2 * sum(
+        part(k, F.lit(float(n)), r)
+        for column, n in (("a", ones), ("b", zeros))
+        for k, r in ((F.col(column), rate), (n - F.col(column), 1 - rate))
+    )
+    uses = cut_lineage(uses, "uses")
+    least = 2 * log(max(uses.count(), 2))
+    more = F.col("a") * zeros > F.col("b") * ones
+    picked = uses.where(more).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    return [r["term"] for r in picked.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()]
 
 
 def terms_of(word: str) -> list:
