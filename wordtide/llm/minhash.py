@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordtide.llm.shingles import shingle_sets, signatures
+from wordtide.llm.streams import whole_groups
 from wordtide.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -397,30 +398,10 @@ def _bucket_pairs(edges, percent, errors):
                 yield np.minimum(one, two), np.maximum(one, two)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        held = None
-
-        def found(table, whole):
-            """Pairs of all groups but the last, if that may go on; and the rows of the last."""
-            keys = np.stack([table.column(c).to_numpy().astype("int64") for c in ("key", "slot", "i", "j")])
-            ends = np.append(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, table.num_rows)
-            cut = table.num_rows if whole else int(ends[-2]) if len(ends) > 1 else 0
-            ends = ends[ends <= cut]
-            out = []
-            if cut:
-                for a, b in pairs(table.slice(0, cut).combine_chunks(), ends):
-                    out.append(pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]))
-            return out, table.slice(cut)
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows:
-                out, held = found(held, False)
-                yield from out
-        if held is not None and held.num_rows:
-            yield from found(held, True)[0]
+        for table, ends in whole_groups(batches, ["key", "slot", "i", "j"]):
+            for a, b in pairs(table, ends):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run

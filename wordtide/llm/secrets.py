@@ -60,6 +60,23 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return docs.select(id_col, text).mapInArrow(_findings(id_col), schema)
 
 
+def redact(docs: DataFrame, text: str = "text", marker: str = "[SECRET]") -> DataFrame:
+    """All columns, with every span of a text replaced by the marker; overlapping spans by a single one.
+
+    Null texts stay null, texts without spans stay as they are.
+    """
+    return docs.mapInArrow(_redact(text, marker), docs.schema)
+
+
+def redacted(text: str, marker: str) -> str:
+    parts, at = [], 0
+    for start, _, end, *_ in all_spans(text)[1]:
+        if start >= at:
+            parts += [text[at:start], marker]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def base_spans(text: str) -> list:
     """(start, rank of kind, end) of the three base patterns."""
     import re
@@ -220,6 +237,21 @@ def _scan(id_col):
     return run
 
 
+def _redact(text, marker):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.names.index(text)
+            kind = batch.schema.field(at).type
+            out = [redacted(t, marker) if (t := v.as_py()) else t for v in batch.column(at)]
+            columns = [*batch.columns]
+            columns[at] = pa.array(out, kind)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
+
+
 def _findings(id_col):
     def run(batches):
         import pyarrow as pa
