@@ -155,16 +155,24 @@ def roundtrip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path:
     """id, n_tokens, n_byte_tokens, ids_xxhash64, restored: encode every text, decode it, compare."""
     vocab = read_vocabulary(path)
     low, high = min(vocab.byte_ids), max(vocab.byte_ids)
-    found = decode(encode(docs.select(id_col, text), text, "ids", path), "ids", "decoded", path)
+    rows = docs.select(F.col(id_col), F.col(text).alias("text"))
+    out = StructType([*rows.schema.fields]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
+    encoding, decoding = _encode(vocab, "text", "ids"), _decode(vocab.pieces, vocab.dummy_prefix, "ids", "decoded")
+    # Both in one worker; as frames of their own they would take two for each task.
+    found = rows.mapInArrow(_then(encoding, decoding), out)
     return found.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.size(F.filter("ids", lambda i: (i >= low) & (i <= high))).cast("long").alias("n_byte_tokens"),
         F.xxhash64("ids").alias("ids_xxhash64"),
-        F.col("decoded").eqNullSafe(F.col(text)).alias("restored"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("restored"),
     )
 
 
+def _then(first, second):
+    return lambda batches: second(first(batches))
+
+
 def chunk_pattern(vocab: Vocabulary):
     """Chunks that no piece crosses: a run of marks with what follows up to the next mark or line end."""
     import re

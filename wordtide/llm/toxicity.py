@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EXAMPLES = 20_000
 TERMS = 4_096
 LEAST_USES = 4
+LEAST_LIFT = 2.0
 NEIGHBOURS = 24
 BLOCK = 64
 PREFIXES = (4, 5, 6)
@@ -140,7 +141,7 @@ def _choose(sample: DataFrame, most: int) -> list:
     )
     uses = cut_lineage(uses, "uses")
     least = 2 * log(max(uses.count(), 2))
-    more = F.col("a") * zeros > F.col("b") * ones
+    more = F.col("a") * zeros > F.col("b") * ones * LEAST_LIFT
     picked = uses.where(more).withColumn("ratio", ratio).where(F.col("ratio") >= least)
     return [r["term"] for r in picked.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()]
 
@@ -238,34 +239,38 @@ class Index:
                 self.maxima[t, at // BLOCK] = max(self.maxima[t, at // BLOCK], w)
         self.docs = [np.array([p[0] for p in own], dtype="int64") for own in postings]
         self.values = [np.array([p[1] for p in own]) for own in postings]
-        edges = np.arange(blocks + 1) * BLOCK
-        self.cuts = [np.searchsorted(own, edges) for own in self.docs]
+        self.blocks = [own // BLOCK for own in self.docs]
 
     def nearest(self, terms, uses, k, but=None):
         """(doc_id, cosine, label) of the k examples nearest to a text, those over 0, without the id `but`."""
         import numpy as np
 
-        own = weights(terms, uses, self.idf)
-        bound = np.zeros(self.maxima.shape[1])
-        for t, w in zip(terms, own):
-            bound += w * self.maxima[t]
-        held = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            # The slack covers rounding; equal scores must still be seen for ties.
-            if bound[block] <= 0 or len(held) == k and bound[block] < held[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, own):
-                low, high = self.cuts[t][block], self.cuts[t][block + 1]
-                if low < high:
-                    scores[self.docs[t][low:high] - block * BLOCK] += w * self.values[t][low:high]
-            for at in np.flatnonzero(scores > 0).tolist():
-                place = block * BLOCK + at
-                if self.ids[place] != but:
-                    held.append((round(float(scores[at]), 9), -int(self.ids[place]), int(self.labels[place])))
-            held.sort(reverse=True)
-            del held[k:]
-        return [(-i, s, y) for s, i, y in held]
+        own = np.array(weights(terms, uses, self.idf))
+        if not len(own):
+            return []
+        bound = own @ self.maxima[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best, place = np.zeros(0), np.zeros(0, dtype="int64")
+        at, step = 0, 8
+        # Ever more blocks at a time, until the next bound is below the k-th best. The slack covers
+        # rounding; equal scores must still be seen for ties.
+        while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1] - 1e-9):
+            open_now = np.zeros(len(bound), dtype=bool)
+            open_now[order[at : at + step]] = True
+            hits = [open_now[self.blocks[t]] for t in terms]
+            docs = np.concatenate([self.docs[t][h] for t, h in zip(terms, hits)])
+            parts = np.concatenate([w * self.values[t][h] for w, t, h in zip(own, terms, hits)])
+            scores = np.bincount(docs, weights=parts)
+            found = np.flatnonzero(scores > 0)
+            if but is not None:
+                found = found[self.ids[found] != but]
+            place = np.concatenate([place, found])
+            best = np.concatenate([best, np.round(scores[found], 9)])
+            first = np.lexsort((self.ids[place], -best))[:k]
+            best, place = best[first], place[first]
+            at, step = at + step, step * 4
+        return list(zip(self.ids[place].tolist(), best.tolist(), self.labels[place].tolist()))
 
 
 def _vote(index, k, left_out):
