@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from wordtide.operators import blocks as B, colloc, mixture as M, kmeans as K, pairs as A, profile as P
 from wordtide.operators import ranking as R, sampling as S, scores, usage as U, vectors as V
 from wordtide.plans import usage_types
+from wordtide.plans.neighbours import cluster_layers
+from wordtide.plans.usage_types import cluster_usages
 from wordtide.session import cut_lineage
 
 
@@ -162,9 +165,9 @@ def test_kmeans_cost_does_not_rise(spark):
     _, df = points(spark, words=1)
     counts = cut_lineage(B.block_counts(df, ["word"]))
     blocks = B.with_blocks(df, counts, ["word"], "usage_id")
-    models, costs = cut_lineage(K.packed(K.start_centroids(df, ["word"], [4]), ["word"])), []
+    models, costs = cut_lineage(K.start_centroids(blocks, counts, ["word"], [4])), []
     for _ in range(5):
-        models = cut_lineage(K.step(blocks, counts, models, ["word"]))
+        models = cut_lineage(K.step(blocks, counts, models, ["word"], True))
         costs.append(models.first()["cost"])
     blocks.unpersist()
     assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:]))
@@ -176,6 +179,72 @@ def test_small_words_get_only_k_below_their_size(spark):
     assert {r["k"] for r in centroids.collect()} == {2}
 
 
+def plain_seeds(ids, x, places, start=0, seed=42):
+    taken = []
+    for place in range(places):
+        gaps = np.ones(len(x)) if not taken else np.min([((x - x[t]) ** 2).sum(1) for t in taken], axis=0)
+        u = [(int(hashlib.md5(f"{seed}-{start}-{place}-{i}".encode()).hexdigest()[:13], 16) + 1) / (16.0**13 + 1) for i in ids]
+        race = [(-math.log(a) / g if g > 0 else math.inf, i, row) for row, (a, g, i) in enumerate(zip(u, gaps, ids))]
+        taken.append(min(race)[2])
+    return x[taken]
+
+
+@pytest.mark.parametrize("block_rows", [1000, 9])
+def test_seeds_are_drawn_over_all_points(spark, block_rows):
+    x, df = points(spark, n=50, d=3, words=1)
+    counts = cut_lineage(B.block_counts(df, ["word"], block_rows))
+    blocks = B.with_blocks(df, counts, ["word"], "usage_id")
+    got = {(r["start"], r["k"]): np.array(r["centroids"]).reshape(-1, 3)
+           for r in K.start_centroids(blocks, counts, ["word"], [2, 6], starts=2).collect()}
+    blocks.unpersist()
+    ids = [r["usage_id"] for r in df.orderBy("usage_id").collect()]
+    rows = np.array([r["vector"] for r in df.orderBy("usage_id").collect()])
+    for (start, k), centroids in got.items():
+        assert np.allclose(centroids, plain_seeds(ids, rows, k, start))
+    assert set(got) == {(s, k) for s in (0, 1) for k in (2, 6)}
+
+
+def test_more_seeds_than_five_hundred(spark):
+    df = spark.createDataFrame(
+        [("w", i, [float(i), float(i * i % 97)]) for i in range(640)], "word string, usage_id long, vector array<double>"
+    )
+    counts = cut_lineage(B.block_counts(df, ["word"], 100))
+    blocks = B.with_blocks(df, counts, ["word"], "usage_id")
+    first = K.start_centroids(blocks, counts, ["word"], [12]).first()
+    blocks.unpersist()
+    assert len({tuple(c) for c in np.array(first["centroids"]).reshape(-1, 2).tolist()}) == 12
+
+
+def test_fixed_k_keeps_every_word(spark):
+    rows = [("five", i, [float(i), 0.0]) for i in range(5)] + [("two", i, [float(i), 1.0]) for i in range(2)]
+    df = spark.createDataFrame([(w, 7, i, v) for w, i, v in rows], "word string, layer int, usage_id long, vector array<double>")
+    got = {(r["word"], r["usage_id"]): r["cluster"] for r in cluster_layers(df, 5).collect()}
+    assert len(got) == 7 and len({got["five", i] for i in range(5)}) == 5
+    assert got["two", 0] is None and got["two", 1] is None
+    found = cluster_usages(df.drop("layer"), criterion="calinski").where("word = 'two'").collect()
+    assert len(found) == 2 and all(r["label"] is None for r in found)
+
+
+def test_fits_tell_whether_they_converged(spark):
+    _, df = points(spark, words=1)
+    done, _ = K.fit(df, ["word"], [3])
+    cut, _ = K.fit(df, ["word"], [3], max_iter=1, tol=0.0)
+    assert {r["converged"] for r in done.collect()} == {True}
+    assert {r["converged"] for r in cut.collect()} == {False}
+
+
+def test_small_models_are_not_exchanged(spark):
+    _, df = points(spark)
+    counts = cut_lineage(B.block_counts(df, ["word"]))
+    blocks = B.with_blocks(df, counts, ["word"], "usage_id")
+    models = cut_lineage(K.start_centroids(blocks, counts, ["word"], [3]))
+    plan = K.step(blocks, counts, models, ["word"], True)._jdf.queryExecution().executedPlan().toString()
+    blocks.unpersist()
+    head = plan.split("InMemoryTableScan")[0]
+    assert "MapInArrow" in head and "CoGroup" not in plan
+    assert head.count("Exchange hashpartitioning") == 1
+
+
 def silhouette_of(x, labels):
     gaps = np.linalg.norm(x[:, None] - x[None], axis=2)
     out = []
@@ -209,7 +278,7 @@ def test_best_k_prefers_the_smaller_of_equals(spark):
 def test_method_and_criterion_are_checked(spark):
     _, df = points(spark)
     for method, criterion in [("dbscan", None), ("gmm", "silhouette"), ("kmeans", "bic")]:
-        with pytest.raises(ValueError, match="Invalid"):
+        with pytest.raises(ValueError, match=" by "):
             usage_types.cluster_usages(df, method, [2], criterion)
 
 
@@ -385,7 +454,7 @@ def test_control_pairs(spark):
 def test_excluded_words_give_no_snippets(spark):
     rows = [("mean", 0, 1, "i", ["a", "b"], 0), ("word", 0, 1, "j", ["a", "b"], 1)]
     df = spark.createDataFrame(rows, "word string, cluster int, period int, usage_id string, context array<string>, position int")
-    got = A.prepare_snippets(df, labels={1: "1910s"}).collect()
+    got = A.prepare_snippets(df, labels={1: "1910s"}, excluded=A.EXCLUDED_WORDS).collect()
     assert [tuple(r) for r in got] == [("word", 0, "1910s", "j", "a [[b]]")]
 
 

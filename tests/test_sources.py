@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wordtide.operators import hits as H
+from wordtide.operators import blocks as B, hits as H
 from wordtide.plans import corpus
 from wordtide.session import new_path
 from wordtide.sources import readers, writers
@@ -72,19 +72,40 @@ def test_hits_are_exact_and_survive_csv(spark):
     assert readers.token_hits(spark, path, ["absent"]).count() == 0
 
 
-def test_targets_from_a_table(spark):
+def test_targets_from_a_table(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b. c a")], "doc_id long, text string")
     targets = spark.createDataFrame([("a",), ("a",), ("c",)], "word string")
     expected = sorted(map(tuple, H.collect_hits(docs, ["a", "c"]).collect()))
     assert sorted(map(tuple, H.collect_hits(docs, targets).collect())) == expected
-    joined = H.collect_hits.__globals__
-    keep = joined["LITERAL_TARGETS"]
-    try:
-        joined["LITERAL_TARGETS"] = 1
-        rows = H.collect_hits(docs, targets).select("corpus_id", "sent_idx", "sentence", "word", "start_idx", "end_idx")
-        assert sorted(map(tuple, rows.collect())) == expected
-    finally:
-        joined["LITERAL_TARGETS"] = keep
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, H.collect_hits(docs, targets).collect())) == expected
+    assert H.collect_hits(docs, []).count() == 0 and H.hit_contexts(docs, []).count() == 0
+
+
+def test_contexts_are_short_at_document_edges_only(spark):
+    text = "a. " * 15 + "the b c d. " + "e f. g. " * 9
+    docs = spark.createDataFrame([(1, text), (2, "the end"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r["corpus_id"]: r for r in H.hit_contexts(docs, ["the"]).collect()}
+    tokens = [t for t in text.replace(".", " .").split()]
+    at = tokens.index("the")
+    assert set(got) == {1, 2} and got[2]["context"] == ["the", "end"]
+    assert got[1]["context"] == tokens[at - 10 : at + 5 + 10] and got[1]["position"] == 10
+
+
+def test_feature_vectors_read_what_was_written(spark):
+    rows = [(1, '"', 0.5), (2, 'say "hi", you', 1.0), (3, "a\nb", None), (4, None, 2.0), (5, " x\\", 3.0)]
+    schema = "id long, text string, f double"
+    path = new_path(spark, "test-features")
+    writers.csv_table(spark.createDataFrame(rows, schema), path)
+    assert sorted(map(tuple, readers.feature_vectors(spark, path, schema).collect())) == rows
+
+
+def test_article_limits_need_an_order(spark):
+    spark.range(5).withColumnRenamed("id", "ID").createOrReplaceTempView("test_articles")
+    assert readers.articles(spark, "test_articles").count() == 5
+    assert [r["id"] for r in readers.articles(spark, "test_articles", 2, ["id"]).collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        readers.articles(spark, "test_articles", 2)
 
 
 def test_hits_without_paper_keep_null_years(spark):

@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordtide.operators.streams import whole_groups
 from wordtide.session import cut_lineage
 
 BLOCK_ROWS = 5_000
@@ -68,8 +69,7 @@ def with_blocks(points: DataFrame, counts: DataFrame, group: Sequence[str], id_c
     joined = attach_small(points, counts.select(*group, "blocks"), group, [id_col])
     block = F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int")
     keys = [*group, "block"]
-    most = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = min(most, counts.agg(F.sum("blocks")).first()[0] or 1)
+    partitions = counts.agg(F.sum("blocks")).first()[0] or 1
     placed = joined.withColumn("block", block).drop("blocks").repartition(partitions, *keys)
     return placed.sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -86,23 +86,51 @@ def per_block(
     """Run kernel(points, model rows) on every block; adds the group columns.
 
     Models are a written table; `broadcast` says whether its size was checked to
-    be small, see `fits_broadcast`. The kernel gets two Arrow tables and returns a dict of output columns.
+    be small, see `fits_broadcast`. Small models go to every task and blocks stay where
+    they are placed; others are joined to the blocks by group. The kernel gets two Arrow
+    tables and returns a dict of output columns.
     """
     group = list(group)
+    if broadcast:
+        return _with_models(blocks, models, group, kernel, schema)
     each = counts.select(*group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     sent = join_small(each, models, group, ["block"], broadcast)
     types = dict(blocks.dtypes)
     keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
     run = _with_group(kernel, group)
-    if broadcast:
-        # Blocks without a model, such as those of finished words, stay in the JVM.
-        blocks = blocks.join(F.broadcast(models.select(*group)), group, "left_semi")
     keys = [*group, "block"]
     theirs = [f"_{k}" for k in keys]
     sent = sent.withColumnsRenamed(dict(zip(keys, theirs)))
     return blocks.groupBy(*keys).cogroup(sent.groupBy(*theirs)).applyInArrow(run, f"{keyed}, {schema}")
 
 
+def _with_models(blocks: DataFrame, models: DataFrame, group: list[str], kernel: Callable, schema: str) -> DataFrame:
+    """The narrow way: a pass over the placed blocks, with all models at hand."""
+    table = models.toArrow()
+    held = {}
+    for row, key in enumerate(zip(*(table.column(g).to_pylist() for g in group))):
+        held.setdefault(key, []).append(row)
+    sent = models.sparkSession.sparkContext.broadcast({key: table.take(rows) for key, rows in held.items()})
+    types = dict(blocks.dtypes)
+    keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
+    # Blocks without a model, such as those of finished words, stay in the JVM.
+    met = blocks.join(F.broadcast(models.select(*group)), group, "left_semi")
+
+    def run(batches):
+        import pyarrow as pa
+
+        apply = _with_group(kernel, group)
+        for table, ends in whole_groups(batches, [*group, "block"]):
+            for low, high in zip([0, *ends[:-1]], ends):
+                points = table.slice(low, high - low)
+                key = tuple(points.column(g)[0] for g in group)
+                of = sent.value.get(tuple(k.as_py() for k in key))
+                out = apply(key, points, of) if of is not None else pa.table({})
+                yield from out.to_batches()
+
+    return met.mapInArrow(run, f"{keyed}, {schema}")
+
+
 def _with_group(kernel: Callable, group: list[str]) -> Callable:
     def run(key, points, models):
         import pyarrow as pa

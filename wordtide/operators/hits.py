@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
+from wordtide.operators.blocks import attach_small
 
-# A target table up to this many words is turned into literals; a longer one is joined.
-LITERAL_TARGETS = 1000
+WINDOW = 10
 
 
 def collect_hits(
@@ -22,17 +22,19 @@ def collect_hits(
     """One row per exact, case-sensitive occurrence of a target token.
 
     Columns: corpus_id, sent_idx, sentence, word, start_idx, end_idx. Narrow for a
-    word list: sentences are split, searched and exploded inside the scan stage.
+    word list: sentences are split, searched and exploded inside the scan stage. A
+    table of targets is measured and broadcast; beyond that size hits are salted.
     """
     sentences = sentence_table(docs, id_col, text_col)
-    words = _literal_words(targets)
-    if words is not None:
+    if isinstance(targets, DataFrame):
+        found = _exploded(sentences, T.tokens(F.col("sentence")), "start_idx", "word")
+        wanted = targets.select("word").where("word is not null").distinct()
+        found = attach_small(found, wanted, ["word"], ["corpus_id", "sent_idx"])
+    else:
+        words = list(targets)
         mentioned = sentences.where(_mentions(F.col("sentence"), words))
         found = _exploded(mentioned, T.tokens(F.col("sentence")), "start_idx", "word")
         found = found.where(F.col("word").isin(words))
-    else:
-        found = _exploded(sentences, T.tokens(F.col("sentence")), "start_idx", "word")
-        found = found.join(targets.select("word").distinct(), "word", "left_semi")
     return found.select(
         "corpus_id",
         "sent_idx",
@@ -56,30 +58,48 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def hit_contexts(
-    docs: DataFrame, targets: Sequence[str], id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    targets: Sequence[str],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
 ) -> DataFrame:
-    """Hits with the tokens of their sentence and its two neighbours.
+    """Hits with the tokens of their sentence, of its two neighbours, and `window` tokens on each side at least.
 
-    Columns: corpus_id, sent_idx, start_idx, word, context, position (in context).
+    A side is shorter only at an edge of the document. Columns: corpus_id, sent_idx,
+    start_idx, word, context, position (in context).
     """
-    texts = docs.select(F.col(id_col).alias("corpus_id"), T.sentences(F.col(text_col)).alias("all"))
-    # Each sentence is zipped with its neighbours before the explode, so rows
-    # carry three sentences and not their whole document.
-    edge = F.array(F.lit(""))
-    size = F.size("all")
-    triples = F.arrays_zip(
-        F.col("all").alias("sentence"),
-        F.concat(edge, F.slice("all", F.lit(1), size)).alias("before"),
-        F.concat(F.slice("all", F.lit(2), size), edge).alias("after"),
+    texts = docs.select(F.col(id_col).alias("corpus_id"), T.sentences(F.col(text_col)).alias("_all"))
+    # Tokenised once per document, as a column of its own behind an explode of one row.
+    split = F.array(F.transform("_all", lambda s: F.struct(s.alias("sentence"), T.tokens(s).alias("words"))))
+    parts = texts.select("corpus_id", F.explode_outer(split).alias("all"))
+    # Rows carry what surrounds their sentence, not the whole document; every
+    # sentence has a token, so `window` sentences have enough of them.
+    count = F.size("all")
+    mentioned = F.filter(
+        F.sequence(F.lit(0), count - 1), lambda i: _mentions(F.get("all", i)["sentence"], list(targets))
     )
-    own = _exploded(texts, F.slice(triples, F.lit(1), size), "sent_idx", "t").drop("all")
-    own = own.where(_mentions(F.col("t.sentence"), list(targets)))
+    flat = lambda start, n: F.flatten(F.transform(F.slice("all", start, n), lambda s: s["words"]))
+
+    def around(i):
+        low = F.greatest(i - window, F.lit(0))
+        return F.struct(
+            i.alias("sent_idx"),
+            F.get("all", i)["words"].alias("words"),
+            flat(low + 1, i - low).alias("before"),
+            flat(i + 2, F.lit(window)).alias("after"),
+            F.greatest(F.coalesce(F.size(F.get("all", i - 1)["words"]), F.lit(0)), F.lit(window)).alias("n_before"),
+            F.greatest(F.coalesce(F.size(F.get("all", i + 1)["words"]), F.lit(0)), F.lit(window)).alias("n_after"),
+        )
+
+    own = parts.where(count > 0).select("corpus_id", F.explode(F.transform(mentioned, around)).alias("t"))
+    skipped = F.greatest(F.size("t.before") - F.col("t.n_before"), F.lit(0))
     windows = own.select(
         "corpus_id",
-        "sent_idx",
-        T.tokens(F.col("t.sentence")).alias("words"),
-        T.tokens(F.col("t.before")).alias("before"),
-        T.tokens(F.col("t.after")).alias("after"),
+        "t.sent_idx",
+        "t.words",
+        F.slice("t.before", skipped + 1, F.col("t.n_before")).alias("before"),
+        F.slice("t.after", F.lit(1), F.col("t.n_after")).alias("after"),
     )
     found = _exploded(windows, F.col("words"), "start_idx", "word")
     return found.where(F.col("word").isin(list(targets))).select(
@@ -121,14 +141,7 @@ def count_by_year(hits: DataFrame, papers: DataFrame, id_col: str, year: Column)
 
 def _mentions(sentence: Column, words: Sequence[str]) -> Column:
     """Cheap test before tokenising: the text contains one of the words."""
-    test = F.contains(sentence, F.lit(words[0]))
-    for word in words[1:]:
+    test = F.lit(False)
+    for word in words:
         test = test | F.contains(sentence, F.lit(word))
     return test
-
-
-def _literal_words(targets: Sequence[str] | DataFrame) -> list[str] | None:
-    if not isinstance(targets, DataFrame):
-        return list(targets)
-    words = [r["word"] for r in targets.select("word").distinct().limit(LITERAL_TARGETS + 1).collect()]
-    return words if len(words) <= LITERAL_TARGETS else None

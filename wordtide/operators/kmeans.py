@@ -10,46 +10,56 @@ from collections.abc import Sequence
 import sys
 
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wordtide.operators import blocks as B
 from wordtide.operators.arrays import lists, matrix
-from wordtide.operators.ranking import hash_order
-from wordtide.operators.sampling import sample_per_group
 from wordtide.session import cut_lineage, read_steps, write_step
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SEED_ROWS = 500
 STATE = ["start", "k", "cluster"]
 
 
 def start_centroids(
-    points: DataFrame, group: Sequence[str], k_range: Sequence[int], starts: int = 1, seed: int = 42
+    blocks: DataFrame,
+    counts: DataFrame,
+    group: Sequence[str],
+    k_range: Sequence[int],
+    starts: int = 1,
+    seed: int = 42,
+    below: bool = True,
 ) -> DataFrame:
-    """First centroids by k-means++ over at most SEED_ROWS points per group.
+    """Packed first centroids by k-means++ over all points: group, start, k, centroids.
 
-    Seeds for k are the first k of one sequence. Only the start comes from the
-    sample; every step after it uses all points. A group gets only k below its size.
+    Place after place, every word and start takes the point with the smallest -ln(u) / gap, gap being
+    the squared distance to the nearest point taken before (1 for the first place). That is a draw in
+    proportion to gap; u comes from the md5 of seed, start, place and id, so the draw does not
+    depend on how points are placed. Without a gap left, a twin of a taken point is taken. Seeds for
+    k are the first k of one sequence. A group gets the k below its size, or up to it if not `below`.
     """
-    group = list(group)
-    sample = sample_per_group(points, group, SEED_ROWS, ["usage_id"], seed).withColumn(
-        "_order", hash_order("usage_id", seed=seed)
-    )
-    types = dict(points.dtypes)
-    keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
-    picked = sample.groupBy(*group).applyInArrow(
-        _plus_plus(group, max(k_range), starts, seed), f"{keyed}, start int, place int, centroid array<double>"
-    )
-    sizes = points.groupBy(*group).agg(F.count("*").alias("_n"))
-    wanted = F.explode(F.array(*[F.lit(int(k)) for k in sorted(k_range)]))
-    return (
-        picked.join(sizes, group)
-        .withColumn("k", wanted)
-        .where((F.col("k") < F.col("_n")) & (F.col("place") < F.col("k")))
-        .select(*group, "start", "k", F.col("place").alias("cluster"), "centroid")
-    )
+    group, sizes = list(group), sorted({int(k) for k in k_range})
+    kind = dict(blocks.dtypes)["usage_id"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")
+    none = F.array().cast("array<double>").alias("centroids")
+    taken = cut_lineage(counts.select(*group, "points", every, none), "seeds")
+    schema = f"start int, score double, usage_id {kind}, vector array<double>"
+    most = min(max(sizes), taken.agg(F.max("points")).first()[0] or 0)
+    for place in range(most):
+        open_ = taken.where(F.col("points") > place).select(*group, "start", "centroids")
+        drawn = B.per_block(blocks, counts, open_, group, _draw(seed, place), schema, B.fits_broadcast(open_))
+        best = drawn.groupBy(*group, "start").agg(F.min_by("vector", F.struct("score", "usage_id")).alias("_new"))
+        grown = F.when(F.col("_new").isNull(), F.col("centroids")).otherwise(F.concat("centroids", "_new"))
+        joined = taken.join(best, [*group, "start"], "left")
+        taken = cut_lineage(joined.select(*group, "points", "start", grown.alias("centroids")), "seeds")
+    wanted = F.explode(F.array(*map(F.lit, sizes))).alias("k")
+    fits = F.col("k") < F.col("points") if below else F.col("k") <= F.col("points")
+    each = taken.select("*", wanted).where(fits)
+    size = (F.size("centroids") / F.least(F.lit(most), F.col("points"))).cast("int")
+    return each.select(*group, "start", "k", F.slice("centroids", F.lit(1), F.col("k") * size).alias("centroids"))
 
 
 def lloyd(
@@ -63,22 +73,35 @@ def lloyd(
 ) -> DataFrame:
     """Repeat assign and update until the packed centroids of every model stand still.
 
-    tol bounds the summed squared shift of a model, for points of variance 1.
+    tol bounds the summed squared shift of a model as a share of its points' mean variance
+    (1 if `counts` has no column `variance`). `converged` tells which models did
+    not merely reach max_iter.
     """
     group = list(group)
     moving, paths = models, []
+    scale = F.col("variance") if "variance" in counts.columns else F.lit(1.0)
+    of = counts.select(*group, F.when(scale > 0, scale).otherwise(1.0).alias("_scale"))
     for _ in range(max_iter):
         seen = Observation()
-        moved = step(blocks, counts, moving, group, broadcast).observe(
-            seen, F.count_if(F.col("shift") > tol).alias("moving")
-        )
+        moved = step(blocks, counts, moving, group, broadcast).join(of, group)
+        moved = moved.withColumn("shift", F.col("shift") / F.col("_scale")).drop("_scale")
+        moved = moved.observe(seen, F.count_if(F.col("shift") > tol).alias("moving"))
         paths.append(write_step(moved))
         moving = read_steps(moved, paths[-1:]).where(F.col("shift") > tol)
         if not seen.get["moving"]:
             break
     # Every model rests in the table of its last step; those cut off still move.
     resting = read_steps(moved, paths).where(F.col("shift") <= tol)
-    return cut_lineage(resting.unionByName(moving).drop("shift"))
+    ended = resting.withColumn("converged", F.lit(True)).unionByName(moving.withColumn("converged", F.lit(False)))
+    return cut_lineage(ended.drop("shift"))
+
+
+def mean_variance(points: DataFrame, group: Sequence[str]) -> DataFrame:
+    """group, variance: the mean over the dimensions of the variance of each."""
+    spread = vector_to_array(Summarizer.variance(array_to_vector(F.col("vector"))))
+    found = points.groupBy(*group).agg(spread.alias("_v"))
+    total = F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x)
+    return found.select(*group, (total / F.size("_v")).alias("variance"))
 
 
 def packed(centroids: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -90,11 +113,13 @@ def packed(centroids: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def unpacked(models: DataFrame, group: Sequence[str]) -> DataFrame:
-    """group, start, k, cluster, centroid, n."""
+    """group, start, k, cluster, centroid, n, and converged where it is known."""
+    kept = [*group, *STATE]
+    also = ["converged"] if "converged" in models.columns else []
     size = (F.size("centroids") / F.col("k")).cast("int")
     return models.select("*", F.posexplode("n").alias("cluster", "_n")).select(
-        *group,
-        *STATE,
+        *kept,
+        *also,
         F.slice("centroids", F.col("cluster") * size + 1, size).alias("centroid"),
         F.col("_n").cast("long").alias("n"),
     )
@@ -145,16 +170,18 @@ def fit(
     max_iter: int = 300,
     tol: float = 1e-4,
     block_rows: int = B.BLOCK_ROWS,
+    below: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Centroids and labels of the best start for each group and k.
 
-    Points have the group columns, usage_id and vector.
+    Points have the group columns, usage_id and vector. A group gets the k below its
+    size, or up to it if not `below`; one too small for every k has no model.
     """
     group = list(group)
-    counts = cut_lineage(B.block_counts(points, group, block_rows))
+    counted = B.block_counts(points, group, block_rows).join(mean_variance(points, group), group)
+    counts = cut_lineage(counted)
     blocks = B.with_blocks(points.select(*group, "usage_id", "vector"), counts, group, "usage_id")
-    first = start_centroids(blocks.drop("block"), group, k_range, starts, seed)
-    models = cut_lineage(packed(first, group))
+    models = cut_lineage(start_centroids(blocks, counts, group, k_range, starts, seed, below))
     broadcast = B.fits_broadcast(models)
     state = lloyd(blocks, counts, models, group, max_iter, tol, broadcast)
     if starts > 1:
@@ -224,32 +251,34 @@ def _labels(points, models):
     }
 
 
-def _plus_plus(group, size, starts, seed):
-    def run(table):
+def _draw(seed, place):
+    """The point of a block that each start would take next."""
+
+    def run(points, models):
+        from hashlib import md5
+
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by("_order")
-        vectors = matrix(table, "vector")
-        rows = []
-        for start in range(starts):
-            draw = np.random.default_rng([seed, start])
-            chosen = [int(draw.integers(len(vectors)))]
-            gaps = ((vectors - vectors[chosen[0]]) ** 2).sum(axis=1)
-            while len(chosen) < min(size, len(vectors)) and gaps.sum() > 0:
-                chosen.append(int(draw.choice(len(vectors), p=gaps / gaps.sum())))
-                gaps = np.minimum(gaps, ((vectors - vectors[chosen[-1]]) ** 2).sum(axis=1))
-            # Fewer distinct points than seeds: repeat the first seed, its twins stay empty.
-            chosen += [chosen[0]] * (min(size, len(vectors)) - len(chosen))
-            rows += [(start, place, i) for place, i in enumerate(chosen)]
-        names = {g: pa.array([table.column(g)[0].as_py()] * len(rows), table.column(g).type) for g in group}
-        return pa.table(
-            {
-                **names,
-                "start": pa.array([r[0] for r in rows], "int32"),
-                "place": pa.array([r[1] for r in rows], "int32"),
-                "centroid": lists(vectors[[r[2] for r in rows]]),
-            }
-        )
+        vectors, ids = matrix(points, "vector"), points.column("usage_id")
+        names = [str(i) for i in ids.to_pylist()]
+        starts, scores, picked = models.column("start").to_pylist(), [], []
+        for start, taken in zip(starts, models.column("centroids")):
+            told = np.asarray(taken.values, dtype="float64").reshape(-1, vectors.shape[1])
+            gaps = np.ones(len(vectors))
+            if len(told):
+                gaps = np.min([((vectors - seed_) ** 2).sum(axis=1) for seed_ in told], axis=0)
+            drawn = [int(md5(f"{seed}-{start}-{place}-{n}".encode()).hexdigest()[:13], 16) for n in names]
+            race = -np.log((np.array(drawn, dtype="float64") + 1) / (16.0**13 + 1))
+            score = np.divide(race, gaps, out=np.full(len(gaps), np.inf), where=gaps > 0)
+            best = min(np.flatnonzero(score == score.min()).tolist(), key=lambda i: ids[i].as_py())
+            scores.append(score[best])
+            picked.append(best)
+        return {
+            "start": pa.array(starts, "int32"),
+            "score": pa.array(scores, "float64"),
+            "usage_id": ids.combine_chunks().take(pa.array(picked)),
+            "vector": lists(vectors[picked]),
+        }
 
     return run

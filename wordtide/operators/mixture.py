@@ -22,6 +22,7 @@ from wordtide.session import cut_lineage, read_steps, write_step
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# The types in the order in which they are tried.
 COVARIANCE_TYPES = ["full", "spherical", "tied", "diag"]
 RIDGE = 1e-6
 # Stands for the likelihood of models that have no parameters yet.
@@ -43,13 +44,13 @@ def fit(
     """Best start of each model: group, covariance, k, parameters, log_likelihood, aic, bic.
 
     Models start from k-means clusters and stop once the mean log-likelihood
-    gains less than tol.
+    gains less than tol; `converged` tells which did so within max_iter.
     """
     group = list(group)
     types = [covariance_types] if isinstance(covariance_types, str) else list(covariance_types or COVARIANCE_TYPES)
-    counts = cut_lineage(B.block_counts(points, group, block_rows))
+    counts = cut_lineage(B.block_counts(points, group, block_rows).join(K.mean_variance(points, group), group))
     blocks = B.with_blocks(points.select(*group, "usage_id", "vector"), counts, group, "usage_id")
-    first = cut_lineage(K.packed(K.start_centroids(blocks.drop("block"), group, k_range, starts, seed), group))
+    first = cut_lineage(K.start_centroids(blocks, counts, group, k_range, starts, seed))
     shaped = K.lloyd(blocks, counts, first, group, broadcast=B.fits_broadcast(first))
     none = F.array().cast("array<double>")
     start = shaped.select(
@@ -71,19 +72,21 @@ def fit(
         seen = Observation()
         moved = step(blocks, counts, moving, group, broadcast)
         gain = (F.col("log_likelihood") - F.col("last")) / F.col("points")
-        moved = moved.withColumn("still", F.abs(gain) < tol)
+        # A model whose likelihood is no number has come to its end, too.
+        moved = moved.withColumn("still", F.coalesce((F.abs(gain) < tol) | F.isnan(gain), F.lit(False)))
         moved = moved.observe(seen, F.count_if(~F.col("still")).alias("moving"))
         paths.append(write_step(moved))
         moving = read_steps(moved, paths[-1:]).where("not still")
         if not seen.get["moving"]:
             break
     resting = read_steps(moved, paths).where("still")
-    final = cut_lineage(resting.unionByName(moving).drop("still", "last", "points"))
+    ended = resting.unionByName(moving).withColumn("converged", F.col("still"))
+    final = cut_lineage(ended.drop("still", "last", "points"))
     # One more pass scores the final parameters.
     scored = step(blocks, counts, final, group, broadcast).select(*keys, "log_likelihood")
     result = cut_lineage(final.drop("log_likelihood").join(scored, keys))
     best = result.groupBy(*group, "covariance", "k").agg(
-        F.max_by("start", F.struct("log_likelihood", -F.col("start"))).alias("start")
+        F.max_by("start", F.struct(F.nanvl("log_likelihood", F.lit(NO_LIKELIHOOD)), -F.col("start"))).alias("start")
     )
     chosen = result.join(best, keys, "left_semi").join(counts.select(*group, "points"), group)
     criteria = information_criteria(
@@ -136,7 +139,7 @@ def assign(points: DataFrame, models: DataFrame, group: Sequence[str], block_row
 def best_models(fitted: DataFrame, group: Sequence[str], criterion: str) -> DataFrame:
     """The model of lowest aic or bic per group; of equals the one tried first."""
     if criterion not in ("aic", "bic"):
-        raise ValueError(f'Invalid criterion {criterion}. Choose "aic" or "bic".')
+        raise ValueError(f"models are compared by aic or bic, not by {criterion!r}")
     turn = F.array_position(F.array(*map(F.lit, COVARIANCE_TYPES)), F.col("covariance"))
     row = F.struct(*[c for c in fitted.columns if c not in group])
     return fitted.groupBy(*group).agg(F.min_by(row, F.struct(criterion, turn, "k")).alias("_m")).select(

@@ -15,8 +15,8 @@ from wordtide.operators.sampling import hash_number
 from wordtide.operators.usage import period_labels
 from wordtide.session import cut_lineage
 
-# Words left out of the annotation set.
-EXCLUDED_WORDS = ["address", "mean"]
+# Words that an annotation set may leave out.
+EXCLUDED_WORDS = ("address", "mean")
 
 
 def with_snippets(usages: DataFrame, affixation: bool = False, min_context: int | None = None) -> DataFrame:
@@ -38,14 +38,16 @@ def prepare_snippets(
     usages: DataFrame,
     labels: dict | None = None,
     affixation: bool = False,
-    excluded: Sequence[str] = tuple(EXCLUDED_WORDS),
+    excluded: Sequence[str] = (),
+    min_context: int | None = None,
 ) -> DataFrame:
     """word, cluster, period, snippet_id, text from usages with context and position.
 
-    Usages: word, cluster, period, usage_id, context, position.
+    Usages: word, cluster, period, usage_id, context, position. Words in `excluded`
+    are left out, and usages with fewer than `min_context` tokens.
     """
     kept = usages.where(~F.col("word").isin(list(excluded)))
-    return with_snippets(kept, affixation).select(
+    return with_snippets(kept, affixation, min_context).select(
         "word",
         "cluster",
         period_labels(F.col("period"), labels).alias("period"),

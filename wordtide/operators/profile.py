@@ -80,21 +80,28 @@ def year_range(df: DataFrame, year: str = "year") -> DataFrame:
 
 
 def year_histogram(df: DataFrame, year: str = "year", bins: int = 10) -> DataFrame:
-    """bin, lo, hi, n over equal widths; the last bin includes the maximum."""
+    """bin, lo, hi, n of every bin over equal widths, empty ones too; the last bin includes the maximum.
+
+    No years give no bins; a single year fills the last bin of width 0.
+    """
     counts = df.where(F.col(year).isNotNull()).groupBy(year).agg(F.count("*").alias("n"))
     # From here on one row per year: bounded by the years, not by the papers.
     everything = W.partitionBy()
     lo, hi = F.min(year).over(everything), F.max(year).over(everything)
     width = (hi - lo) / bins
     placed = counts.select(
-        F.least(F.floor(F.try_divide(F.col(year) - lo, width)), F.lit(bins - 1)).alias("bin"),
+        F.least(F.coalesce(F.floor(F.try_divide(F.col(year) - lo, width)), F.lit(bins - 1)), F.lit(bins - 1)).alias("bin"),
         lo.alias("_lo"),
         width.alias("_width"),
         "n",
     )
-    filled = placed.groupBy("bin", "_lo", "_width").agg(F.sum("n").alias("n"))
-    edge = F.col("_lo") + F.col("bin") * F.col("_width")
-    return filled.select("bin", edge.alias("lo"), (edge + F.col("_width")).alias("hi"), "n")
+    # One row with the count of each bin, then a row per bin.
+    counted = placed.groupBy("_lo", "_width").agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0)) for b in range(bins)]).alias("_n")
+    )
+    each = counted.select("_lo", "_width", F.posexplode("_n").alias("_b", "n"))
+    edge = F.col("_lo") + F.col("_b") * F.col("_width")
+    return each.select(F.col("_b").cast("long").alias("bin"), edge.alias("lo"), (edge + F.col("_width")).alias("hi"), "n")
 
 
 def joined_text_offsets(sentences: DataFrame, doc: str = "corpus_id", row: str = "sent_idx") -> DataFrame:

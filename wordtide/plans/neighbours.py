@@ -12,9 +12,14 @@ LAYER = 7  # Fixed value: the layer shown.
 
 
 def cluster_layers(points: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """word, layer, usage_id, cluster: k-means of every word and layer at once."""
-    _, labels = kmeans.fit(points, ["word", "layer"], [k], seed=seed)
-    return labels.select("word", "layer", "usage_id", F.col("label").alias("cluster"))
+    """word, layer, usage_id, cluster: k-means of every word and layer at once.
+
+    Words with fewer than k usages have no model; their cluster is null.
+    """
+    keys = ["word", "layer", "usage_id"]
+    _, labels = kmeans.fit(points, ["word", "layer"], [k], seed=seed, below=False)
+    found = labels.select(*keys, F.col("label").alias("cluster"))
+    return points.select(*keys).join(found, keys, "left")
 
 
 def neighbour_bundle(points: DataFrame, sentences: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

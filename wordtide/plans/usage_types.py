@@ -12,13 +12,14 @@ from wordtide.session import cut_lineage
 
 K_RANGE = tuple(range(2, 11))
 SILHOUETTE = "silhouette"
+# Names of the criterion.
 CALINSKI = ("calinski", "harabasz", "calinski-harabasz")
 
 
 def kmeans_scores(points: DataFrame, labels: DataFrame, k_range: Sequence[int], criterion: str) -> DataFrame:
     """word, k, score of every fitted k."""
     if criterion != SILHOUETTE and criterion not in CALINSKI:
-        raise ValueError(f'Invalid criterion {criterion}. Choose "silhouette" or "calinski".')
+        raise ValueError(f"k-means is scored by silhouette or calinski, not by {criterion!r}")
     sizes = sorted(int(k) for k in k_range)
     if criterion in CALINSKI:
         labelled = points.join(labels.select("word", "usage_id", "k", "label"), ["word", "usage_id"])
@@ -62,16 +63,18 @@ def cluster_usages(
     """word, usage_id, k, label under the best model of each word.
 
     Usages: word, usage_id, vector. All words are fitted in the same jobs. The
-    criterion is silhouette for kmeans and bic for gmm unless given.
+    criterion is silhouette for kmeans and bic for gmm unless given. Words with too few
+    usages for a model keep their rows, with null k and label.
     """
     if method not in ("kmeans", "gmm"):
-        raise ValueError(f'Invalid method "{method}". Choose "kmeans" or "gmm".')
+        raise ValueError(f"usages are clustered by kmeans or gmm, not by {method!r}")
     if method == "gmm" and criterion not in (None, "aic", "bic"):
-        raise ValueError(f'Invalid criterion {criterion}. Choose "aic" or "bic".')
+        raise ValueError(f"mixtures are scored by aic or bic, not by {criterion!r}")
     points = cut_lineage(vectors.standardize(usages))
     if method == "kmeans":
         labels, _, _ = best_kmeans(points, k_range, criterion or SILHOUETTE, seed)
     else:
         fitted = mixture.fit(points, ["word"], k_range, seed=seed, **options)
         labels = mixture.assign(points, mixture.best_models(fitted, ["word"], criterion or "bic"), ["word"])
-    return labels.select("word", "usage_id", "k", "label")
+    found = labels.select("word", "usage_id", "k", "label")
+    return usages.select("word", "usage_id").join(found, ["word", "usage_id"], "left")

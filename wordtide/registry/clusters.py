@@ -44,7 +44,8 @@ def usage_distribution(spark, sf):
 
 
 def usage_distribution_soft(spark, sf):
-    squares = F.transform(F.slice("vector", 1, 3), lambda x: x * x)
+    """Squared and normalised vectors as memberships of as many clusters as they have entries."""
+    squares = F.transform("vector", lambda x: x * x)
     total = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
     soft = _dated(spark, sf).select("period", F.transform(squares, lambda x: x / total).alias("prob"))
     return U.soft_usage_distribution(soft).select("cluster", "period", rounded(F.col("n")).alias("n"))
@@ -121,12 +122,12 @@ def kmeans_sweep(spark, sf):
 def usage_clusters(spark, sf):
     """Cluster of each usage under the best k of its word by Calinski-Harabasz."""
     points = usages(spark, sf).select("word", "usage_id", "vector")
-    return usage_types.cluster_usages(points, "kmeans", range(2, 6), "calinski")
+    return usage_types.cluster_usages(points, "kmeans", criterion="calinski")
 
 
 def gmm_sweep(spark, sf):
     """aic and bic of mixtures of every covariance type, the best ones marked."""
-    fitted = M.fit(_standardized(spark, sf), GROUP, range(2, 4), max_iter=20, starts=1)
+    fitted = M.fit(_standardized(spark, sf), GROUP, usage_types.K_RANGE)
     marks = {
         c: M.best_models(fitted, GROUP, c).select("word", "covariance", "k", F.lit(True).alias(f"best_{c}"))
         for c in ("aic", "bic")
@@ -214,8 +215,8 @@ ORACLES = {
     "usage_distribution": with_parts(USAGES, BINS, _DATED, _GRID) + "SELECT word, CAST(label AS INTEGER) AS label, period, n FROM g",
     "usage_distribution_soft": with_parts(USAGES, BINS, _DATED) + """
       SELECT CAST(cluster AS INTEGER) AS cluster, period, round(sum(p), 6) + 0.0::DOUBLE AS n FROM (
-        SELECT period, unnest(range(3)) AS cluster,
-               unnest([v * v / (vector[1] * vector[1] + vector[2] * vector[2] + vector[3] * vector[3]) FOR v IN vector[1:3]]) AS p
+        SELECT period, unnest(range(len(vector))) AS cluster,
+               unnest([v * v / list_inner_product(vector, vector) FOR v IN vector]) AS p
         FROM d) GROUP BY 1, 2""",
     "usage_shares": with_parts(USAGES, BINS, _DATED, _GRID) + """
       SELECT word, CAST(label AS INTEGER) AS label, period, n,

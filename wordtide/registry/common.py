@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wordtide.functions.periods import PERIOD_BOUNDS
 from wordtide.functions.vectors import as_doubles
-from wordtide.sources.readers import spread
 
 WORDS = ["the", "de", "and"]
 PERIODS = [f"({lo}, {hi}]" for lo, hi in zip(PERIOD_BOUNDS, PERIOD_BOUNDS[1:])]
@@ -17,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows by a unique key over the cores when a scan has too few splits.
+
+    The given tables are single files; files of many splits stay as they are.
+    """
+    context = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() >= 2 * context.defaultParallelism:
+        return df
+    return df.repartition(context.defaultParallelism, key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -74,11 +84,16 @@ DIMENSIONS = """e AS (
 CONTEXTS = f"""n AS (
   SELECT doc_id, sent_idx, sentence,
          coalesce(lag(sentence) OVER (PARTITION BY doc_id ORDER BY sent_idx), '') AS before,
-         coalesce(lead(sentence) OVER (PARTITION BY doc_id ORDER BY sent_idx), '') AS after
+         coalesce(lead(sentence) OVER (PARTITION BY doc_id ORDER BY sent_idx), '') AS after,
+         coalesce(string_agg(sentence, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), '') AS longer,
+         coalesce(string_agg(sentence, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), '') AS further
   FROM s),
+w0 AS (
+  SELECT doc_id, sent_idx, {TOKENS_OF.format('longer')} AS kb, {TOKENS_OF.format('sentence')} AS kw,
+         {TOKENS_OF.format('further')} AS ka, greatest(10, len({TOKENS_OF.format('before')})) AS nb,
+         greatest(10, len({TOKENS_OF.format('after')})) AS na FROM n),
 w AS (
-  SELECT doc_id, sent_idx, {TOKENS_OF.format('before')} AS kb, {TOKENS_OF.format('sentence')} AS kw,
-         {TOKENS_OF.format('after')} AS ka FROM n),
+  SELECT doc_id, sent_idx, kw, kb[greatest(1, len(kb) - nb + 1):len(kb)] AS kb, ka[1:na] AS ka FROM w0),
 c AS (
   SELECT * FROM (
     SELECT doc_id AS corpus_id, sent_idx, CAST(unnest(range(len(kw))) AS INTEGER) AS start_idx, unnest(kw) AS word,

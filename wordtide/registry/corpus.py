@@ -16,23 +16,18 @@ from wordtide.session import new_path
 from wordtide.sources import readers, writers
 
 def _raw_texts(spark, sf):
-    """Each line of a document as a document of its own, sentences with ` the ` redacted."""
-    lines = F.split(F.replace("text", F.lit(" the "), F.lit(f" {T.REDACTION_MARK} ")), "\n")
-    marked = F.transform(
-        lines,
-        lambda line, i: F.concat(
-            F.lit("@@"), F.lpad(((F.col("doc_id") * 1000 + i) % 10_000_000).cast("string"), 7, "0"), F.lit(" "), line
-        ),
-    )
-    return documents(spark, sf).select(F.array_join(marked, "\n").alias("value"))
+    """Each document as a marked one of several lines, sentences with ` the ` redacted."""
+    text = F.replace("text", F.lit(" the "), F.lit(f" {T.REDACTION_MARK} "))
+    mark = F.concat(F.lit("@@"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(" "))
+    return documents(spark, sf).select(F.concat(mark, text).alias("value"))
 
 
 def _raw_metadata(spark, sf):
-    """Metadata of the first line of each labelled document, all strings, some broken."""
+    """Metadata of each labelled document, all strings, some broken."""
     name = F.col("doc_id").cast("string")
     return table(spark, sf, "labels").select(
         F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("x"), name))
-        .otherwise(F.concat((F.col("doc_id") * 1000).cast("string"), F.lit(".0")))
+        .otherwise(F.concat(name, F.lit(".0")))
         .alias("textID"),
         F.when(F.col("doc_id") % 10 == 5, F.concat(name, F.lit("d"))).otherwise(name).alias("#words"),
         F.when(F.col("doc_id") % 10 != 7, year_of("doc_id").cast("string")).alias("year"),
@@ -84,11 +79,12 @@ def corpora_union(spark, sf):
 
 def usage_store_merge(spark, sf):
     """A written usage store and a later one, one row per usage."""
-    columns = ["word", "usage_id", "label", "year"]
+    columns = ["word", "usage_id", "vector", "label", "year"]
     old, new = usages(spark, sf).where("label < 5"), usages(spark, sf).where("label >= 5")
     path = new_path(spark, "usages")
     writers.parquet_table(old.select(columns), path)
-    return U.merge_stores(readers.table(spark, path), new.select(columns))
+    merged = U.merge_stores(readers.table(spark, path), new.select(columns))
+    return exploded(merged, ["word", "usage_id", "label", "year"], "vector")
 
 
 def tsv_tagged_scan(spark, sf):
@@ -114,19 +110,20 @@ def wordlist_scan(spark, sf):
 
 def sql_scan_limit(spark, sf):
     table(spark, sf, "documents").withColumnRenamed("doc_id", "Doc_ID").createOrReplaceTempView("articles")
-    rows = readers.articles(spark, "articles", 5_000_000)
+    rows = readers.articles(spark, "articles", 5_000_000, ["doc_id"])
     return rows.select("doc_id", F.col(rows.columns[3]).alias("fourth"))
 
 
 def feature_semi_join(spark, sf):
     """Feature rows, from CSV, of the usages in a sample."""
     path = new_path(spark, "features")
-    vectors = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)])
+    size = range(64)
+    vectors = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in size])
     writers.csv_table(vectors, path)
-    features = readers.feature_vectors(spark, path, "vec_id long, f0 double, f1 double, f2 double, f3 double")
+    features = readers.feature_vectors(spark, path, ", ".join(["vec_id long", *(f"f{i} double" for i in size)]))
     sample = S.sample_n(table(spark, sf, "embeddings").select("vec_id"), 200, ["vec_id"])
     kept = features.join(sample, "vec_id", "left_semi")
-    return kept.select("vec_id", *[rounded(F.col(f"f{i}")).alias(f"f{i}") for i in range(4)])
+    return kept.select("vec_id", *[rounded(F.col(f"f{i}")).alias(f"f{i}") for i in size])
 
 
 def compute_once(spark, sf):
@@ -178,7 +175,7 @@ QUERIES = {
 }
 
 _METADATA = """m AS (
-  SELECT doc_id * 1000 AS "textID",
+  SELECT doc_id AS "textID",
          CASE WHEN doc_id % 10 <> 5 THEN CAST(doc_id AS DOUBLE) END AS words,
          CASE WHEN doc_id % 10 <> 7 THEN CAST(1950 + doc_id % 73 AS DOUBLE) END AS year,
          'genre' || toxic AS genre, CASE WHEN quality = 1 THEN 100.0::DOUBLE END AS subgen,
@@ -186,9 +183,7 @@ _METADATA = """m AS (
   FROM labels WHERE doc_id % 10 <> 3)"""
 _STRIP_X = STRIP.format("x")
 _ALL_LINES = f"""l AS (
-  SELECT (doc_id * 1000 + i - 1) % 10000000 AS "textID", line FROM (
-    SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM (
-      SELECT doc_id, string_split(replace(text, ' the ', ' @ @ @ @ @ @ @ @ @ @ '), chr(10)) AS a FROM documents))),
+  SELECT doc_id AS "textID", replace(text, ' the ', ' @ @ @ @ @ @ @ @ @ @ ') AS line FROM documents),
 d AS (
   SELECT "textID", array_to_string([{_STRIP_X} FOR x IN
       regexp_extract_all({STRIP.format('line')}, '[^.!?]*[.!?]+|[^.!?]+')
@@ -205,15 +200,16 @@ ORACLES = {
       SELECT source, key, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM (
         SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42-' || key), key) AS r FROM a) WHERE r <= 200""",
     "usage_store_merge": """
-      SELECT 'w' || vec_id % 5 AS word, vec_id AS usage_id, label, CAST(1950 + vec_id % 73 AS INTEGER) AS year FROM embeddings""",
+      SELECT 'w' || vec_id % 5 AS word, vec_id AS usage_id, label, CAST(1950 + vec_id % 73 AS INTEGER) AS year,
+             CAST(unnest(range(len(embedding))) AS INTEGER) AS dim,
+             round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0::DOUBLE AS value FROM embeddings""",
     "tsv_tagged_scan": """
       SELECT role AS word, translate(text, chr(10) || chr(13) || chr(9) || '"' || chr(92), '     ') AS sentence,
              CAST(length(text) AS VARCHAR) AS tag, conv_id || '-' || turn AS bnc_index FROM conversations""",
     "wordlist_scan": "SELECT lang AS word, count(*) AS n FROM documents GROUP BY lang",
-    "sql_scan_limit": "SELECT doc_id, source AS fourth FROM documents LIMIT 5000000",
-    "feature_semi_join": """
-      SELECT vec_id, round(f[1], 6) + 0.0::DOUBLE AS f0, round(f[2], 6) + 0.0::DOUBLE AS f1,
-             round(f[3], 6) + 0.0::DOUBLE AS f2, round(f[4], 6) + 0.0::DOUBLE AS f3
+    "sql_scan_limit": "SELECT doc_id, source AS fourth FROM documents ORDER BY doc_id LIMIT 5000000",
+    "feature_semi_join": "SELECT vec_id, "
+    + ", ".join(f"round(f[{i + 1}], 6) + 0.0::DOUBLE AS f{i}" for i in range(64)) + """
       FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings ORDER BY md5('42-' || vec_id), vec_id LIMIT 200)""",
     "compute_once": "SELECT source, count(*) AS n FROM documents GROUP BY source",
     "centroids_roundtrip": """

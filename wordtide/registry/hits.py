@@ -119,9 +119,11 @@ def nominal_shares(spark, sf):
 
 
 def attr_roundtrip(spark, sf):
+    """Attributes with quotes, commas and line ends in their texts."""
     path = new_path(spark, "attributes")
-    writers.csv_table(_profile(spark, sf), path)
-    schema = "corpus_id long, sent_idx int, start_idx int, year int, token_pos string"
+    odd = F.array(*[F.lit(x) for x in ('"', 'say "hi", you', "a\nb", "c\\d", " e ")])
+    writers.csv_table(_profile(spark, sf).withColumn("token_text", F.get(odd, F.col("start_idx") % 5)), path)
+    schema = "corpus_id long, sent_idx int, start_idx int, year int, token_pos string, token_text string"
     return readers.feature_vectors(spark, path, schema)
 
 
@@ -244,7 +246,8 @@ ORACLES = {
         SELECT year, lang AS token_dep, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY year) AS BIGINT) AS total
         FROM p JOIN documents d ON d.doc_id = p.corpus_id
         WHERE token_pos IS DISTINCT FROM 'VERB' GROUP BY year, lang)""",
-    "attr_roundtrip": with_parts(SENTENCES, TOKENS, _PROFILE) + "SELECT * FROM p",
+    "attr_roundtrip": with_parts(SENTENCES, TOKENS, _PROFILE) + """
+      SELECT *, ['"', 'say "hi", you', 'a' || chr(10) || 'b', 'c' || chr(92) || 'd', ' e '][start_idx % 5 + 1] AS token_text FROM p""",
     "decade_counts": """
       SELECT CAST((1950 + doc_id % 73) // 10 * 10 AS INTEGER) AS decade, count(*) AS n FROM documents GROUP BY 1""",
     "period_bins": with_parts(BINS) + """
@@ -257,9 +260,8 @@ ORACLES = {
     "year_histogram": """
       WITH y AS (SELECT year(o_orderdate) AS y FROM orders),
       r AS (SELECT min(y) AS lo, (max(y) - min(y)) / 10 AS w FROM y)
-      SELECT CAST(least(floor((y - lo) / w), 9) AS BIGINT) AS bin, round(lo + least(floor((y - lo) / w), 9) * w, 6) AS lo,
-             round(lo + least(floor((y - lo) / w), 9) * w + w, 6) AS hi, count(*) AS n
-      FROM y, r GROUP BY ALL""",
+      SELECT b AS bin, round(lo + b * w, 6) AS lo, round(lo + b * w + w, 6) AS hi, count(y) AS n
+      FROM (SELECT unnest(range(10)) AS b) CROSS JOIN r LEFT JOIN y ON least(floor((y - r.lo) / r.w), 9) = b GROUP BY ALL""",
     "text_concat": with_parts(SENTENCES) + """
       SELECT doc_id AS corpus_id, sent_idx, CAST(sum(length(sentence) + 1) OVER (ORDER BY doc_id, sent_idx)
              - length(sentence) - 1 AS BIGINT) AS char_start FROM s""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
-from wordtide.functions.vectors import columns_of, one_hot as one_hot_of
+from wordtide.functions.vectors import columns_of, with_one_hot
 from wordtide.operators import hits as H, usage as U
 from wordtide.operators.ranking import rank_by_number
 from wordtide.registry.common import (
@@ -49,7 +49,8 @@ def vector_columns(spark, sf):
 
 
 def one_hot(spark, sf):
-    points = usages(spark, sf).select("usage_id", one_hot_of(F.col("label"), 10).alias("hot"))
+    """The number of classes comes from the labels."""
+    points = with_one_hot(usages(spark, sf).select("usage_id", "label"), "label", "hot").select("usage_id", "hot")
     return points.select("usage_id", *[F.get("hot", F.lit(i)).alias(f"c{i}") for i in range(10)])
 
 

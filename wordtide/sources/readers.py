@@ -17,18 +17,6 @@ TAGGED_SCHEMA = "word string, sentence string, tag string, bnc_index string"
 CLUSTER_SCHEMA = "k_clusters int, layer int, cluster_id int, sentence_uids array<string>"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows by a unique key over the cores when a scan has too few splits.
-
-    Files of many splits stay as they are: no shuffle at scale. Call it on scans
-    only, where counting the splits does not run anything.
-    """
-    context = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() >= 2 * context.defaultParallelism:
-        return df
-    return df.repartition(context.defaultParallelism, key)
-
-
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per text file below root: path, value."""
     return (
@@ -105,11 +93,17 @@ def tagged_occurrences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TAGGED_SCHEMA).csv(path, sep="\t", header=False)
 
 
-def articles(spark: SparkSession, table_name: str, limit: int | None = 5_000_000) -> DataFrame:
-    """Rows of a catalog table or view, lower-cased names, at most `limit`."""
+def articles(
+    spark: SparkSession, table_name: str, limit: int | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of a catalog table or view, lower-cased names; all of them, or the first `limit` by `order`."""
     df = spark.table(table_name)
     df = df.toDF(*[c.lower() for c in df.columns])
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return df
+    if not order:
+        raise ValueError("A limit needs columns to order by, or its rows are not determined.")
+    return df.orderBy(*order).limit(limit)
 
 
 def jdbc_articles(spark: SparkSession, url: str, table_name: str, **options: str) -> DataFrame:
@@ -129,4 +123,5 @@ def stored_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feature_vectors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    """Rows written by `writers.csv_table`; quotes, commas and line ends in texts are kept."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')

@@ -23,8 +23,8 @@ CONTROL_COLUMNS = ["fieldname_gold", "fieldname_gold_reason", "_golden"]
 CONTROL_VALUES = ["identical", "", "TRUE"]
 
 
-def clean_corpus(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet with the fixed schema; other columns are left out."""
+def clean_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Parquet with the fixed schema; other columns are left out. A rerun replaces the table."""
     df.select([F.col(f"`{c}`").cast(t).alias(c) for c, t in CLEAN_SCHEMA.items()]).write.mode(mode).parquet(path)
 
 
@@ -41,7 +41,10 @@ def hits_by_word(df: DataFrame, path: str) -> None:
 
 
 def pair_sheet(pairs: DataFrame, path: str, control: bool = False) -> None:
-    """Tab-separated pairs in shuffled order; fails if a pair mixes two lemmas."""
+    """Tab-separated pairs in shuffled order; fails if a pair mixes two lemmas.
+
+    The sheet has no quotes: tabs and line ends within texts become blanks.
+    """
     checked = pairs.withColumn(
         "lemma",
         F.when(F.col("lemma_a") == F.col("lemma_b"), F.col("lemma_a")).otherwise(
@@ -49,7 +52,8 @@ def pair_sheet(pairs: DataFrame, path: str, control: bool = False) -> None:
         ),
     )
     order = F.md5(F.concat_ws("-", F.lit("42"), *[F.col(c) for c in PAIR_COLUMNS]))
-    sheet = checked.orderBy(order).select(PAIR_COLUMNS)
+    texts = {c: F.regexp_replace(c, r"[\t\r\n]", " ") for c, t in checked.dtypes if t == "string" and c in PAIR_COLUMNS}
+    sheet = checked.orderBy(order).withColumns(texts).select(PAIR_COLUMNS)
     if control:
         sheet = sheet.select(
             "*", *[F.lit(v).alias(c) for c, v in zip(CONTROL_COLUMNS, CONTROL_VALUES)]
