@@ -7,9 +7,11 @@ chunk without one of its values. So all pairs within distance t share a key. t f
 from the similarity threshold and the accepted chance of missing a pair right at it.
 
 Texts with equal sets are one class and stand for themselves once. Within a bucket of
-equal keys, members are first held against two leaders; confirmed links join them into
-components, and only pairs of different components are looked at afterwards. So a group
-of copies costs about its size, not its square. Every link is confirmed on the full sets.
+equal keys, members are first held against its first one and the one before them. Near
+pairs make families, confirmed ones components; afterwards only pairs of different
+components are looked at, block by block inside the families, and those of different
+families in a bucket. So a group of copies costs about its size as far as links join it, and
+pairs that fail are not moved. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordtide.llm.shingles import shingle_sets, signatures
-from wordtide.llm.streams import whole_groups
+from wordtide.llm.shingles import _mix, shingle_sets, signatures
+from wordtide.operators.blocks import fits_broadcast
+from wordtide.operators.streams import whole_groups
 from wordtide.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,6 +33,7 @@ PLACES = 64
 MISS = 1e-6
 BLOCK_ROWS = 512
 SET_BLOCK = 128
+SLOTS = 64  # a power of two, no less than the places of a signature
 
 
 def most_errors(percent: int, places: int = PLACES, miss: float = MISS) -> int:
@@ -97,45 +101,38 @@ def _components_of(rows, reps, words, percent, places, miss):
     """rep, label of the classes that are linked to others."""
     errors = most_errors(percent, places, miss)
     edges = chunk_edges(places, errors)
-    keys = reps.select("rep", "n", "sig").mapInArrow(_keys(edges), "key long, slot int, rep long")
-    # Two leaders of each bucket: the smallest id, and the first by a hash.
-    heads = (
-        keys.groupBy("key", "slot")
-        .agg(
-            F.min("rep").alias("low"),
-            F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))).alias("_any"),
-            F.count("*").alias("size"),
-        )
-        .where("size > 1")
-        .select("key", "slot", "low", F.col("_any.r").alias("any"), "size")
-    )
-    buckets = cut_lineage(keys.join(heads, ["key", "slot"]), "buckets")
+    keys = reps.select("rep", "sig").mapInArrow(_keys(edges), "key long, rep long")
+    placed = keys.repartition("key").sortWithinPartitions("key", "rep")
+    buckets = cut_lineage(placed.mapInArrow(_buckets, "key long, rep long, low long, before long"), "buckets")
+    signed = reps.select("rep", "n", "sig")
+    sets = _sets_of(rows, buckets.select("rep").distinct(), words)
+
+    # Members of a bucket are held against its smallest id and against the one before them.
     first = (
-        buckets.select("rep", F.explode(F.array_distinct(F.array("low", "any"))).alias("head"))
+        buckets.select("rep", F.explode(F.array_distinct(F.array("low", "before"))).alias("head"))
         .where("rep <> head")
         .select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
         .distinct()
     )
-    signed = reps.select("rep", "n", "sig")
-    near = _near_pairs(first, signed, percent, errors)
-    near = cut_lineage(near, "stars")
-    sets = _sets_of(rows, near, words)
-    links = cut_lineage(_confirmed(near, sets, percent), "links")
-    labels = components(links)
+    near = cut_lineage(_near_pairs(first, signed, percent, errors), "near")
+    family = components(near).withColumnRenamed("label", "family")
+    links = cut_lineage(_confirmed(near, family, sets, percent), "links")
 
-    # What the stars have left: pairs of different components in a bucket.
+    # Pairs that links have not yet joined: within a family of near pairs, and then across families.
+    inner = _within_families(family, components(links), signed, sets, percent, errors)
+    inner = cut_lineage(inner, "inner")
     named = cut_lineage(
-        buckets.select("key", "slot", "rep", "size")
-        .join(labels, "rep", "left")
-        .withColumn("label", F.coalesce("label", "rep")),
+        buckets.select("key", "rep").join(family, "rep", "left").withColumn("family", F.coalesce("family", "rep")),
         "members",
     )
-    mixed = named.groupBy("key", "slot").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m")
-    left = named.join(mixed.select("key", "slot"), ["key", "slot"], "left_semi").join(signed, "rep")
-    rest = _pairs_in_buckets(left, edges, percent, errors).join(near, ["a", "b"], "left_anti")
-    rest = cut_lineage(rest, "rest")
-    more = cut_lineage(_confirmed(rest, _sets_of(rows, rest, words), percent), "more")
-    return components(links.unionByName(more))
+    counted = named.groupBy("key").agg(
+        F.min("family").alias("_l"), F.max("family").alias("_m"), F.count("*").alias("size")
+    )
+    mixed = cut_lineage(counted.where("_l <> _m").select("key", "size"), "mixed")
+    left = named.join(mixed, "key").join(signed, "rep").withColumnRenamed("family", "label")
+    rest = cut_lineage(_pairs_in_buckets(left, edges, percent, errors), "rest")
+    more = _confirmed(rest, components(rest).withColumnRenamed("label", "family"), sets, percent)
+    return components(links.unionByName(inner).unionByName(cut_lineage(more, "more")))
 
 
 def _near_pairs(pairs, signed, percent, errors):
@@ -148,20 +145,22 @@ def _near_pairs(pairs, signed, percent, errors):
     return joined.where(size).mapInArrow(_close(errors), "a long, b long")
 
 
-def _sets_of(rows, pairs, words):
-    """rep and set of the texts in pairs, from the texts once more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return cut_lineage(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "rep long, items binary"), "items")
+def _sets_of(rows, wanted, words):
+    """rep and set of the wanted texts, from the texts once more; only ids are moved if they are few."""
+    wanted = cut_lineage(wanted.select(F.col("rep").alias("id")), "wanted")
+    if fits_broadcast(wanted):
+        wanted = F.broadcast(wanted)
+    texts = rows.join(wanted, "id", "left_semi")
+    return cut_lineage(texts.mapInArrow(_sets(words), "rep long, items binary"), "items").dropDuplicates(["rep"])
 
 
-def _confirmed(pairs, sets, percent):
+def _confirmed(pairs, family, sets, percent):
     """The pairs whose full sets are similar enough.
 
     Texts are dealt to blocks, those of a component of candidates to as few as hold them; a task
     gets the sets of two blocks and the pairs between them, so a set is moved once for each
     block that it meets, not for each pair.
     """
-    family = components(pairs).withColumnRenamed("label", "family")
     sized = family.groupBy("family").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("_blocks"))
     bins = max(1, -(-family.count() // SET_BLOCK))
     place = F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
@@ -174,7 +173,7 @@ def _confirmed(pairs, sets, percent):
         "placed",
     )
     meets = placed.select("x", "y").distinct().select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    sent = sets.dropDuplicates(["rep"]).join(dealt, "rep").join(meets, "block").select("x", "y", "rep", "items")
+    sent = sets.join(dealt, "rep").join(meets, "block").select("x", "y", "rep", "items")
     return (
         placed.groupBy("x", "y")
         .cogroup(sent.withColumnsRenamed({"x": "_x", "y": "_y"}).groupBy("_x", "_y"))
@@ -182,8 +181,44 @@ def _confirmed(pairs, sets, percent):
     )
 
 
+def _within_families(family, labels, signed, sets, percent, errors):
+    """Links between components of a family, as many as it takes to join them.
+
+    Large components fill blocks of their own, small ones share blocks. Two blocks of the same
+    component need not meet; all others do, and a task looks at the pairs of two blocks.
+    Families of a single block share tasks.
+    """
+    named = family.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    state = named.groupBy("family").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.count("*").alias("_f"))
+    mixed = state.where("_l <> _m").select("family", "_f")
+    sizes = named.groupBy("family", "label").agg(F.count("*").alias("_c"))
+    large = F.col("_c") >= SET_BLOCK
+    named = named.join(mixed, "family").join(sizes, ["family", "label"]).select(
+        "rep", "family", "label", large.alias("large"), F.when(large, F.col("label")).otherwise(F.col("family")).alias("own"), "_f"
+    )
+    named = cut_lineage(named, "open")
+    parts = named.groupBy("family", "large", "own").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("_p"))
+    bins = max(1, -(-named.where(F.col("_f") <= SET_BLOCK).count() // SET_BLOCK))
+    place = F.xxhash64("family", "large", "own", F.pmod(F.xxhash64("rep"), F.col("_p")))
+    block = F.when(F.col("_f") <= SET_BLOCK, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(place)
+    dealt = cut_lineage(
+        named.join(parts, ["family", "large", "own"]).select("rep", "family", "label", "large", "own", "_f", block.alias("block")),
+        "dealt",
+    )
+    alone = dealt.where(F.col("_f") <= SET_BLOCK).select(F.col("block").alias("x"), F.col("block").alias("y")).distinct()
+    of = lambda side: dealt.where(F.col("_f") > SET_BLOCK).select(
+        "family", F.col("block").alias(side), F.col("large").alias(f"_g{side}"), F.col("own").alias(f"_o{side}")
+    ).distinct()
+    same = F.col("_gx") & F.col("_gy") & (F.col("_ox") == F.col("_oy"))
+    meets = of("x").join(of("y"), "family").where((F.col("x") <= F.col("y")) & ~same).select("x", "y").unionByName(alone)
+    each = cut_lineage(meets, "meets").withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+    sent = dealt.select("rep", "family", "label", "block").join(each, "block").join(signed, "rep").join(sets, "rep")
+    columns = ["x", "y", "rep", "family", "label", "block", "n", "sig", "items"]
+    return sent.select(*columns).groupBy("x", "y").applyInArrow(_join_blocks(percent, errors), "a long, b long")
+
+
 def _pairs_in_buckets(left, edges, percent, errors):
-    """Pairs of different components within each bucket, by blocks; each pair in one of its buckets only."""
+    """Pairs of different families within each bucket, by blocks; each pair in one of its buckets only."""
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -194,7 +229,7 @@ def _pairs_in_buckets(left, edges, percent, errors):
         .withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")})
         .drop("_blocks", "_other", "size")
     )
-    keys = ["key", "slot", "i", "j"]
+    keys = ["key", "i", "j"]
     placed = cut.select(*keys, "own", "rep", "label", "n", "sig").repartition(*keys).sortWithinPartitions(*keys)
     return placed.mapInArrow(_bucket_pairs(edges, percent, errors), "a long, b long")
 
@@ -278,7 +313,7 @@ def _matrix(column):
 
 
 def _keys(edges):
-    """For every chunk and every value left out of it, a hash of the others."""
+    """For every chunk and every value left out of it, a hash of the others; the lowest bits name the place left out."""
 
     def run(batches):
         import numpy as np
@@ -290,28 +325,53 @@ def _keys(edges):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                terms = (_matrix(part.column(2)).astype("uint64") + np.uint64(1)) * odd
-                terms ^= terms >> np.uint64(29)
-                terms *= np.uint64(0xBF58476D1CE4E5B9)
-                keys, slots = [], []
+                terms = _mix((_matrix(part.column(1)).astype("uint64") + np.uint64(1)) * odd)
+                keys = []
                 for low, high in edges:
                     whole = terms[:, low:high].sum(axis=1, dtype="uint64")
                     for out in range(low, high):
-                        keys.append(whole - terms[:, out])
-                        slots.append(out)
-                count = len(part)
+                        own = (whole - terms[:, out]) & ~np.uint64(SLOTS - 1)
+                        keys.append(own | np.uint64(out))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view("int64")),
-                        pa.array(np.repeat(np.array(slots, dtype="int32"), count)),
-                        pa.array(np.tile(np.asarray(part.column(0)), len(slots))),
-                    ],
-                    ["key", "slot", "rep"],
+                    [pa.array(np.concatenate(keys).view("int64")), pa.array(np.tile(np.asarray(part.column(0)), len(keys)))],
+                    ["key", "rep"],
                 )
 
     return run
 
 
+def _buckets(batches):
+    """Of rows sorted by key and rep those that share their key, with its first rep and the rep before; keeps one row."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+
+    def rows(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "rep", "low", "before"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, rep = (np.asarray(batch.column(c)) for c in (0, 1))
+        if held is not None:
+            key, rep = np.append(held[0], key), np.append(held[1], rep)
+        same = key[1:] == key[:-1]
+        starts = np.append(True, ~same)
+        firsts = rep[starts]
+        before = np.where(starts, rep, np.append(rep[:1], rep[:-1]))
+        if held is not None:
+            firsts[0], before[0] = held[2], held[3]
+        low = firsts[np.cumsum(starts) - 1]
+        shared = np.append(held[4] if held is not None else False, same)
+        keep = np.flatnonzero((shared[:-1] | same))
+        if len(keep):
+            yield rows([c[keep] for c in (key, rep, low, before)])
+        held = (key[-1:], rep[-1:], low[-1], before[-1], bool(shared[-1]))
+    if held is not None and held[4]:
+        yield rows([held[0], held[1], np.array([held[2]]), np.array([held[3]])])
+
+
 def _close(errors):
     def run(batches):
         import numpy as np
@@ -343,30 +403,69 @@ def _sets(words):
     return run
 
 
+def _alike(one, two, percent):
+    """Whether two sorted sets are similar enough."""
+    import numpy as np
+
+    both = np.concatenate([one, two])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _similar(percent):
     def run(pairs, sets):
         import numpy as np
         import pyarrow as pa
 
         held = {}
-        reps, items = sets.column("rep").to_pylist(), sets.column("items")
-        for rep, item in zip(reps, items):
+        for rep, item in zip(sets.column("rep").to_pylist(), sets.column("items")):
             held[rep] = np.frombuffer(item.as_py(), dtype="uint64")
-        keep = []
         a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
-        for i, (x, y) in enumerate(zip(a, b)):
-            one, two = held[x], held[y]
-            both = np.concatenate([one, two])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(both) - common):
-                keep.append(i)
-        take = pa.array(keep, "int64")
+        take = pa.array([i for i, (x, y) in enumerate(zip(a, b)) if _alike(held[x], held[y], percent)], "int64")
         return pa.table({"a": pairs.column("a").take(take), "b": pairs.column("b").take(take)})
 
     return run
 
 
+def _join_blocks(percent, errors):
+    """Links that join components of a family across two blocks, or within one."""
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        across = key[0].as_py() != key[1].as_py()
+        table = table.sort_by([("family", "ascending"), ("rep", "ascending")])
+        column = lambda name: table.column(name).to_numpy()
+        rep, family, block, n = (column(c) for c in ("rep", "family", "block", "n"))
+        label, sig, items = column("label").copy(), _matrix(table.column("sig")), table.column("items")
+        held, out = {}, []
+        ends = np.searchsorted(family, family, side="right")
+
+        def items_of(i):
+            if i not in held:
+                held[i] = np.frombuffer(items[i].as_py(), dtype="uint64")
+            return held[i]
+
+        for i in range(len(rep)):
+            to = np.arange(i + 1, ends[i])
+            fit = (label[to] != label[i]) & (np.minimum(n[i], n[to]) * 100 >= np.maximum(n[i], n[to]) * percent)
+            if across:
+                fit &= block[to] != block[i]
+            to = to[fit]
+            if len(to):
+                to = to[(sig[to] != sig[i]).sum(axis=1) <= errors]
+            for j in to.tolist():
+                if label[i] != label[j] and _alike(items_of(i), items_of(j), percent):
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    label[label == label[j]] = label[i]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, "int64"), "b": pa.array(b, "int64")})
+
+    return run
+
+
 def _bucket_pairs(edges, percent, errors):
     """Rows come sorted by block of bucket; a row is held against those d places further on, for all rows at once."""
 
@@ -374,7 +473,8 @@ def _bucket_pairs(edges, percent, errors):
         import numpy as np
 
         column = lambda name: table.column(name).to_numpy()
-        rep, label, n, own, slot = (column(c) for c in ("rep", "label", "n", "own", "slot"))
+        rep, label, n, own = (column(c) for c in ("rep", "label", "n", "own"))
+        slot = column("key") % SLOTS
         across, sig = column("i") != column("j"), _matrix(table.column("sig"))
         group = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         for d in range(1, int(np.diff(ends, prepend=0).max())):
@@ -400,7 +500,7 @@ def _bucket_pairs(edges, percent, errors):
     def run(batches):
         import pyarrow as pa
 
-        for table, ends in whole_groups(batches, ["key", "slot", "i", "j"]):
+        for table, ends in whole_groups(batches, ["key", "i", "j"]):
             for a, b in pairs(table, ends):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
