@@ -186,10 +186,7 @@ def walk(lists: DataFrame, small: DataFrame, starts: DataFrame, pool: int = POOL
 
 def best_lists(rows: DataFrame, size: int) -> DataFrame:
     """Rows of LISTS: for each node the others nearest to it, each once; `least` is the last one's nearness if the list is full."""
-    sent = rows.select("node", "other", "near", "old").mapInArrow(
-        _first_best(size), "node long, other long, near double, old boolean"
-    )
-    placed = sent.repartition("node").sortWithinPartitions("node")
+    placed = rows.select("node", "other", "near", "old").repartition("node").sortWithinPartitions("node")
     return placed.mapInArrow(_best(size), LISTS)
 
 
@@ -295,19 +292,6 @@ def _arrays(table):
     return [np.asarray(table.column(c).to_numpy(zero_copy_only=False)) for c in ("node", "other", "near", "old")]
 
 
-def _first_best(size):
-    """What of a batch can be on a list at all."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                arrays = _arrays(batch)
-                keep = _reduce(*arrays, size)
-                yield _rows(*(a[keep] for a in arrays))
-
-    return run
-
-
 def _best(size):
     def run(batches):
         import numpy as np

@@ -214,6 +214,9 @@ class _Parser:
                     yield from self._end()
 
     def _header(self, data, at):
+        # Line ends before a record are none of it, such as what follows the last one of a file.
+        while not self.head and at < len(data) and data[at] in b"\r\n":
+            at += 1
         before = len(self.head)
         self.head += data[at:]
         end = self.head.find(b"\r\n\r\n", max(0, before - 3))
