@@ -113,10 +113,10 @@ def _double_array(tree, symbols):
             continue
         at, window = -1, low
         while at < 0:
-            if window + 4096 + 2 * symbols >= size:
-                more = size
-                base, check = np.append(base, np.zeros(more, "int64")), np.append(check, np.full(more, -1))
-                used, size = np.append(used, np.zeros(more, bool)), size + more
+            while window + 4096 + 2 * symbols >= size:
+                base, check = np.append(base, np.zeros(size, "int64")), np.append(check, np.full(size, -1))
+                used = np.append(used, np.zeros(size, bool))
+                size *= 2
             free = np.flatnonzero(~used[window : window + 4096]) + window - kids[0]
             free = free[free > 0]
             fits = free[~used[free[:, None] + kids[None, :]].any(axis=1)]
