@@ -28,17 +28,17 @@ def squared_distance(u: Column, v: Column) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def one_hot(label: Column, classes: int | Column) -> Column:
-    last = (classes if isinstance(classes, Column) else F.lit(classes)) - 1
-    return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda c: F.when(c == label, 1).otherwise(0))
+def one_hot(label: Column, classes: int) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.when(c == label, 1).otherwise(0)
+    )
 
 
 def with_one_hot(df: DataFrame, label: str, name: str, classes: int | None = None) -> DataFrame:
     """Adds the one-hot array of a label column; without a number of classes the largest label gives it."""
-    if classes is not None:
-        return df.withColumn(name, one_hot(F.col(label), classes))
-    most = df.agg((F.max(label) + 1).alias("_classes"))
-    return df.crossJoin(F.broadcast(most)).withColumn(name, one_hot(F.col(label), F.col("_classes"))).drop("_classes")
+    if classes is None:
+        classes = (df.agg(F.max(label)).first()[0] or 0) + 1
+    return df.withColumn(name, one_hot(F.col(label), classes))
 
 
 def columns_of(vector: Column, size: int, prefix: str = "dimension") -> list[Column]:
