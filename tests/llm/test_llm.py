@@ -86,6 +86,45 @@ def test_archives_keep_any_payload_and_segment_large_ones(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_a_record_is_not_cut_between_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 2, raising=False)
+    limit = "spark.sql.files.maxRecordsPerFile"
+    spark.conf.set(limit, 2)
+    try:
+        htmls = {i: chr(97 + i) * (64 * (i + 3) + 1) for i in range(6)}
+        rows = [(i, f"http://h/{i}", h) for i, h in htmls.items()]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+        path = str(tmp_path / "archive")
+        warc.write_archives(pages, path, chunk_bytes=64)
+    finally:
+        spark.conf.unset(limit)
+    records = warc.read_archives(spark, path).collect()
+    assert len(records) == len(rows)
+    for r in records:
+        data = htmls[int(re.search(r"page:(\d+)", r["record_id"])[1])].encode()
+        assert r["payload_bytes"] == len(data) and r["chunks"] == -(-len(data) // 64)
+        assert r["payload_digest"] == hashlib.sha256(data).hexdigest()
+
+
+def test_a_continuation_without_its_record_is_an_error(spark):
+    import pyarrow as pa
+
+    def archive(file, *records):
+        heads = [b"".join(b"%s: %s\r\n" % h for h in fields) for fields in records]
+        pieces = [p for h in heads for p in (b"WARC/1.1\r\n" + h + b"Content-Length: 1", b"x")]
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(pieces)), pa.array(pieces)], ["file", "piece"])
+
+    first = ((b"WARC-Type", b"response"), (b"WARC-Record-ID", b"<a>"))
+    more = ((b"WARC-Type", b"continuation"), (b"WARC-Record-ID", b"<a#1>"), (b"WARC-Segment-Origin-ID", b"<a>"))
+    stray = (*more[:2], (b"WARC-Segment-Origin-ID", b"<b>"))
+    whole = [archive("f", first, more)]
+    assert [b.column("payload_bytes").to_pylist() for b in warc._to_records(whole)] == [[2]]
+    for batches in ([archive("f", first, stray)], [archive("f", first), archive("g", more)]):
+        for reader in (warc._to_records, warc._to_chunks):
+            with pytest.raises(ValueError, match="does not follow"):
+                list(reader(batches))
+
+
 # 8: chats
 
 

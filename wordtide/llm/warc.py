@@ -8,7 +8,8 @@ chunk, so it holds one chunk at a time.
 
 Files are written and read by Spark's text source, with the blank line that ends a
 WARC record as separator, so they may lie in any store that Spark reaches. They are
-compressed as a whole, and then are read in order by one task each.
+compressed as a whole, and then are read in order by one task each. A file is never cut
+by a number of rows: all segments of a record lie in one file, one after another.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 64 << 10
 LEAST_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 100_000
 # Fixed values of the format.
 CRLF = "\r\n"
 BLANK = "\r\n\r\n"
@@ -139,7 +139,8 @@ def write_archives(
     """Write page_id, url, html as gzipped WARC files; the pages have no date of their own."""
     block, text = record_text(date)
     rows = chunk_table(pages, chunk_bytes, least).withColumn("_block", block).select(text.cast("string").alias("value"))
-    rows.write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression="gzip", lineSep=BLANK)
+    # 0 is no limit, whatever the session says: a limit would cut records between their segments.
+    rows.write.option("maxRecordsPerFile", 0).text(path, compression="gzip", lineSep=BLANK)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -254,13 +255,21 @@ class _Parser:
 
 
 def _parsed(batches):
-    """(headers, chunk number, data) over all files of a task, one after another."""
-    parser, last = None, None
+    """(headers, chunk number, data) over all files of a task, one after another.
+
+    A continuation must follow its own record in the same file; any other is an error.
+    """
+    parser, last, record = None, None, None
     for batch in batches:
         for file, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
             if file != last:
-                parser, last = _Parser(), file
-            yield from parser.feed(piece.as_py() + b"\r\n\r\n")
+                parser, last, record = _Parser(), file, None
+            for headers, chunk, data in parser.feed(piece.as_py() + b"\r\n\r\n"):
+                if headers.get("warc-type") != "continuation":
+                    record = headers.get("warc-record-id")
+                elif record is None or headers.get("warc-segment-origin-id") != record:
+                    raise ValueError(f"{file}: {headers.get('warc-record-id')} does not follow its record")
+                yield headers, chunk, data
 
 
 def _tables(rows, names, types, size=2000, most=16 << 20):
