@@ -245,6 +245,28 @@ def test_nn_descent_finds_and_scores(spark):
     assert nndescent.search(data.limit(0), data, 5).count() == 0
 
 
+def unit_vectors(spark, n, size):
+    vectors = np.random.default_rng(7).normal(size=(n, size))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    return vectors, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
+
+
+def test_the_pool_grows_to_the_recall(spark):
+    vectors, data = unit_vectors(spark, 3000, 48)
+    got = nndescent.search(data, data.where("id % 30 = 0"), 10, list_size=8, reverse=8, pool=16).collect()
+    scores = vectors[::30] @ vectors.T
+    scores[np.arange(100), np.arange(0, 3000, 30)] = -9
+    best = np.argsort(-scores, axis=1)[:, :10]
+    hits = sum(r["id"] in best[r["query_id"] // 30] for r in got)
+    assert len(got) == 1000 and hits >= 950
+
+
+def test_lists_that_have_not_settled_are_an_error(spark):
+    _, data = unit_vectors(spark, 3000, 48)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        nndescent.search(data, data.where("id = 0"), 10, list_size=8, reverse=8, rounds=1)
+
+
 # 1: near duplicates
 
 

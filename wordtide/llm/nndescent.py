@@ -7,6 +7,9 @@ than the worst on its list takes it. Lists, rounds and the search are Spark join
 (node, other, nearness). Queries walk the graph greedily: a pool of the best nodes seen, of
 which all that were not yet opened are opened each round, until the pool stands still.
 
+Joins go on until the lists stand still. The recall of a sample of queries is measured against
+all rows, and the pool grows until it is reached.
+
 Between joins vectors are rounded to bytes; final scores are those of the original vectors.
 """
 
@@ -31,8 +34,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LIST = 32
 REVERSE = 32
-ROUNDS = 5
+# A bound against endless rounds; reaching it is an error. Lists stand still long before.
+ROUNDS = 60
 STILL = 0.02
+CHECKED = 128
+RECALL = 0.95
 POOL = 224
 CELL_ROWS = 150
 MOST_PIVOTS = 4096
@@ -52,14 +58,16 @@ def search(
     reverse: int = REVERSE,
     rounds: int = ROUNDS,
     pool: int = POOL,
+    recall: float = RECALL,
 ) -> DataFrame:
     """query_id, rank, id, score: for each id in queries the k nearest found rows of data by inner product.
 
     Queries are ids of data. Scores are inner products in double precision; ties go to the smaller id;
     the query's own id is left out. Null vectors, zero vectors and those with a null or non-finite
     component take no part; shorter vectors count as followed by zeros. A repeated id stands for its
-    first vector in array order. Where the walk finds fewer than k rows though there are more, the exact
-    Voronoi join answers. Empty inputs give no rows.
+    first vector in array order. The pool is doubled until a sample of the queries reaches `recall`. Where
+    a pool for all rows does not reach it, or the walk finds fewer than k rows though there are more, the
+    exact Voronoi join answers. Empty inputs give no rows.
     """
     usable = V.usable(data, id_col, vector).where(F.exists("vector", lambda x: x != 0))
     rows = usable.groupBy("id").agg(F.min("vector").alias("vector"))
@@ -73,21 +81,68 @@ def search(
     asked = cut_lineage(named.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "node"), "asked")
     small = cut_lineage(nodes.select("node", "vector").mapInArrow(_bytes(size), "node long, code binary, scale double"))
     lists = graph(nodes.select("node", "vector"), small, total, size, list_size, reverse, rounds)
-    found = walk(lists, small, asked.select("node").distinct(), pool)
+    starts = asked.select("node").distinct()
+    found = walk(lists, small, starts, pool)
+    sample = cut_lineage(starts.orderBy(F.xxhash64("node"), "node").limit(CHECKED), "sample")
+    least = least_scores(nodes, sample, min(k, total - 1), size)
+    checked, wide = found, pool
+    while measured_recall(checked, nodes, least, k, size) < recall:
+        if wide >= total:
+            exact = voronoi.top_k(rows, rows.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi"), k)
+            return exact.select("query_id", "rank", "id", "score")
+        wide *= 2
+        checked = walk(lists, small, sample, wide)
+    if wide > pool:
+        found = walk(lists, small, starts, wide)
     return _exact(found, nodes, named, asked, rows, k, size)
 
 
-def _exact(found, nodes, named, asked, rows, k, size):
-    """Best rows by the original vectors among the nearest nodes of each query."""
+def least_scores(nodes, sample, k, size) -> dict:
+    """For each node of a sample the score of its k-th nearest other node, measured against all nodes."""
+    drawn = nodes.join(F.broadcast(sample), "node", "left_semi").select("node", "vector").toArrow()
+    if k < 1 or not drawn.num_rows:
+        return {}
+    own, vectors = drawn.column("node").to_numpy(), padded(drawn.column("vector"), size)
+    best = W.partitionBy("node").orderBy(F.desc("score"))
+    rows = (
+        nodes.select("node", "vector").mapInArrow(_nearest(own, vectors, k, size), "node long, score double")
+        .withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
+    )
+    return {r["node"]: r["score"] for r in rows.collect()}  # as many as the sample
+
+
+def measured_recall(found, nodes, least: dict, k: int, size: int) -> float:
+    """The share of the nearest nodes of a sample, as least_scores tells, among those that _exact would rank; 1 without any."""
+    if not least:
+        return 1.0
+    # Scores of one and the same pair may differ by rounding.
+    rows = [(n, s - 1e-9 * max(1.0, abs(s))) for n, s in least.items()]
+    bound = F.broadcast(found.sparkSession.createDataFrame(rows, "node long, _least double"))
+    pairs = _candidates(found.join(bound.select("node"), "node", "left_semi"), k)
+    hits = _scored(pairs, nodes, size).join(bound, "node").where("score >= _least").groupBy("node").count()
+    most = min(k, nodes.count() - 1)
+    return sum(min(r["count"], most) for r in hits.collect()) / (most * len(rows))
+
+
+def _candidates(found, k):
+    """node, other of those whose scores are taken from the original vectors."""
     order = W.partitionBy("node").orderBy(F.desc("near"), "other")
-    kept = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * k + 8).select("node", "other")
-    # A node with copies is a candidate for the queries that it stands for.
-    pairs = kept.unionByName(asked.select("node", F.col("node").alias("other")).distinct())
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * k + 8).select("node", "other")
+
+
+def _scored(pairs, nodes, size):
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("vector").alias(f"_{side}"))
-    scored = (
+    return (
         pairs.join(of("node"), "node").join(of("other"), "other")
         .mapInArrow(_products(size), "node long, other long, score double")
     )
+
+
+def _exact(found, nodes, named, asked, rows, k, size):
+    """Best rows by the original vectors among the nearest nodes of each query."""
+    # A node with copies is a candidate for the queries that it stands for.
+    pairs = _candidates(found, k).unionByName(asked.select("node", F.col("node").alias("other")).distinct())
+    scored = _scored(pairs, nodes, size)
     members = top_per_group(named, ["node"], [F.col("id")], k + 1, ["id"], "_m").select(
         F.col("node").alias("other"), F.col("id")
     )
@@ -112,7 +167,10 @@ def _exact(found, nodes, named, asked, rows, k, size):
 
 
 def graph(nodes, small, total, size, list_size=LIST, reverse=REVERSE, rounds=ROUNDS) -> DataFrame:
-    """Rows of LISTS: the list_size nearest others found for each node (node, vector)."""
+    """Rows of LISTS: the list_size nearest others found for each node (node, vector).
+
+    Rounds end when at most a share of STILL of the links is new; an error if so many rounds do not do.
+    """
     pivots = max(1, min(MOST_PIVOTS, total // CELL_ROWS))
     drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(pivots).select("vector").toArrow()
     lists = small.select(F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("other"),
@@ -154,8 +212,8 @@ def graph(nodes, small, total, size, list_size=LIST, reverse=REVERSE, rounds=ROU
         known = lists.select("node", "other", "near", F.lit(True).alias("old"))
         lists = cut_lineage(best_lists(known.unionByName(better), list_size), "lists")
         if lists.where(~F.col("old")).count() <= STILL * lists.count():
-            break
-    return lists
+            return lists
+    raise RuntimeError(f"neighbour lists did not settle in {rounds} rounds")
 
 
 def walk(lists: DataFrame, small: DataFrame, starts: DataFrame, pool: int = POOL) -> DataFrame:
@@ -377,6 +435,26 @@ def _open(batches):
             yield _rows(node[fit], other[fit], near[fit], np.zeros(int(fit.sum()), dtype=bool))
 
 
+def _nearest(own, vectors, k, size):
+    """node, score of the k nearest rows of a task for each of the given nodes, itself left out."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        best = np.full((len(own), 0), -np.inf)
+        for batch in batches:
+            score = vectors @ padded(batch.column(1), size).T
+            score[own[:, None] == np.asarray(batch.column(0))[None, :]] = -np.inf
+            best = np.concatenate([best, score], axis=1)
+            if best.shape[1] > k:
+                best = -np.partition(-best, k - 1, axis=1)[:, :k]
+        row, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(best[row, at])], ["node", "score"])
+
+    return run
+
+
 def _products(size):
     def run(batches):
         import numpy as np
