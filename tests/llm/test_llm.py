@@ -261,6 +261,17 @@ def test_the_pool_grows_to_the_recall(spark):
     assert len(got) == 1000 and hits >= 950
 
 
+def test_the_whole_pool_is_scored_by_the_original_vectors(spark):
+    draw = np.random.default_rng(3)
+    vectors = np.ones(16) + 1e-5 * draw.normal(size=(200, 16))  # equal as bytes
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    nodes = rows.selectExpr("id as node", "vector", "1L as copies")
+    pool = spark.createDataFrame([(0, i, 1.0) for i in range(1, 200)], "node long, other long, near double")
+    named, asked = rows.selectExpr("id", "id as node", "1L as copies"), rows.where("id = 0").selectExpr("id as query_id", "id as node")
+    got = nndescent._exact(pool, nodes, named, asked, rows, 5, 16).orderBy("rank").collect()
+    assert [r["id"] for r in got] == (1 + np.argsort(-(vectors[1:] @ vectors[0]))[:5]).tolist()
+
+
 def test_lists_that_have_not_settled_are_an_error(spark):
     _, data = unit_vectors(spark, 3000, 48)
     with pytest.raises(RuntimeError, match="did not settle"):

@@ -118,19 +118,14 @@ def measured_recall(found, nodes, least: dict, k: int, size: int) -> float:
     # Scores of one and the same pair may differ by rounding.
     rows = [(n, s - 1e-9 * max(1.0, abs(s))) for n, s in least.items()]
     bound = F.broadcast(found.sparkSession.createDataFrame(rows, "node long, _least double"))
-    pairs = _candidates(found.join(bound.select("node"), "node", "left_semi"), k)
+    pairs = found.join(bound.select("node"), "node", "left_semi").select("node", "other")
     hits = _scored(pairs, nodes, size).join(bound, "node").where("score >= _least").groupBy("node").count()
     most = min(k, nodes.count() - 1)
     return sum(min(r["count"], most) for r in hits.collect()) / (most * len(rows))
 
 
-def _candidates(found, k):
-    """node, other of those whose scores are taken from the original vectors."""
-    order = W.partitionBy("node").orderBy(F.desc("near"), "other")
-    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * k + 8).select("node", "other")
-
-
 def _scored(pairs, nodes, size):
+    """node, other, score by the original vectors."""
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("vector").alias(f"_{side}"))
     return (
         pairs.join(of("node"), "node").join(of("other"), "other")
@@ -139,9 +134,9 @@ def _scored(pairs, nodes, size):
 
 
 def _exact(found, nodes, named, asked, rows, k, size):
-    """Best rows by the original vectors among the nearest nodes of each query."""
+    """Best rows by the original vectors among all nodes in the pool of each query."""
     # A node with copies is a candidate for the queries that it stands for.
-    pairs = _candidates(found, k).unionByName(asked.select("node", F.col("node").alias("other")).distinct())
+    pairs = found.select("node", "other").unionByName(asked.select("node", F.col("node").alias("other")).distinct())
     scored = _scored(pairs, nodes, size)
     members = top_per_group(named, ["node"], [F.col("id")], k + 1, ["id"], "_m").select(
         F.col("node").alias("other"), F.col("id")
