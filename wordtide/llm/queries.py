@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.llm import chat, minhash, nndescent, packing, pieces, quality, secrets, toxicity, voronoi, warc
+from wordtide.llm import alignment, chat, minhash, nndescent, packing, pieces, quality, secrets, toxicity, voronoi, warc
 from wordtide.llm.tables import table
 
 
@@ -112,5 +112,9 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {"op6_neighbours": op6_neighbours, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op1_minhash": op1_minhash, "op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op13_alignment": op13_alignment, "op6_neighbours": op6_neighbours, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op1_minhash": op1_minhash, "op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
 ORACLES = {"op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op8_chat": OP8_SQL}
