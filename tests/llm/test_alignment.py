@@ -129,3 +129,21 @@ def test_overlaps_carry_places_and_bytes(spark):
 
 def test_empty_table(spark):
     assert alignment.align(frame(spark, []).limit(0)).count() == 0
+
+
+def test_fast_encoder_equals_the_model(spark, tiny):
+    spec = alignment.read_tokenizers()
+    assert spec.ranked
+    encoder = alignment._Encoder(spec)
+    texts = [r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()] + [t for t in TEXTS if t]
+    texts += ["a  b c d' s 's don't x1 2y é f ¡Hola! où est l'été — «ça»", "Ünï ə ́a z", "a " * 50, "\x85\xa0 \x1c\x1d ªº²¼ \u01c0"]
+    texts += ["".join(map(chr, range(0x250))), "\r\n" * 9 + "  x   " + "aaaaaaa" * 30]
+    for text in texts:
+        assert encoder.first(" " + text).tolist() == encoder.by_model(" " + text)
+
+
+def test_bytes_that_are_no_utf8_have_no_tokens(spark):
+    rows = spark.sql("select 1L as doc_id, cast(X'61FF62' as string) as text union all select 2L, 'a b'")
+    got = found(alignment.align(rows))
+    assert got[0][1:] == (0, 0, 0, 0, 0, 0, "")
+    assert got[1][1] > 0

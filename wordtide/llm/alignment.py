@@ -6,6 +6,10 @@ two overlapping ranges the later start lies in the other range, so both directio
 give every overlap; a common start is found twice and counted once. Offsets where both sides
 end a token cut the tokens into groups.
 
+Texts of Latin script go through a faster encoder made from the same byte-level vocabulary: its
+merges have the order of the ids, so a merge by least id is the merge by first rule, and on such
+characters the split before the merges is the same. All others are encoded by the model itself.
+
 How often a pair of ids is linked in the corpus is counted in tasks first and then by pair.
 The commonest pairs, a bounded number, are sent to all tasks; links of other pairs, if there
 are any, are looked up by a join.
@@ -32,8 +36,19 @@ MARK = "▁"
 SENT_PAIRS = 1 << 20
 # What a task holds at once: bytes of text, tokens, pairs not yet handed on.
 SLICE_BYTES = 1 << 18
-SLICE_TOKENS = 400_000
-HELD_PAIRS = 1 << 20
+SLICE_TOKENS = 150_000
+HELD_PAIRS = 1 << 19
+
+# The split of byte-level models before their merges, and characters that all libraries class alike.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+COMMON = "[\x00-\u024f\u2010-\u2027\u20ac]*"
+
+TOKENS = 150_000
+HELD_PAIRS = 1 << 19
+
+# Both sets are Latin letters, visible characters in front of the blank, too.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+CUT = f"(?<=[!-~{LETTERS}])(?= [{LETTERS}])"
 
 TOKENS = "row long, id long, a binary, b binary"
 
@@ -46,6 +61,7 @@ class Tokenizers:
     piece_model: bytes
     a_bytes: list
     b_bytes: list
+    ranked: bool  # the byte-level model merges by least id, after the usual split
 
 
 @lru_cache(maxsize=2)
@@ -71,7 +87,12 @@ def read_tokenizers(byte_path: str = BYTE_MODEL, piece_path: str = PIECE_MODEL)
     for i in range(pieces.get_piece_size()):
         piece = pieces.id_to_piece(i)
         b_bytes.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace(MARK, " ").encode())
-    return Tokenizers(byte_json, piece_model, a_bytes, b_bytes)
+    split, model = content.get("pre_tokenizer") or {}, content["model"]
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    in_order = [model["vocab"].get(m) for m in merges] == list(range(256, 256 + len(merges)))
+    plain = not content.get("normalizer") and not model.get("ignore_merges")
+    return Tokenizers(byte_json, piece_model, a_bytes, b_bytes, bool(usual and in_order and plain))
 
 
 def _byte_characters() -> dict:
@@ -188,37 +209,71 @@ def _sorted(table):
     return pair[order], links[order], best[order]
 
 
+class _Encoder:
+    """Both encodings of texts."""
+
+    def __init__(self, held):
+        import re
+
+        import sentencepiece
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_str(held.byte_json)
+        self.model.encode_special_tokens = True
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=held.piece_model)
+        self.bytes = held.a_bytes, held.b_bytes
+        self.common, self.fast = re.compile(COMMON), None
+        if held.ranked:
+            special = {t.content.encode() for t in self.model.get_added_tokens_decoder().values()}
+            ranks = {t: i for i, t in enumerate(held.a_bytes) if t and t not in special}
+            self.fast = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def texts(self, texts):
+        """Per text, none of them empty, the ids of both sides in binary; empty ones where the bytes differ."""
+        import numpy as np
+
+        out = []
+        for text, b in zip(texts, self.pieces.encode(texts, num_threads=1)):
+            whole = " " + text
+            a = self.first(whole)
+            data = whole.encode("utf-8", "replace")
+            if all(b"".join([of[i] for i in ids]) == data for of, ids in zip(self.bytes, (a.tolist(), b))):
+                out.append((a.tobytes(), np.array(b, dtype="uint32").tobytes()))
+            else:
+                out.append((b"", b""))
+        return out
+
+    def first(self, whole):
+        import numpy as np
+
+        if self.fast is not None and self.common.fullmatch(whole):
+            return self.fast.encode_to_numpy(whole, disallowed_special=())
+        return np.array(self.by_model(whole), dtype="uint32")
+
+    def by_model(self, whole):
+        return self.model.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+
+
 def _encode(spec):
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        held = spec.value
-        one = Tokenizer.from_str(held.byte_json)
-        one.encode_special_tokens = True
-        two = sentencepiece.SentencePieceProcessor(model_proto=held.piece_model)
-
-        def encoded(texts):
-            """Ids of both sides of some texts, all of them not empty."""
-            plain = [t.decode("utf-8", "replace") for t in texts]
-            left = [e.ids for e in one.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)]
-            for text, a, b in zip(texts, left, two.encode(plain, num_threads=1)):
-                whole = b" " + text
-                same = b"".join([held.a_bytes[i] for i in a]) == whole == b"".join([held.b_bytes[i] for i in b])
-                yield [np.array(x, dtype="uint32").tobytes() for x in (a, b)] if same else (b"", b"")
 
+        encoder = _Encoder(spec.value)
         for batch in batches:
             size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
             for low, high in _slices(size, SLICE_BYTES):
                 part = batch.slice(low, high - low)
-                ids = encoded([t.as_py() for t, n in zip(part.column(2), size[low:high]) if n])
-                sides = [next(ids) if n else (b"", b"") for n in size[low:high]]
+                texts = [t.as_py() for t in part.column(2)]
+                whole = [t.decode("utf-8", "replace") if t else "" for t in texts]
+                found = iter(encoder.texts([t for t in whole if t]))
+                # A text that is no UTF-8 cannot be met by the tokens of its replacement.
+                sides = [next(found) if t else (b"", b"") for t in whole]
+                sides = [s if t and t == w.encode() else (b"", b"") for s, t, w in zip(sides, texts, whole)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *(pa.array(list(s), pa.binary()) for s in zip(*sides))],
                     ["row", "id", "a", "b"],
