@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.llm import alignment, chat, minhash, nndescent, packing, pieces, quality, secrets, toxicity, voronoi, warc
+from wordtide.llm import alignment, chat, collocations, minhash, nndescent, packing, pieces, quality, secrets, toxicity, voronoi, warc
 from wordtide.llm.tables import table
 
 
@@ -116,5 +116,40 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op13_alignment": op13_alignment, "op6_neighbours": op6_neighbours, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op1_minhash": op1_minhash, "op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
-ORACLES = {"op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op8_chat": OP8_SQL}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS k FROM p),
+total AS (SELECT lang, CAST(sum(len(k)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, unnest([array_to_string(k[i:i + m - 1], ' ') FOR i IN range(1, len(k) - m + 2)]) AS phrase
+    FROM w, (VALUES (1), (2), (3), (4), (5)) AS lengths(m) WHERE len(k) >= m)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.m, c.f AS a, k, string_split(c.phrase, ' ') AS x
+  FROM f c, (VALUES (1), (2), (3), (4)) AS cut(k) WHERE k < c.m),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, n, k,
+    CAST(1000 * CAST(c.a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN total USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(x[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(x[k + 1:], ' ')),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM f c WHERE c.lang = s.lang AND c.m > len(string_split(s.phrase, ' ')) AND 100 * c.f >= 100 * s.a
+      AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000"""
+
+
+QUERIES = {"op12_collocations": op12_collocations, "op13_alignment": op13_alignment, "op6_neighbours": op6_neighbours, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op1_minhash": op1_minhash, "op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
+ORACLES = {"op12_collocations": OP12_SQL, "op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op8_chat": OP8_SQL}
