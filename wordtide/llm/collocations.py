@@ -4,8 +4,9 @@ A sample of documents proposes the phrases that seem frequent, level by level wi
 below its share. One pass over all texts counts the proposed phrases and their negative border:
 phrases that were not proposed, though the phrase without its last word and the one without its
 first were. Every part of a frequent phrase is frequent, so if nothing on the border is frequent,
-nothing beyond it is. Otherwise the border's failures join the proposed phrases and another pass
-counts what that adds, until no failure is left. The result does not depend on the sample.
+nothing beyond it is. Otherwise the border's failures join the proposed phrases, and a further pass
+counts what that adds: the new border, the border of that and so on up to the longest phrases, so
+that it closes at once. The result does not depend on the sample.
 
 Passes count hashes of phrases. Proposed phrases are told by a bitmap with two bits per phrase, of
 bounded size; a phrase that only seems to be in it is counted in vain and changes no result. A last
@@ -37,7 +38,9 @@ DEVIATIONS = 3.0
 LEAST_BITS, MOST_BITS = 18, 27
 # What a task holds at once: bytes of text that are split together, hashes not yet handed on.
 SLICE_BYTES = 1 << 20
-HELD_HASHES = 1 << 20
+HELD_HASHES = 1 << 21
+HELD_PHRASES = 1 << 18
+HELD_SLICES = 500
 UNKNOWN = "und"  # fixed value: the language of rows without one
 LEVELS = 8  # phrase hashes carry the number of words in their lowest three bits
 
@@ -134,17 +137,14 @@ def frequent_phrases(
     drawn = rows.where(F.pmod("_draw", F.lit(1 << 20)) < int(share * (1 << 20))).drop("_draw")
     rows = rows.drop("_draw")
     proposed = _propose(cut_lineage(drawn, "sample"), _sample_threshold(least, share), longest)
-    found, earlier = [], None
-    while True:
-        counted = _totals(rows, proposed, earlier, range(1, longest + 1)).where(F.col("n") >= least)
-        found.append(cut_lineage(counted, "frequent"))
-        failed = cut_lineage(found[-1].mapInArrow(_outside(proposed, longest), "hash long"), "failed")
-        if failed.isEmpty():
-            break
-        earlier, proposed = proposed, _united(proposed, _bitmap(failed))
-    hashes = found[0]
-    for more in found[1:]:
-        hashes = hashes.unionByName(more)
+    levels = range(1, longest + 1)
+    hashes = cut_lineage(_totals(rows, proposed, None, levels).where(F.col("n") >= least), "frequent")
+    failed = cut_lineage(hashes.mapInArrow(_outside(proposed, longest), "hash long"), "failed")
+    if not failed.isEmpty():
+        # A frequent phrase not yet counted has two parts that are proposed, failures, or counted
+        # in this pass themselves; so none is left after it.
+        more = _totals(rows, _united(proposed, _bitmap(failed)), proposed, levels).where(F.col("n") >= least)
+        hashes = hashes.unionByName(cut_lineage(more, "expanded"))
     texts = rows.mapInArrow(_by_words(_bitmap(hashes), longest), "lang string, phrase string, words int, f long")
     return texts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(f"words = 0 or f >= {int(least)}")
 
@@ -167,7 +167,11 @@ def _propose(drawn, threshold, longest):
 
 
 def _totals(rows, proposed, earlier, levels):
-    """hash, n of the phrases of these lengths whose two parts are proposed, but for those already counted."""
+    """hash, n of the phrases of these lengths whose two parts are proposed.
+
+    With `earlier`, the phrases that this bitmap had counted are left out, and parts that are
+    counted now pass for proposed.
+    """
     counted = rows.mapInArrow(_counts(proposed, earlier, list(levels)), "hash long, n long")
     return counted.groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -266,7 +270,7 @@ class _Words:
         self.made = {}
 
     def phrases(self, words):
-        """Hashes of all runs of so many words, and which of them are phrases of their own slice."""
+        """Hashes of all runs of so many words, and which of them are phrases."""
         if words not in self.made:
             self.made[words] = self._phrases(words)
         return self.made[words]
@@ -280,9 +284,14 @@ class _Words:
         for k in range(words):
             total = total + self.hash[k : k + n] * odd[k]
         whole = self.piece[:n] == self.piece[words - 1 :] if n else np.array([], bool)
-        whole = whole & (np.arange(n) + words > self.skip)
         return (_mix(total) & ~np.uint64(LEVELS - 1)) | np.uint64(words), whole
 
+    def own(self, words):
+        """Which runs of so many words are more than context."""
+        import numpy as np
+
+        return np.arange(max(0, len(self.hash) - words + 1)) + words > self.skip
+
     def words(self, at, words):
         """A phrase as text."""
         return b" ".join([self.data[s:e] for s, e in zip(self.start[at : at + words], self.end[at : at + words])])
@@ -356,13 +365,27 @@ def _unique(hashes, counts):
 def _counts(proposed, earlier, levels):
     """Counts by hash, added up over as many slices of a task as fit."""
 
-    def counted(words, bitmap, level):
-        """Hashes of a level, and which are phrases whose parts are both proposed."""
+    def parts_in(words, bitmap, level):
+        """Which phrases of a level have both parts in the bitmap."""
         hashes, whole = words.phrases(level)
-        if level == 1:
-            return hashes, whole
+        if level == 1 or not len(hashes):
+            return whole
         parts = _inside(bitmap, words.phrases(level - 1)[0])
-        return hashes, whole & parts[:-1] & parts[1:] if len(hashes) else whole
+        return whole & parts[:-1] & parts[1:]
+
+    def wanted(words):
+        """Per level the phrases to count."""
+        shorter = None
+        for level in levels:
+            hashes, whole = words.phrases(level)
+            if earlier is None or level == 1 or not len(hashes):
+                now = parts_in(words, proposed, level)
+            else:
+                parts = _inside(proposed, words.phrases(level - 1)[0]) | shorter
+                now = whole & parts[:-1] & parts[1:]
+            if earlier is not None:
+                now = shorter = now & ~parts_in(words, earlier, level)
+            yield hashes[now & words.own(level)]
 
     def run(batches):
         import numpy as np
@@ -379,11 +402,8 @@ def _counts(proposed, earlier, levels):
         for words, _ in _slices(batches, LONGEST if not levels else max(levels) - 1):
             if not len(words.hash):
                 continue
-            for level in levels:
-                hashes, wanted = counted(words, proposed, level)
-                if earlier is not None:
-                    wanted = wanted & ~counted(words, earlier, level)[1]
-                found = np.unique(hashes[wanted], return_counts=True)
+            for hashes in wanted(words):
+                found = np.unique(hashes, return_counts=True)
                 held.append(found)
                 size += len(found[0])
             if size > HELD_HASHES:
@@ -396,31 +416,54 @@ def _counts(proposed, earlier, levels):
 
 
 def _by_words(frequent, longest):
-    """lang, phrase, words, f of phrases that may be frequent, and the words of each language."""
+    """lang, phrase, words, f of phrases that may be frequent, and the words of each language.
+
+    Counts are added up by hash over the slices of a task; a phrase is written out once.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        totals, texts, held, size = {}, {}, [], 0
+
+        def rows():
+            hashes, n = _unique(np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held]))
+            columns = list(zip(*[texts[h] for h in hashes.tolist()]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip([*columns, n], ["string", "string", "int32", "int64"])],
+                ["lang", "phrase", "words", "f"],
+            )
+
         for words, langs in _slices(batches, longest - 1):
             total = np.bincount(words.text[words.skip :], minlength=len(langs)) if len(words.hash) else np.zeros(len(langs))
-            numbers = {}
             for lang, n in zip(langs, total.tolist()):
-                numbers[lang] = numbers.get(lang, 0) + int(n)
-            out = [(lang, "", 0, n) for lang, n in numbers.items()]
+                totals[lang] = totals.get(lang, 0) + int(n)
             parts = None
             for level in range(1, longest + 1):
-                hashes, wanted = words.phrases(level)
-                here = _inside(frequent, hashes) & wanted
+                hashes, whole = words.phrases(level)
+                inside = _inside(frequent, hashes)
+                here = inside & whole & words.own(level)
                 if level > 1 and len(hashes):
                     here &= parts[:-1] & parts[1:]
-                parts = _inside(frequent, hashes)
+                parts = inside
                 place = np.flatnonzero(here)
-                _, first, n = np.unique(hashes[place], return_index=True, return_counts=True)
-                for at, times in zip(place[first].tolist(), n.tolist()):
-                    out.append((langs[words.text[at]], words.words(at, level).decode("utf-8", "replace"), level, times))
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            types = ["string", "string", "int32", "int64"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["lang", "phrase", "words", "f"])
+                found, first, n = np.unique(hashes[place], return_index=True, return_counts=True)
+                held.append((found, n))
+                for h, at in zip(found.tolist(), place[first].tolist()):
+                    if h not in texts:
+                        texts[h] = (langs[words.text[at]], words.words(at, level).decode("utf-8", "replace"), level)
+                        size += 1
+            if size > HELD_PHRASES or len(held) > HELD_SLICES:
+                yield rows()
+                texts, held, size = {}, [], 0
+        if size:
+            yield rows()
+        if totals:
+            n = len(totals)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(totals), "string"), pa.array([""] * n), pa.array([0] * n, "int32"), pa.array(list(totals.values()), "int64")],
+                ["lang", "phrase", "words", "f"],
+            )
 
     return run
