@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.llm import alignment, chat, collocations, minhash, nndescent, packing, pieces, quality, secrets, toxicity, voronoi, warc
+from wordtide.llm import alignment, chat, collocations, minhash, nndescent, packing, pieces, quality, secrets, simhash, toxicity, voronoi, warc
 from wordtide.llm.tables import table
 
 
@@ -151,5 +151,9 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept QUALIFY rank <= 2000"""
 
 
-QUERIES = {"op12_collocations": op12_collocations, "op13_alignment": op13_alignment, "op6_neighbours": op6_neighbours, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op1_minhash": op1_minhash, "op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op11_simhash": op11_simhash, "op12_collocations": op12_collocations, "op13_alignment": op13_alignment, "op6_neighbours": op6_neighbours, "op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op1_minhash": op1_minhash, "op7_sentencepiece": op7_sentencepiece, "op3_secrets": op3_secrets, "op9_packing": op9_packing, "op5_exact_top_k": op5_exact_top_k, "op10_warc": op10_warc, "op8_chat": op8_chat}
 ORACLES = {"op12_collocations": OP12_SQL, "op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op8_chat": OP8_SQL}
