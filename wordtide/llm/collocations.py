@@ -8,9 +8,10 @@ nothing beyond it is. Otherwise the border's failures join the proposed phrases,
 counts what that adds: the new border, the border of that and so on up to the longest phrases, so
 that it closes at once. The result does not depend on the sample.
 
-Passes count hashes of phrases. Proposed phrases are told by a bitmap with two bits per phrase, of
-bounded size; a phrase that only seems to be in it is counted in vain and changes no result. A last
-pass counts the frequent phrases by their words.
+Passes count hashes of phrases, of 61 bits. Proposed phrases are told by a bitmap with two bits per
+phrase, of bounded size; a phrase that only seems to be in it is counted in vain and changes no
+result. With its count a phrase keeps the tag of some document that holds it; a last pass reads the
+words of the frequent phrases, only from documents with the tag.
 """
 
 from __future__ import annotations
@@ -39,8 +40,7 @@ LEAST_BITS, MOST_BITS = 18, 27
 # What a task holds at once: bytes of text that are split together, hashes not yet handed on.
 SLICE_BYTES = 1 << 20
 HELD_HASHES = 1 << 21
-HELD_PHRASES = 1 << 18
-HELD_SLICES = 500
+TAGS = 1 << 16
 UNKNOWN = "und"  # fixed value: the language of rows without one
 LEVELS = 8  # phrase hashes carry the number of words in their lowest three bits
 
@@ -129,12 +129,14 @@ def frequent_phrases(
     """
     if not 1 <= longest < LEVELS:
         raise ValueError(f"Phrases have 1 to {LEVELS - 1} words.")
+    draw = F.xxhash64(F.col(id_col), F.col(lang))
     rows = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.col(text).cast("string").cast("binary").alias("text"),
-        F.xxhash64(F.col(id_col), F.col(lang)).alias("_draw"),
+        F.pmod(F.shiftright(draw, 20), F.lit(TAGS)).cast("int").alias("tag"),
+        F.pmod(draw, F.lit(1 << 20)).alias("_draw"),
     )
-    drawn = rows.where(F.pmod("_draw", F.lit(1 << 20)) < int(share * (1 << 20))).drop("_draw")
+    drawn = rows.where(F.col("_draw") < int(share * (1 << 20))).drop("_draw")
     rows = rows.drop("_draw")
     proposed = _propose(cut_lineage(drawn, "sample"), _sample_threshold(least, share), longest)
     levels = range(1, longest + 1)
@@ -145,8 +147,17 @@ def frequent_phrases(
         # in this pass themselves; so none is left after it.
         more = _totals(rows, _united(proposed, _bitmap(failed)), proposed, levels).where(F.col("n") >= least)
         hashes = hashes.unionByName(cut_lineage(more, "expanded"))
-    texts = rows.mapInArrow(_by_words(_bitmap(hashes), longest), "lang string, phrase string, words int, f long")
-    return texts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(f"words = 0 or f >= {int(least)}")
+    tagged = hashes.select(_tagged(F.col("hash"), F.col("tag")).alias("hash"))
+    schema = "hash long, lang string, phrase string, words int, n long"
+    texts = cut_lineage(rows.mapInArrow(_texts(_bitmap(hashes), _bitmap(tagged), longest), schema), "texts")
+    words = texts.where("words = 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+    named = texts.where("words > 0").drop("n").dropDuplicates(["hash"])
+    return named.join(hashes.select("hash", F.col("n").alias("f")), "hash").drop("hash").unionByName(words)
+
+
+def _tagged(value, tag):
+    """Hash of a phrase and a tag, the same in columns and arrays."""
+    return value.bitwiseXOR(F.shiftleft(tag.cast("long"), 44)).bitwiseXOR(F.shiftleft(tag.cast("long"), 17))
 
 
 def _sample_threshold(least, share):
@@ -167,13 +178,13 @@ def _propose(drawn, threshold, longest):
 
 
 def _totals(rows, proposed, earlier, levels):
-    """hash, n of the phrases of these lengths whose two parts are proposed.
+    """hash, n, tag of the phrases of these lengths whose two parts are proposed; the tag of a document with it.
 
     With `earlier`, the phrases that this bitmap had counted are left out, and parts that are
     counted now pass for proposed.
     """
-    counted = rows.mapInArrow(_counts(proposed, earlier, list(levels)), "hash long, n long")
-    return counted.groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(_counts(proposed, earlier, list(levels)), "hash long, n long, tag int")
+    return counted.groupBy("hash").agg(F.sum("n").alias("n"), F.max("tag").alias("tag"))
 
 
 def _no_bits():
@@ -238,7 +249,7 @@ def _outside(bitmap, longest):
         import pyarrow as pa
 
         for batch in batches:
-            hashes = np.asarray(batch.column(0)).view("uint64")
+            hashes = np.asarray(batch.column(batch.schema.names.index("hash"))).view("uint64")
             keep = ~_inside(bitmap, hashes) & (hashes % np.uint64(LEVELS) < longest)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view("int64"))], ["hash"])
 
@@ -248,7 +259,7 @@ def _outside(bitmap, longest):
 class _Words:
     """Words of some texts: hash, first byte, byte behind, piece; `skip` words are there as context only."""
 
-    def __init__(self, data, ends, langs, skip=0):
+    def __init__(self, data, ends, langs, tags, skip=0):
         import numpy as np
 
         kind, values = _tables()
@@ -267,6 +278,7 @@ class _Words:
         whole = np.add.reduceat(values[found[place]] * power[offset], first) if len(first) else np.array([], "uint64")
         self.hash = _mix(whole)
         self.lang = np.asarray(langs, dtype="uint64")[self.text] if len(first) else whole
+        self.tag = np.asarray(tags, dtype="int32")[self.text] if len(first) else self.text.astype("int32")
         self.made = {}
 
     def phrases(self, words):
@@ -322,22 +334,23 @@ def _slices(batches, context):
     import xxhash
 
     edge = re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
-    held, langs, size = [], [], 0
+    held, langs, tags, size = [], [], [], 0
 
     def made():
         ends = np.cumsum([len(t) + 1 for t in held])
         salts = [xxhash.xxh64_intdigest(lang.encode("utf-8", "replace")) for lang in langs]
-        return _Words(b"\n".join(held) + b"\n", ends, salts), langs
+        return _Words(b"\n".join(held) + b"\n", ends, salts, tags), langs
 
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            text, lang = (text.as_py() or b"").lower(), lang.as_py()
+        for lang, text, tag in zip(*batch.columns):
+            text, lang, tag = (text.as_py() or b"").lower(), lang.as_py(), tag.as_py()
             if len(text) <= SLICE_BYTES:
                 if held and size + len(text) > SLICE_BYTES:
                     yield made()
-                    held, langs, size = [], [], 0
+                    held, langs, tags, size = [], [], [], 0
                 held.append(text)
                 langs.append(lang)
+                tags.append(tag)
                 size += len(text) + 1
                 continue
             salt, at, before = xxhash.xxh64_intdigest(lang.encode("utf-8", "replace")), 0, b""
@@ -345,8 +358,8 @@ def _slices(batches, context):
                 found = edge.search(text, at + SLICE_BYTES)
                 cut = found.start() if found else len(text)
                 part = before + text[at:cut] + b"\n"
-                skip = len(_Words(before + b"\n", [len(before) + 1], [salt]).start) if before else 0
-                words = _Words(part, [len(part)], [salt], skip)
+                skip = len(_Words(before + b"\n", [len(before) + 1], [salt], [tag]).start) if before else 0
+                words = _Words(part, [len(part)], [salt], [tag], skip)
                 yield words, [lang]
                 first = words.start[-context:] if context else words.start[:0]
                 before = part[first[0] : -1] if len(first) else b""
@@ -355,11 +368,13 @@ def _slices(batches, context):
         yield made()
 
 
-def _unique(hashes, counts):
+def _added(held):
+    """Hashes with the sums of their counts, and the tag of one of each."""
     import numpy as np
 
-    found, place = np.unique(hashes, return_inverse=True)
-    return found, np.bincount(place, counts, len(found)).astype("int64")
+    hashes, counts, tags = (np.concatenate(c) for c in zip(*held))
+    found, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    return found, np.bincount(place, counts, len(found)).astype("int64"), tags[first]
 
 
 def _counts(proposed, earlier, levels):
@@ -374,7 +389,9 @@ def _counts(proposed, earlier, levels):
         return whole & parts[:-1] & parts[1:]
 
     def wanted(words):
-        """Per level the phrases to count."""
+        """Per level the phrases to count, and the tags of their documents."""
+        import numpy as np
+
         shorter = None
         for level in levels:
             hashes, whole = words.phrases(level)
@@ -385,7 +402,8 @@ def _counts(proposed, earlier, levels):
                 now = whole & parts[:-1] & parts[1:]
             if earlier is not None:
                 now = shorter = now & ~parts_in(words, earlier, level)
-            yield hashes[now & words.own(level)]
+            now = np.flatnonzero(now & words.own(level))
+            yield hashes[now], words.tag[now]
 
     def run(batches):
         import numpy as np
@@ -394,18 +412,18 @@ def _counts(proposed, earlier, levels):
         held, size = [], 0
 
         def rows():
-            found = _unique(np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held]))
+            found = _added(held)
             for at in range(0, len(found[0]), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(found[0][part].view("int64")), pa.array(found[1][part])], ["hash", "n"])
+                hashes, n, tag = (c[at : at + (1 << 16)] for c in found)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view("int64")), pa.array(n), pa.array(tag)], ["hash", "n", "tag"])
 
-        for words, _ in _slices(batches, LONGEST if not levels else max(levels) - 1):
+        for words, _ in _slices(batches, max(levels) - 1):
             if not len(words.hash):
                 continue
-            for hashes in wanted(words):
-                found = np.unique(hashes, return_counts=True)
-                held.append(found)
-                size += len(found[0])
+            for hashes, tags in wanted(words):
+                found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                held.append((found, n, tags[first]))
+                size += len(found)
             if size > HELD_HASHES:
                 yield from rows()
                 held, size = [], 0
@@ -415,55 +433,44 @@ def _counts(proposed, earlier, levels):
     return run
 
 
-def _by_words(frequent, longest):
-    """lang, phrase, words, f of phrases that may be frequent, and the words of each language.
+def _texts(frequent, tagged, longest):
+    """hash, lang, phrase, words of frequent phrases in documents with their tag, and the number of words per language.
 
-    Counts are added up by hash over the slices of a task; a phrase is written out once.
+    A phrase is written out once a task, as far as it is held; a few that only seem frequent are, too.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        totals, texts, held, size = {}, {}, [], 0
+        names, types = ["hash", "lang", "phrase", "words", "n"], ["int64", "string", "string", "int32", "int64"]
 
-        def rows():
-            hashes, n = _unique(np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held]))
-            columns = list(zip(*[texts[h] for h in hashes.tolist()]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip([*columns, n], ["string", "string", "int32", "int64"])],
-                ["lang", "phrase", "words", "f"],
-            )
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
+        totals, out, seen = {}, [], set()
         for words, langs in _slices(batches, longest - 1):
-            total = np.bincount(words.text[words.skip :], minlength=len(langs)) if len(words.hash) else np.zeros(len(langs))
-            for lang, n in zip(langs, total.tolist()):
-                totals[lang] = totals.get(lang, 0) + int(n)
-            parts = None
+            if not len(words.hash):
+                continue
+            for lang, n in zip(langs, np.bincount(words.text[words.skip :], minlength=len(langs)).tolist()):
+                totals[lang] = totals.get(lang, 0) + n
             for level in range(1, longest + 1):
                 hashes, whole = words.phrases(level)
-                inside = _inside(frequent, hashes)
-                here = inside & whole & words.own(level)
-                if level > 1 and len(hashes):
-                    here &= parts[:-1] & parts[1:]
-                parts = inside
-                place = np.flatnonzero(here)
-                found, first, n = np.unique(hashes[place], return_index=True, return_counts=True)
-                held.append((found, n))
-                for h, at in zip(found.tolist(), place[first].tolist()):
-                    if h not in texts:
-                        texts[h] = (langs[words.text[at]], words.words(at, level).decode("utf-8", "replace"), level)
-                        size += 1
-            if size > HELD_PHRASES or len(held) > HELD_SLICES:
-                yield rows()
-                texts, held, size = {}, [], 0
-        if size:
-            yield rows()
-        if totals:
-            n = len(totals)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(totals), "string"), pa.array([""] * n), pa.array([0] * n, "int32"), pa.array(list(totals.values()), "int64")],
-                ["lang", "phrase", "words", "f"],
-            )
+                place = np.flatnonzero(whole & words.own(level))
+                place = place[_inside(frequent, hashes[place])]
+                tag = words.tag[place].astype("uint64")
+                place = place[_inside(tagged, hashes[place] ^ (tag << np.uint64(44)) ^ (tag << np.uint64(17)))]
+                found, first = np.unique(hashes[place], return_index=True)
+                for h, at in zip(found.view("int64").tolist(), place[first].tolist()):
+                    if h not in seen:
+                        seen.add(h)
+                        out.append((h, langs[words.text[at]], words.words(at, level).decode("utf-8", "replace"), level, 0))
+            if len(out) > 1 << 16:
+                yield made(out)
+                out = []
+                seen = seen if len(seen) < 1 << 20 else set()
+        out += [(None, lang, "", 0, n) for lang, n in totals.items()]
+        if out:
+            yield made(out)
 
     return run
