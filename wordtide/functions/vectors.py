@@ -10,6 +10,12 @@ def as_doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector is there, has entries, and all of them are finite numbers; never null."""
+    plain = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(plain & (F.size(vector) > 0), F.lit(False))
+
+
 def dot(u: Column, v: Column) -> Column:
     return F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -8,7 +8,7 @@ import sys
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordtide.functions.vectors import as_doubles, cosine_similarity
@@ -50,9 +50,13 @@ def standardize(
     """Mean 0 and variance 1 per group and dimension; constant dimensions become 0."""
     stats = moments(points, group, vector)
     joined = B.attach_small(points, stats, group, [id_col])
+    return joined.withColumn(vector, in_units(F.col(vector))).drop("mean", "deviation")
+
+
+def in_units(vector: Column) -> Column:
+    """The vector less the column `mean`, in units of the column `deviation`; 0 deviation counts as 1."""
     centred = F.zip_with(vector, "mean", lambda x, m: x - m)
-    scaled = F.zip_with(centred, "deviation", lambda x, d: x / F.when(d > 0, d).otherwise(1.0))
-    return joined.withColumn(vector, scaled).drop("mean", "deviation")
+    return F.zip_with(centred, "deviation", lambda x, d: x / F.when(d > 0, d).otherwise(1.0))
 
 
 def cosine_to_target(points: DataFrame, target: Sequence[float], vector: str = "vector") -> DataFrame:

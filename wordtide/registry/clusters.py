@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
 from wordtide.functions.periods import period
+from wordtide.functions.vectors import norm
 from wordtide.operators import blocks as B, hits as H, kmeans as K, mixture as M, scores as S, usage as U, vectors as V
 from wordtide.plans import neighbours, usage_types
 from wordtide.registry.common import (
     BINS, DIMENSIONS, TOKENS_OF, USAGES, documents, exploded, rounded, table, usages, with_parts,
 )
 from wordtide.session import cut_lineage, new_path
-from wordtide.sources import readers, writers
+from wordtide.sources import models, readers, writers
 
 GROUP = ["word"]
 
@@ -125,6 +126,22 @@ def usage_clusters(spark, sf):
     return usage_types.cluster_usages(points, "kmeans", criterion="calinski")
 
 
+def clusterings_roundtrip(spark, sf):
+    """Fitted, saved, read and predicted again: whether labels are those of the fit, distances as norms of the stored scaling."""
+    points = usages(spark, sf).select("word", "usage_id", "vector")
+    path = new_path(spark, "clusterings")
+    fitted = usage_types.fit_clusterings(points, "kmeans", [2, 3, 4], criterion="calinski")
+    models.save_clusterings(spark, fitted, path)
+    stored = models.load_clusterings(spark, path)
+    found = usage_types.predict(stored, points).withColumnRenamed("label", "_again")
+    norms = usage_types.scaled(points, stored.scaling).select("word", "usage_id", rounded(norm(F.col("vector"))).alias("scaled_norm"))
+    return (
+        found.join(stored.labels, ["word", "usage_id", "k"])
+        .join(norms, ["word", "usage_id"])
+        .select("word", "usage_id", (F.col("label") == F.col("_again")).alias("same"), "scaled_norm")
+    )
+
+
 def gmm_sweep(spark, sf):
     """aic and bic of mixtures of every covariance type, the best ones marked."""
     fitted = M.fit(_standardized(spark, sf), GROUP, usage_types.K_RANGE)
@@ -186,7 +203,7 @@ QUERIES = {
     for f in [
         cluster_outer_join, usage_distribution, usage_distribution_soft, usage_shares, clustering_intersection,
         pair_agreement, silhouette, calinski_harabasz, kmeans_assign, kmeans_update, kmeans_sweep, usage_clusters,
-        gmm_sweep, kmeans_layers, neighbour_bundle, prototypes,
+        gmm_sweep, clusterings_roundtrip, kmeans_layers, neighbour_bundle, prototypes,
     ]
 }
 
@@ -208,6 +225,10 @@ a AS (
   GROUP BY word, usage_id)"""
 
 ORACLES = {
+    "clusterings_roundtrip": with_parts(USAGES, DIMENSIONS) + """,
+      z AS (SELECT word, usage_id, (x - avg(x) OVER w) / coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS z FROM e
+            WINDOW w AS (PARTITION BY word, dim))
+      SELECT word, usage_id, true AS same, round(sqrt(sum(z * z)), 6) + 0.0::DOUBLE AS scaled_norm FROM z GROUP BY word, usage_id""",
     "cluster_outer_join": """
       SELECT coalesce(CAST(vec_id AS VARCHAR), CAST(doc_id AS VARCHAR)) AS bnc_index, CAST(quality AS VARCHAR) AS tag,
              CAST(label AS VARCHAR) AS cluster_id

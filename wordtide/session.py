@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_FOLDER = "wordtide.local.folder"
+
 
 def local_session(cores: int | str = "*", name: str = "wordtide") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -27,17 +29,16 @@ def local_session(cores: int | str = "*", name: str = "wordtide") -> SparkSessio
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see: the session's spark.checkpoint.dir.
 
-    Only a local session may go without the setting; it gets a folder of its own.
+    Only a local session may go without the setting; it gets a folder of its own, which is
+    kept under a key of this library, as the setting itself is fixed once Spark runs.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None)
     if configured:
         return configured
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.conf.set(LOCAL_FOLDER, tempfile.mkdtemp(prefix="run-"))
+    return spark.conf.get(LOCAL_FOLDER)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
