@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -420,6 +421,47 @@ def test_sample_leaves_cells_out_when_texts_run_out(spark):
     assert set(got.values()) == {"a", "b"} and len(got) == 2
 
 
+def in_turn(cells, periods, seed):
+    """The sample by choosing cell after cell: own texts, then the cluster's, then the word's."""
+    named = [(c, p, t, f"{c}{p}{t}") for (c, p), texts in cells.items() for t in texts]
+    rows = [(c, p, t, (md5(f"{seed}-{sid}"), sid)) for c, p, t, sid in named]
+    clusters = sorted({c for c, _ in cells})
+
+    def first(found):
+        best = {}
+        for text, k in found:
+            best[text] = min(k, best.get(text, k))
+        return sorted(best, key=best.get)
+
+    own = {(c, p): first((t, k) for rc, rp, t, k in rows if (rc, rp) == (c, p)) for c in clusters for p in periods}
+    turn = sorted(own, key=lambda x: (len(own[x]), md5(f"{seed}-w-{x[0]}-{x[1]}"), x))
+    got = {}
+    for wanted in (own.get, lambda x: first((t, k) for c, _, t, k in rows if c == x[0]), lambda x: first((t, k) for *_, t, k in rows)):
+        for cell in turn:
+            free = [t for t in wanted(cell) if t not in got.values()]
+            if cell not in got and free:
+                got[cell] = free[0]
+    return got
+
+
+def test_sample_takes_own_texts_first_whatever_the_seed(spark):
+    cells = {(0, "p1"): ["t", "v", "u"], (1, "p1"): ["t"]}
+    for seed in range(10):
+        rows = A.sample_snippets(snippets(spark, cells), ["p1"], seed).collect()
+        got = {(r["cluster"], r["period"]): r["text"] for r in rows}
+        assert got[(1, "p1")] == "t" and got[(0, "p1")] in ("u", "v")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_sample_by_claims_equals_choosing_in_turn(spark, seed):
+    draw = random.Random(seed)
+    texts = [f"t{i}" for i in range(draw.choice([6, 14, 40]))]
+    cells = {(c, p): draw.sample(texts, draw.randint(0, 5)) for c in range(5) for p in "pqrz"}
+    cells = {k: v for k, v in cells.items() if v}
+    rows = A.sample_snippets(snippets(spark, cells), ["p", "q", "r", "s"], seed).collect()
+    assert {(r["cluster"], r["period"]): r["text"] for r in rows} == in_turn(cells, ["p", "q", "r", "s"], seed)
+
+
 def test_sample_with_a_cluster_known_only_by_shared_texts(spark):
     got = sampled(spark, {(0, "p"): ["a", "b", "c"], (1, "p"): ["a"], (2, "q"): ["b"]}, ["p"])
     assert len(got) == 3

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
-from wordtide.operators.blocks import attach_small
+from wordtide.operators.blocks import attach_small, fits_broadcast
 from wordtide.operators.ranking import hash_order, top_per_group
 from wordtide.operators.sampling import hash_number
 from wordtide.operators.usage import period_labels
@@ -59,56 +59,78 @@ def prepare_snippets(
 def sample_snippets(snippets: DataFrame, periods: Sequence[str], seed: int = 42) -> DataFrame:
     """One unused snippet for every cluster of a word and every asked period.
 
-    A cell takes the first of its own snippets in hash order. Cells without one
-    share out what their cluster has left, in any period, then what the word has
-    left. The cell keeps its cluster and period. A text is used once per word,
-    and a cell stays out when the word has no text left.
-    Columns: word, id, cluster, period, text.
+    A text is used once per word. Cells choose in turn, those with fewer texts of their own first,
+    then by hash: each takes the first text of its own, in hash order, that no earlier cell took.
+    Cells left over choose in the same turn among what their cluster has left, in any period, then
+    among what the word has left. The cell keeps its cluster and period, and stays out when the
+    word has no text left. Columns: word, id, cluster, period, text.
+
+    All words choose at once, by rounds of claims on digests: every cell claims its next text, a
+    text keeps the claimant whose turn comes first, the others claim again. That ends where
+    choosing in turn does. Texts are made for the chosen snippets only.
     """
-    keyed = snippets.withColumn("_hash", hash_order("snippet_id", seed=seed))
-    # One home cell per word and text, the one of its first row in hash order.
-    homes = keyed.groupBy("word", "text").agg(
-        F.min(F.struct("_hash", "snippet_id", "cluster", "period")).alias("_home"),
-        F.collect_set("cluster").alias("_clusters"),
-    )
-    # Written once: the steps below read it several times.
-    homes = cut_lineage(homes)
-    clusters = cut_lineage(homes.select("word", F.explode("_clusters").alias("cluster")).distinct())
-    cells = clusters.withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
-    order = [F.col("_hash"), F.col("snippet_id")]
+    digest = F.md5(F.col("text").cast("binary")).alias("digest")
+    order = F.struct(hash_order("snippet_id", seed=seed).alias("hash"), F.col("snippet_id").alias("snippet_id")).alias("_key")
+    keyed = snippets.select("word", "cluster", "period", digest, order)
+    texts = cut_lineage(keyed.groupBy("word", "cluster", "period", "digest").agg(F.min("_key").alias("_key")), "texts")
+    cells = cut_lineage(_cells(texts, periods, seed), "cells")
     # A word never needs more texts of one cell or cluster than it has cells.
-    most = clusters.groupBy("word").agg((F.count("*") * len(periods)).alias("_most"))
-    unique = homes.select("word", "text", "_home.*")
-    bounded = attach_small(unique, most, ["word"], ["snippet_id"])
-    salt = ["snippet_id"]
-    by_cell = top_per_group(bounded, ["word", "cluster", "period"], order, F.col("_most"), salt, "_in_cell")
-    by_cell = cut_lineage(by_cell)
-
-    asked = F.coalesce(F.col("period").isin(list(periods)), F.lit(False))
-    own = by_cell.where(asked & (F.col("_in_cell") == 1)).select("word", "cluster", "period", "snippet_id", "text")
-    left = by_cell.where(~(asked & (F.col("_in_cell") == 1)))
-    empty = cells.join(own, ["word", "cluster", "period"], "left_anti")
-
-    # Second choice: equal places among the cluster's leftovers and its empty cells.
-    left = top_per_group(left, ["word", "cluster"], order, F.col("_most"), salt, "_place")
-    empty = empty.withColumn("_place", F.row_number().over(W.partitionBy("word", "cluster").orderBy("period")))
-    left, empty = cut_lineage(left), cut_lineage(empty)
-    texts = left.select("word", "cluster", "_place", "snippet_id", "text")
-    second = empty.join(texts, ["word", "cluster", "_place"]).select("word", "cluster", "period", "snippet_id", "text")
-
-    # Third choice: the same among what is left of the word.
-    given = empty.select("word", "cluster", "_place")
-    rest = left.join(given, ["word", "cluster", "_place"], "left_anti").drop("_place")
-    rest = top_per_group(rest, ["word"], order, F.col("_most"), salt, "_place")
-    still = empty.join(texts.select("word", "cluster", "_place"), ["word", "cluster", "_place"], "left_anti")
-    still = still.withColumn("_place", F.row_number().over(W.partitionBy("word").orderBy("cluster", "period")))
-    third = still.join(rest.select("word", "_place", "snippet_id", "text"), ["word", "_place"]).select(
-        "word", "cluster", "period", "snippet_id", "text"
-    )
-    chosen = own.unionByName(second).unionByName(third)
+    most = cells.groupBy("word").agg(F.count("*").alias("_most"))
+    chosen, used = None, None
+    for place in (["word", "cluster", "period"], ["word", "cluster"], ["word"]):
+        open_ = cells if chosen is None else cells.join(chosen, ["word", "turn"], "left_anti")
+        offered = texts.groupBy(*place, "digest").agg(F.min("_key").alias("_key"))
+        if used is not None:
+            offered = offered.join(F.broadcast(used) if fits_broadcast(used) else used, ["word", "digest"], "left_anti")
+        offered = _numbered(offered, most, place)
+        won = _claims(open_, offered, place)
+        chosen = won if chosen is None else cut_lineage(chosen.unionByName(won), "chosen")
+        used = cut_lineage(chosen.select("word", "digest"), "used")
+    named = cells.join(chosen, ["word", "turn"])
+    wanted = cut_lineage(named.select("word", "cluster", "period", "digest", "snippet_id"), "named")
+    key = ["word", "snippet_id", "digest"]
+    small = wanted.select(key)
+    shown = snippets.select("word", "snippet_id", digest, "text")
+    shown = shown.join(F.broadcast(small) if fits_broadcast(small) else small, key, "left_semi").dropDuplicates(key)
     # At most clusters x periods rows per word.
     number = F.row_number().over(W.partitionBy("word").orderBy("cluster", "period")) - 1
-    return chosen.select("word", number.alias("id"), "cluster", "period", "text")
+    return wanted.join(shown, key).select("word", number.alias("id"), "cluster", "period", "text")
+
+
+def _cells(texts: DataFrame, periods: Sequence[str], seed: int) -> DataFrame:
+    """word, cluster, period, turn of every cluster and asked period; turns count from 1 in a word."""
+    asked = F.explode(F.array_distinct(F.array(*[F.lit(p) for p in periods]))).alias("period")
+    every = texts.select("word", "cluster").distinct().select("word", "cluster", asked)
+    own = texts.groupBy("word", "cluster", "period").agg(F.count("*").alias("_own"))
+    counted = every.join(own, ["word", "cluster", "period"], "left").fillna(0, ["_own"])
+    order = ["_own", hash_order("word", "cluster", "period", seed=seed), "cluster", "period"]
+    turn = F.row_number().over(W.partitionBy("word").orderBy(*order))
+    return counted.select("word", "cluster", "period", turn.alias("turn"))
+
+
+def _numbered(offered: DataFrame, most: DataFrame, place: list[str]) -> DataFrame:
+    """The first texts of each place with their position from 1, as many as the word has cells."""
+    bounded = attach_small(offered, most, ["word"], ["digest"])
+    first = top_per_group(bounded, place, [F.col("_key")], F.col("_most"), ["digest"], "position")
+    return cut_lineage(first.select(*place, "position", "digest", F.col("_key.snippet_id").alias("snippet_id")), "offered")
+
+
+def _claims(open_: DataFrame, offered: DataFrame, place: list[str]) -> DataFrame:
+    """word, turn, digest, snippet_id: what each open cell takes of the texts offered in its place.
+
+    Cells of one place have the same list, so the n-th of them starts at its n-th text: those
+    before are taken by the time of its turn.
+    """
+    start = F.row_number().over(W.partitionBy(*place).orderBy("turn"))
+    claims = open_.select(*place, "turn", start.alias("position"))
+    while True:
+        claimed = cut_lineage(claims.join(offered, [*place, "position"]), "claims")
+        first = claimed.groupBy("word", "digest").agg(F.min("turn").alias("_first"))
+        judged = cut_lineage(claimed.join(first, ["word", "digest"]), "judged")
+        lost = F.col("turn") > F.col("_first")
+        if judged.where(lost).isEmpty():
+            return claimed.select("word", "turn", "digest", "snippet_id")
+        claims = judged.select(*place, "turn", (F.col("position") + lost.cast("int")).alias("position"))
 
 
 def usage_pairs(sampled: DataFrame) -> DataFrame:

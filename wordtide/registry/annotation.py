@@ -56,22 +56,38 @@ _SAMPLE = """x AS (
   SELECT word, CAST(corpus_id % 7 AS INTEGER) AS cluster, period, text,
          corpus_id || '-' || sent_idx || '-' || start_idx AS sid
   FROM sn LEFT JOIN bins ON 1950 + corpus_id % 73 > lo AND 1950 + corpus_id % 73 <= hi),
-un AS (SELECT *, md5('42-' || sid) AS h FROM x QUALIFY row_number() OVER (PARTITION BY word, text ORDER BY md5('42-' || sid), sid) = 1),
-rk AS (SELECT *, row_number() OVER (PARTITION BY word, cluster, period ORDER BY h, sid) AS r FROM un),
-own AS (SELECT * FROM rk WHERE r = 1 AND period IS NOT NULL),
-lf AS (SELECT *, row_number() OVER (PARTITION BY word, cluster ORDER BY h, sid) AS place FROM rk WHERE r > 1 OR period IS NULL),
-em AS (SELECT cl.word, cl.cluster, b.period, row_number() OVER (PARTITION BY cl.word, cl.cluster ORDER BY b.period) AS place
-       FROM (SELECT DISTINCT word, cluster FROM x) cl CROSS JOIN bins b
-       WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.word = cl.word AND own.cluster = cl.cluster AND own.period = b.period)),
-sec AS (SELECT em.word, em.cluster, em.period, lf.text FROM em JOIN lf USING (word, cluster, place)),
-rest AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY h, sid) AS wplace FROM (
-         SELECT lf.* FROM lf ANTI JOIN em USING (word, cluster, place))),
-still AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY cluster, period) AS wplace FROM (
-          SELECT em.* FROM em ANTI JOIN lf USING (word, cluster, place))),
-ch AS (SELECT word, cluster, period, text FROM own UNION ALL SELECT * FROM sec
-       UNION ALL SELECT still.word, still.cluster, still.period, rest.text FROM still JOIN rest ON rest.word = still.word AND rest.wplace = still.wplace),
-sm AS (SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY cluster, period) - 1 AS INTEGER) AS id, cluster, period, text FROM ch)"""
-_PARTS = with_parts(SENTENCES, CONTEXTS, BOUNDS, SNIPPETS, BINS, _SAMPLE)
+own AS (SELECT word, cluster, period, text, min(md5('42-' || sid) || sid) AS k FROM x GROUP BY ALL),
+ce AS (
+  SELECT cl.word, cl.cluster, b.period, row_number() OVER (PARTITION BY cl.word ORDER BY
+           (SELECT count(*) FROM own o WHERE o.word = cl.word AND o.cluster = cl.cluster AND o.period = b.period),
+           md5('42-' || cl.word || '-' || cl.cluster || '-' || b.period), cl.cluster, b.period) AS turn
+  FROM (SELECT DISTINCT word, cluster FROM x) cl CROSS JOIN bins b),
+mo AS (SELECT word, count(*) AS most FROM ce GROUP BY word),
+cand AS (
+  SELECT ce.word, turn AS step, turn, text, k FROM ce JOIN own USING (word, cluster, period)
+  UNION ALL
+  SELECT ce.word, most + turn, turn, text, k FROM ce JOIN mo USING (word)
+    JOIN (SELECT word, cluster, text, min(k) AS k FROM own GROUP BY ALL) USING (word, cluster)
+    QUALIFY row_number() OVER (PARTITION BY ce.word, turn ORDER BY k) <= 2 * most
+  UNION ALL
+  SELECT ce.word, 2 * most + turn, turn, text, k FROM ce JOIN mo USING (word)
+    JOIN (SELECT word, text, min(k) AS k FROM own GROUP BY ALL) USING (word)
+    QUALIFY row_number() OVER (PARTITION BY ce.word, turn ORDER BY k) <= 2 * most),
+st AS (
+  SELECT word, most, CAST(0 AS BIGINT) AS step, []::VARCHAR[] AS used, []::BIGINT[] AS done, NULL::VARCHAR AS pick, NULL::BIGINT AS turn
+  FROM mo
+  UNION ALL
+  SELECT word, most, step, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END,
+         CASE WHEN pick IS NULL THEN done ELSE list_append(done, turn) END, pick, turn
+  FROM (SELECT s.word, s.most, s.step + 1 AS step, s.used, s.done,
+               arg_min(c.text, c.k) FILTER (NOT list_contains(s.used, c.text) AND NOT list_contains(s.done, c.turn)) AS pick,
+               min(c.turn) AS turn
+        FROM st s LEFT JOIN cand c ON c.word = s.word AND c.step = s.step + 1 WHERE s.step < 3 * s.most
+        GROUP BY s.word, s.most, s.step, s.used, s.done)),
+sm AS (
+  SELECT ce.word, CAST(row_number() OVER (PARTITION BY ce.word ORDER BY cluster, period) - 1 AS INTEGER) AS id, cluster, period, pick AS text
+  FROM st JOIN ce ON ce.word = st.word AND ce.turn = st.turn WHERE pick IS NOT NULL)"""
+_PARTS = with_parts(SENTENCES, CONTEXTS, BOUNDS, SNIPPETS, BINS, _SAMPLE).replace("WITH ", "WITH RECURSIVE ", 1)
 _NUMBER = "CAST('0x' || substr(md5('42-' || word || '-' || id || '-' || draw || '-{0}'), 1, 15) AS BIGINT) % 2"
 
 ORACLES = {
