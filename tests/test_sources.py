@@ -1,8 +1,11 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from wordtide.functions import text as T
 from wordtide.operators import blocks as B, hits as H
 from wordtide.plans import corpus
 from wordtide.session import new_path
@@ -40,7 +43,7 @@ EXPECTED = {(1, "One.", 1999), (4122123, "", None), (7, "Seven!", None)}
 def test_clean_corpus(spark, raw):
     out = new_path(spark, "test-clean")
     corpus.run(spark, str(raw / "texts"), str(raw / "meta.txt"), out)
-    table = readers.table(spark, out)
+    table = readers.clean_corpus(spark, out)
     assert table.columns == list(writers.CLEAN_SCHEMA)
     assert {(r["textID"], r["doc_text"], r["year"]) for r in table.collect()} == EXPECTED
     counts = corpus.documents_per_file(readers.corpus_files(spark, str(raw / "texts")))
@@ -93,7 +96,7 @@ def test_contexts_are_short_at_document_edges_only(spark):
 
 
 def test_feature_vectors_read_what_was_written(spark):
-    rows = [(1, '"', 0.5), (2, 'say "hi", you', 1.0), (3, "a\nb", None), (4, None, 2.0), (5, " x\\", 3.0)]
+    rows = [(1, '"', 0.5), (2, 'say "hi", you', 1.0), (3, "a\nb", None), (4, None, 2.0), (5, " x\\", 3.0), (6, "", None), (7, " pad ", 0.0)]
     schema = "id long, text string, f double"
     path = new_path(spark, "test-features")
     writers.csv_table(spark.createDataFrame(rows, schema), path)
@@ -137,3 +140,96 @@ def test_compute_once_runs_once(spark):
     assert writers.compute_once(spark, path, compute).count() == 3
     assert writers.compute_once(spark, path, compute).count() == 3
     assert len(calls) == 1
+
+
+def plain_documents(texts):
+    return sorted(
+        (name, int(body[:7]), body[7:].strip())
+        for name, text in texts.items()
+        for body in re.split(r"@@(?=\d{7})", text)[1:]
+    )
+
+
+def records_of(spark, folder):
+    rows = readers.corpus_records(spark, str(folder)).select("path", T.document(F.col("value")).alias("d")).collect()
+    return sorted((r["path"].rsplit("/", 1)[1], r["d"]["text_id"], r["d"]["doc_text"]) for r in rows)
+
+
+def test_records_of_a_large_file_are_read_by_many_tasks(spark, tmp_path):
+    draw = random.Random(1)
+    text = "preamble " + "".join(f"@@{i:07d} " + "Some words here. " * draw.randint(0, 60) for i in range(1500))
+    (tmp_path / "large.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7777")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert records_of(spark, tmp_path) == plain_documents({"large.txt": text})
+        tasks = readers.corpus_records(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().count()
+        assert tasks > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+@pytest.mark.parametrize("split,run", [("16", ""), ("131072", "@"), ("131072", "@@@")])
+def test_markers_inside_texts_go_back_to_their_document(spark, tmp_path, split, run):
+    """Runs of the marker's character are only ambiguous where a split cuts through them."""
+    texts = {
+        "a.txt": f"1234567 not a document @@x @@0000001 One @@ two@@three. {run}@@0000002 Two.@@{run} @@0000003",
+        "b.txt": "@@0000004@@0000005 é @@12 short ids stay @@123456\n@@0000006 end",
+        "c.txt": "",
+        "d.txt": "only a preamble @@ with a mark",
+        "e.txt": "@@0000007 Seven.",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if split == "16" else "4194304")
+    try:
+        assert records_of(spark, tmp_path) == plain_documents(texts)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_a_second_run_replaces_its_files_and_keeps_others(spark, raw):
+    out = new_path(spark, "test-append")
+    run = lambda folder: corpus.run(spark, str(folder), str(raw / "meta.txt"), out)
+    shown = lambda: sorted((r["textID"], r["doc_text"]) for r in readers.clean_corpus(spark, out).collect())
+    run(raw / "texts")
+    first = shown()
+    run(raw / "texts")
+    assert shown() == first == [(1, "One."), (7, "Seven!"), (4122123, "")]
+    more = raw / "more"
+    more.mkdir()
+    (more / "b.txt").write_text("@@0000009 Same name, other folder.")
+    run(more)
+    assert shown() == sorted([*first, (9, "Same name, other folder.")])
+    (raw / "texts" / "news" / "b.txt").write_text("@@0000008 Changed.")
+    run(raw / "texts")
+    assert [t for t, _ in shown()] == [1, 8, 9, 4122123]
+
+
+def test_pair_sheets_keep_blanks_and_empty_texts(spark):
+    row = {c: "x" for c in writers.PAIR_COLUMNS} | {"id_a": 1, "id_b": 2, "cluster_a": 0, "cluster_b": 1}
+    rows = [row | {"lemma_a": "x", "lemma_b": "x", "a": a, "b": b} for a, b in [(" pad ", ""), ('"q"', "tab\there"), ("", "  ")]]
+    path = new_path(spark, "test-sheet")
+    writers.pair_sheet(spark.createDataFrame(rows), path)
+    got = sorted((r["a"], r["b"]) for r in readers.pair_sheet(spark, path).collect())
+    assert got == sorted([(" pad ", ""), ('"q"', "tab here"), ("", "  ")])
+
+
+def test_compute_once_reads_what_was_published_first(spark):
+    path = new_path(spark, "test-race")
+
+    def slower():
+        writers.compute_once(spark, path, lambda: spark.range(5))  # another run is done in between
+        return spark.range(9)
+
+    assert writers.compute_once(spark, path, slower).count() == 5
+    assert writers.compute_once(spark, path, lambda: spark.range(7)).count() == 5
+    # A run that died left data without a row.
+    left = new_path(spark, "test-left")
+    spark.range(3).write.parquet(f"{left}/data/0-x")
+    assert writers.compute_once(spark, left, lambda: spark.range(4)).count() == 4

@@ -32,12 +32,13 @@ def split_documents(raw: Column) -> Column:
     """
     parts = F.split(raw, DOCUMENT_MARKER)
     bodies = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.transform(
-        bodies,
-        lambda part: F.struct(
-            F.substring(part, 1, 7).cast("long").alias("text_id"),
-            strip(F.substr(part, F.lit(8))).alias("doc_text"),
-        ),
+    return F.transform(bodies, document)
+
+
+def document(record: Column) -> Column:
+    """(text_id, doc_text) of what follows a marker."""
+    return F.struct(
+        F.substring(record, 1, 7).cast("long").alias("text_id"), strip(F.substr(record, F.lit(8))).alias("doc_text")
     )
 
 

@@ -11,7 +11,15 @@ from wordtide.sources import readers, writers
 
 def split_files(files: DataFrame) -> DataFrame:
     """path, textID, doc_text: the documents of each file, redacted sentences dropped."""
-    parts = files.select("path", F.explode(T.split_documents(F.col("value"))).alias("doc"))
+    return _cleaned(files.select("path", F.explode(T.split_documents(F.col("value"))).alias("doc")))
+
+
+def split_records(records: DataFrame) -> DataFrame:
+    """The same from `readers.corpus_records`, a row per document."""
+    return _cleaned(records.select("path", T.document(F.col("value")).alias("doc")))
+
+
+def _cleaned(parts: DataFrame) -> DataFrame:
     return parts.select(
         "path",
         F.col("doc.text_id").alias("textID"),
@@ -29,8 +37,9 @@ def clean_corpus(files: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, texts: str, metadata: str, out: str) -> None:
-    files = readers.corpus_files(spark, texts)
-    writers.clean_corpus(clean_corpus(files, readers.corpus_metadata(spark, metadata)), out)
+    """Cleans all files below `texts` and replaces what the table had of them; other files' rows stay."""
+    documents = split_records(readers.corpus_records(spark, texts))
+    writers.append_clean_corpus(attach_metadata(documents, readers.corpus_metadata(spark, metadata)), out)
 
 
 def documents_per_file(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from wordtide.functions.periods import period
 from wordtide.operators import hits as H, pairs as A
 from wordtide.registry.common import BINS, BOUNDS, CONTEXTS, PERIODS, SENTENCES, SNIPPETS, WORDS, documents, with_parts, year_of
 from wordtide.session import cut_lineage, new_path
-from wordtide.sources import writers
+from wordtide.sources import readers, writers
 
 
 def snippet_sample(spark, sf):
@@ -29,10 +29,7 @@ def _sheet(spark, name, pairs, control=False):
     """The pairs after a trip through a tab-separated sheet."""
     path = new_path(spark, name)
     writers.pair_sheet(pairs, path, control)
-    numbers = {"id_a", "id_b", "cluster_a", "cluster_b"}
-    columns = writers.PAIR_COLUMNS + (writers.CONTROL_COLUMNS if control else [])
-    schema = ", ".join(f"{c} {'int' if c in numbers else 'string'}" for c in columns)
-    return spark.read.schema(schema).csv(path, sep="\t", header=True, quote="")
+    return readers.pair_sheet(spark, path, control)
 
 
 def usage_pairs(spark, sf):
@@ -46,8 +43,7 @@ def pair_counts(spark, sf):
 
 def control_pairs(spark, sf):
     sampled = cut_lineage(snippet_sample(spark, sf))
-    sheet = _sheet(spark, "control", A.control_pairs(sampled, pairs_per_usage=2), control=True)
-    return sheet.fillna("", ["fieldname_gold_reason"])
+    return _sheet(spark, "control", A.control_pairs(sampled, pairs_per_usage=2), control=True)
 
 
 QUERIES = {f.__name__: f for f in [snippet_sample, usage_pairs, pair_counts, control_pairs]}

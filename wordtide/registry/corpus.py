@@ -8,7 +8,7 @@ from wordtide.functions import text as T
 from wordtide.functions.periods import lenient_number, to_year
 from wordtide.operators import sampling as S, usage as U
 from wordtide.operators.vectors import pool
-from wordtide.plans.corpus import clean_corpus
+from wordtide.plans.corpus import attach_metadata, split_records
 from wordtide.registry.common import (
     STRIP, documents, exploded, rounded, table, usages, with_parts, year_of,
 )
@@ -57,8 +57,11 @@ def metadata_coerce(spark, sf):
 def doc_split_clean(spark, sf):
     texts, out = new_path(spark, "texts"), new_path(spark, "clean")
     _raw_texts(spark, sf).write.text(texts)
-    writers.clean_corpus(clean_corpus(readers.corpus_files(spark, texts), _metadata(spark, sf)), out)
-    clean = readers.table(spark, out)
+    metadata = _metadata(spark, sf)
+    for _ in range(2):  # a second run over the same files changes nothing
+        documents = split_records(readers.corpus_records(spark, texts))
+        writers.append_clean_corpus(attach_metadata(documents, metadata), out)
+    clean = readers.clean_corpus(spark, out)
     return clean.select(
         "textID", "doc_text", *[F.col(f"`{c}`").cast("double").alias(n) for c, n in
                                 [("#words", "words"), ("year", "year"), ("subgen", "subgen")]],

@@ -1,50 +1,32 @@
-"""A store of fitted clusterings: versions of model tables, each made visible by a single row.
-
-A version's tables are written to a folder of their own first. Then one row goes to the table of
-versions, as one small file that Spark's writer moves into place at its end; readers only see
-versions with a row. A run that dies before leaves files that no reader looks at. Two writers at
-once may get the same number; both stay readable by name, the later name counts as the latest.
-"""
+"""A store of fitted clusterings: a version holds the tables of a fit, see `versions`."""
 
 from __future__ import annotations
 
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wordtide.plans.usage_types import Clusterings
+from wordtide.sources.versions import folder, new_name, publish, versions
 
 TABLES = ["scaling", "models", "scores", "labels"]
-VERSIONS = "version long, name string, written_ms long"
 
 
 def save_clusterings(spark: SparkSession, fitted: Clusterings, path: str) -> int:
     """Writes the tables of a fit as a new version and returns its number, from 1."""
-    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    name = new_name()
     for table in TABLES:
-        getattr(fitted, table).write.parquet(f"{path}/data/{name}/{table}")
-    number = (versions(spark, path).agg(F.max("version")).first()[0] or 0) + 1
-    row = spark.range(1).select(
-        F.lit(number).cast("long").alias("version"), F.lit(name).alias("name"), F.lit(time.time_ns() // 10**6).alias("written_ms")
-    )
-    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
-    return number
-
-
-def versions(spark: SparkSession, path: str) -> DataFrame:
-    """version, name, written_ms of every version; none for a path without a store."""
-    # An empty file list is an error in Spark; the first write of a store makes an empty table.
-    spark.createDataFrame([], VERSIONS).write.mode("ignore").parquet(f"{path}/versions")
-    return spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+        getattr(fitted, table).write.parquet(f"{folder(path, name)}/{table}")
+    return publish(spark, path, name)
 
 
 def load_clusterings(spark: SparkSession, path: str, version: int | None = None) -> Clusterings:
-    """The latest version, or the one asked for; an unknown one is an error."""
+    """The latest version, or the one asked for; an unknown one is an error.
+
+    Of two versions that were numbered alike the one with the later name counts.
+    """
     known = versions(spark, path)
     asked = known if version is None else known.where(F.col("version") == version)
     found = asked.orderBy(F.desc("version"), F.desc("name")).first()
     if found is None:
         raise ValueError(f"There is no version {version or ''} of a clustering in {path}.")
-    return Clusterings(*[spark.read.parquet(f"{path}/data/{found['name']}/{table}") for table in TABLES])
+    return Clusterings(*[spark.read.parquet(f"{folder(path, found['name'])}/{table}") for table in TABLES])

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordtide.sources.versions import folder, new_name, publish, versions
+
 # Schema of the clean corpus, headers of the pair sheets.
 CLEAN_SCHEMA = {
     "textID": "long",
@@ -21,6 +23,9 @@ CLEAN_SCHEMA = {
 PAIR_COLUMNS = ["lemma", "id_a", "id_b", "cluster_a", "cluster_b", "time_a", "time_b", "a", "b"]
 CONTROL_COLUMNS = ["fieldname_gold", "fieldname_gold_reason", "_golden"]
 CONTROL_VALUES = ["identical", "", "TRUE"]
+# Stands for null in CSV tables, where nothing between two commas is an empty text.
+NULL_MARK = "\ue000"
+SOURCE_FILE = "source_file"
 
 
 def clean_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,6 +33,21 @@ def clean_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select([F.col(f"`{c}`").cast(t).alias(c) for c, t in CLEAN_SCHEMA.items()]).write.mode(mode).parquet(path)
 
 
+def append_clean_corpus(df: DataFrame, path: str, file_col: str = "path") -> None:
+    """The same, one partition per source file: files written before are replaced, others stay.
+
+    So a second run over a file changes nothing. A file that has no documents any more keeps
+    those it had. `readers.clean_corpus` reads the table. Rows are rebalanced by file, so that a
+    small file ends in one part and a large one in several.
+    """
+    name = F.substring_index(F.col(file_col), "/", -1)
+    file = F.concat_ws("-", F.substring(name, 1, 80), F.substring(F.md5(F.col(file_col)), 1, 12)).alias(SOURCE_FILE)
+    typed = df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in CLEAN_SCHEMA.items()], file)
+    typed.hint("rebalance", SOURCE_FILE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        SOURCE_FILE
+    ).parquet(path)
+
+
 def hits_by_word(df: DataFrame, path: str) -> None:
     """CSV, one folder per word; a word without hits gets none.
 
@@ -58,7 +78,9 @@ def pair_sheet(pairs: DataFrame, path: str, control: bool = False) -> None:
         sheet = sheet.select(
             "*", *[F.lit(v).alias(c) for c, v in zip(CONTROL_COLUMNS, CONTROL_VALUES)]
         )
-    sheet.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="")
+    sheet.write.mode("overwrite").csv(
+        path, sep="\t", header=True, emptyValue="", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def json_by_word(df: DataFrame, path: str) -> None:
@@ -72,8 +94,9 @@ def finished_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_table(df: DataFrame, path: str) -> None:
+    """CSV that `readers.feature_vectors` reads back as it was; null and empty texts differ."""
     df.write.mode("overwrite").csv(
-        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        path, header=True, escape='"', nullValue=NULL_MARK, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
 
@@ -84,11 +107,12 @@ def parquet_table(df: DataFrame, path: str) -> None:
 def compute_once(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """Read the saved result, or compute and save it first.
 
-    A result counts as saved once its _SUCCESS file stands, so a run that died
-    while writing is done again.
+    A result counts as saved once it is published, so a run that died while writing is done
+    again. Where two runs compute at once, both read what was published first.
     """
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop_path):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if versions(spark, path).isEmpty():
+        name = new_name()
+        compute().write.parquet(folder(path, name))
+        publish(spark, path, name)
+    first = versions(spark, path).orderBy("version", "name").first()
+    return spark.read.parquet(folder(path, first["name"]))
