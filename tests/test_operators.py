@@ -115,7 +115,7 @@ def test_binned_counts_fill_every_cell(spark):
 @pytest.mark.parametrize("across", [False, True])
 @pytest.mark.parametrize("n", [2, 3])
 def test_stream_ngrams_equal_brute_force(spark, monkeypatch, across, n):
-    monkeypatch.setattr(colloc, "CHUNK_TOKENS", 4)
+    monkeypatch.setattr(colloc, "RANK_ROWS", 2)
     docs = {2: ["a b", "c", "a b"], 1: ["x a b c d e f g", "a"], 9: ["b"]}
     rows = [(d, i, s) for d, parts in docs.items() for i, s in enumerate(parts)]
     df = spark.createDataFrame(rows, "corpus_id long, sent_idx long, sentence string")
@@ -444,6 +444,78 @@ def in_turn(cells, periods, seed):
     return got
 
 
+@pytest.mark.parametrize("n", [1, 37, 140, 399, 400, 1000])
+def test_large_cuts_equal_sorting(spark, monkeypatch, n):
+    monkeypatch.setattr(R, "FEW", 20)
+    draw = random.Random(n)
+    rows = [(draw.choice([None, "a", "b", "é"]), draw.choice([None, 1.5, float("nan"), -2.0]), i // 2, "x" * i) for i in range(400)]
+    df = spark.createDataFrame(rows, "s string, d double, i long, body string").repartition(7)
+    got = R.first_rows(df, n, ["s", "d", "i"])
+    keys = lambda frame: sorted(str((r["s"], r["d"], r["i"])) for r in frame.collect())
+    assert keys(got) == keys(df.orderBy("s", "d", "i").limit(n))
+    assert got.count() == min(n, 400)
+
+
+def test_large_samples_are_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(R, "FEW", 20)
+    df = spark.range(500).select("id", F.repeat(F.lit("x"), 10).alias("body"))
+    got = S.sample_n(df, 100, ["id"])
+    assert "Sort" not in got._jdf.queryExecution().toString().split("Physical Plan")[1]
+    expected = sorted(range(500), key=lambda i: md5(f"42-{i}"))[:100]
+    assert sorted(r["id"] for r in got.collect()) == sorted(expected)
+
+
+def test_squared_silhouette_equals_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"w{i % 2}", i, int(rng.integers(0, 4)) if i < 56 else None, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [("w1", 70, 9, [0.0, 1.0, 2.0]), ("one", 80, 0, [1.0, 1.0, 1.0]), ("one", 81, 0, [1.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "word string, usage_id long, label int, vector array<double>")
+    got = {r["word"]: r["score"] for r in scores.squared_silhouette(df, ["word"]).collect()}
+    for word in ("w0", "w1", "one"):
+        points = [(label, np.array(v)) for w, _, label, v in rows if w == word and label is not None]
+        values = []
+        for i, (label, v) in enumerate(points):
+            gaps = {}
+            for j, (other, u) in enumerate(points):
+                if i != j:
+                    gaps.setdefault(other, []).append(((u - v) ** 2).sum())
+            a, others = gaps.pop(label, None), [np.mean(g) for g in gaps.values()]
+            values.append((min(others) - np.mean(a)) / max(min(others), np.mean(a)) if a and others else 0.0)
+        assert got[word] == pytest.approx(np.mean(values))
+    wide = spark.createDataFrame([("w", i, i % 2, [100.0 * (i % 2) + i / 50]) for i in range(20)], df.schema)
+    labels = cluster_usages(wide.select("word", "usage_id", "vector"), "kmeans", [2, 3], usage_types.SQUARED).collect()
+    assert {r["k"] for r in labels} == {2}
+
+
+@pytest.mark.parametrize("across", [False, True])
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_ngrams_cross_rows_blocks_and_documents(spark, monkeypatch, n, across):
+    monkeypatch.setattr(colloc, "RANK_ROWS", 3)
+    draw = random.Random(n)
+    rows = [(d, r, " ".join(draw.choice("abcde") for _ in range(draw.choice([0, 1, 1, 2, 7])))) for d in (1, 2, 4, 9, 11) for r in range(draw.choice([1, 2, 11]))]
+    df = spark.createDataFrame(rows, "corpus_id long, sent_idx long, sentence string")
+    docs = {}
+    for d, _, text in sorted(rows):
+        docs.setdefault(0 if across else d, []).extend(text.split())
+    want = Counter(tuple(run[i + j] if i + j < len(run) else None for j in range(n)) for run in docs.values() for i in range(len(run)))
+    got = Counter(tuple(r) for r in colloc.ngrams_of_stream(df, n, across_docs=across).collect())
+    assert got == want
+
+
+def test_likelihood_reads_the_bigrams_once(spark, monkeypatch):
+    seen = []
+    whole = colloc.cut_lineage
+    monkeypatch.setattr(colloc, "cut_lineage", lambda df, name="step": seen.append(name) or whole(df, name))
+    texts = spark.createDataFrame([("a b a b a b c. a b",), ("b a",)], "text string")
+    bigrams = colloc.ngrams_of_texts(texts, 2)
+    plain = {(r["w1"], r["w2"]): (r["n"], r["llr"]) for r in colloc.likelihood_ratio(bigrams, 1).collect()}
+    only = {(r["w1"], r["w2"]): (r["n"], r["llr"]) for r in colloc.likelihood_ratio(bigrams, 1, colloc.without(["c"])).collect()}
+    assert only == {k: v for k, v in plain.items() if "c" in k} and len(only) == 2
+    assert plain[("a", "b")][0] == 4 and seen == ["bigrams", "unigrams"] * 2
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    assert {(r["w1"], r["w2"]): (r["n"], r["llr"]) for r in colloc.likelihood_ratio(bigrams, 1).collect()} == plain
+
+
 def test_sample_takes_own_texts_first_whatever_the_seed(spark):
     cells = {(0, "p1"): ["t", "v", "u"], (1, "p1"): ["t"]}
     for seed in range(10):

@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
-from wordtide.operators.ranking import text_offset
+from wordtide.operators.blocks import fits_broadcast, join_small
+from wordtide.operators.ranking import BLOCK_ROWS as RANK_ROWS
+from wordtide.operators.ranking import sum_before
 from wordtide.session import cut_lineage
 
-CHUNK_TOKENS = 100_000
 TINY = 1e-20  # Fixed value: guards the logarithms of the likelihood ratio.
 
 
@@ -35,27 +36,57 @@ def ngrams_of_stream(
     """The same over the sentences of a document read as one run of tokens, or,
     with `across_docs`, over all documents in the order of their ids.
 
-    Tokens get their position in the whole run and are cut into chunks that
-    overlap by n-1 tokens; each chunk is a bounded window.
+    n-grams that end in their own row are made there and do not move. The last n-1 tokens of
+    a row need the first ones of the rows behind it: only these border tokens are shuffled. Rows
+    are followed inside blocks of a document; a block's last rows look up the first tokens of the
+    blocks behind by their number, so no long document meets in one task.
     """
-    words = sentences.select(doc, row, T.tokens(F.col("sentence")).alias("words"))
-    placed = text_offset(words, doc, row, F.size("words"), "_start")
-    stream = placed.select(doc, F.posexplode("words").alias("_i", "w1"), "_start").select(
-        doc, "w1", (F.col("_start") + F.col("_i")).alias("_at")
-    )
-    own = F.floor(F.col("_at") / CHUNK_TOKENS)
-    overlap = (F.col("_at") % CHUNK_TOKENS < n - 1) & (own > 0)
-    chunked = stream.withColumn(
-        "_chunk", F.explode(F.when(overlap, F.array(own, own - 1)).otherwise(F.array(own)))
-    )
-    w = W.partitionBy("_chunk").orderBy("_at")
-    same_doc = lambda step: F.lit(True) if across_docs else F.lead(doc, step).over(w) == F.col(doc)
-    followers = [F.when(same_doc(i), F.lead("w1", i).over(w)).alias(f"w{i + 1}") for i in range(1, n)]
-    return (
-        chunked.select("w1", "_at", "_chunk", *followers)
-        .where(F.col("_chunk") == own)
-        .select([f"w{i + 1}" for i in range(n)])
-    )
+    reach = n - 1
+    words = sentences.select(doc, row, T.tokens(F.col("sentence")).alias("words")).where(F.size("words") > 0)
+    names = [f"w{i + 1}" for i in range(n)]
+    inside = F.greatest(F.size("words") - reach, F.lit(0))
+    slots = [F.slice("words", i + 1, inside).alias(name) for i, name in enumerate(names)]
+    inner = words.select(F.inline(F.arrays_zip(*slots)).alias(*names))
+    if not reach:
+        return inner
+    from_end = F.greatest(F.size("words") - reach, F.lit(0)) + 1
+    borders = words.select(
+        doc, row, F.slice("words", 1, reach).alias("head"), F.slice("words", from_end, F.lit(reach)).alias("tail")
+    ).withColumn("_block", F.floor(F.col(row) / RANK_ROWS))
+    behind = [doc, "_block"]
+    w = W.partitionBy(*behind).orderBy(row)
+    later = F.flatten(F.array(*[F.coalesce(F.lead("head", i).over(w), F.array().cast("array<string>")) for i in range(1, n)]))
+    placed = borders.select(*behind, row, "head", "tail", F.slice(later, 1, reach).alias("next"))
+    placed = cut_lineage(placed, "borders")
+    # A block begins with the head of its first row and what follows it.
+    first = F.min_by(F.slice(F.concat("head", "next"), 1, reach), row)
+    numbered = _numbered_blocks(placed.groupBy(*behind).agg(first.alias("head")), doc)
+    following = numbered
+    for i in range(1, n):
+        other = numbered.select((F.col("number") - i).alias("number"), F.col("head").alias(f"_h{i}"), F.col(doc).alias(f"_d{i}"))
+        following = following.join(other, "number", "left")
+    same = lambda i: F.lit(True) if across_docs else F.col(f"_d{i}") == F.col(doc)
+    none = F.array().cast("array<string>")
+    heads = [F.when(same(i), F.coalesce(f"_h{i}", none)).otherwise(none) for i in range(1, n)]
+    following = following.select(*behind, F.flatten(F.array(*heads)).alias("_behind"))
+    short = F.size("next") < reach
+    whole = F.slice(F.concat("tail", "next", "_behind"), 1, F.size("tail") + reach)
+    # Rows that find all they need in their block do not look further.
+    ends = placed.where(short).join(following, behind).select(whole.alias("run"), F.size("tail").alias("own"))
+    rest = placed.where(~short).select(F.concat("tail", "next").alias("run"), F.size("tail").alias("own"))
+    tails = ends.unionByName(rest).select("run", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("_i"))
+    outer = tails.select(*[F.get("run", F.col("_i") + i).alias(name) for i, name in enumerate(names)])
+    return inner.unionByName(outer)
+
+
+def _numbered_blocks(blocks: DataFrame, doc: str) -> DataFrame:
+    """Adds `number`, the place of each block in the order of documents and blocks, without gaps."""
+    blocks = cut_lineage(blocks, "blocks")
+    sizes = cut_lineage(blocks.groupBy(doc).agg(F.count("*").alias("_n")), "sizes")
+    starts = sum_before(sizes, doc, F.col("_n"), "_start").select(doc, "_start")
+    at = F.row_number().over(W.partitionBy(doc).orderBy("_block"))
+    numbered = blocks.withColumn("_at", at).join(starts, doc).withColumn("number", F.col("_start") + F.col("_at"))
+    return cut_lineage(numbered.drop("_start", "_at"), "numbered")
 
 
 def ngram_counts(ngrams: DataFrame) -> DataFrame:
@@ -90,17 +121,22 @@ def likelihood_ratio(
 ) -> DataFrame:
     """w1, w2, n, llr of the frequent bigrams; margins come from all tokens.
 
-    Input are the bigrams themselves, one row per token. Word counts are written
-    once and looked up three times; bigrams that `remove` takes out are filtered
-    before they are counted, so only the wanted ones are shuffled.
+    Input are the bigrams themselves, one row per token, read once: those that `remove` takes out
+    are counted by their first word only. Word counts and the total come from these counts, and
+    are sent to the pairs by measured size, so a frequent word does not gather its pairs.
     """
-    unigrams = cut_lineage(bigrams.groupBy("w1").agg(F.count("*").alias("_count")))
+    kept = F.lit(True) if remove is None else ~F.coalesce(remove(F.col("w1"), F.col("w2")), F.lit(True))
+    kept = kept & F.col("w1").isNotNull() & F.col("w2").isNotNull()
+    counted = bigrams.select("w1", F.when(kept, F.col("w2")).alias("w2")).groupBy("w1", "w2").agg(F.count("*").alias("n"))
+    counts = cut_lineage(counted, "bigrams")
+    unigrams = cut_lineage(counts.groupBy("w1").agg(F.sum("n").alias("_count")), "unigrams")
     total = unigrams.agg(F.sum("_count").alias("_all"))
-    pairs = frequent(ngram_counts(bigrams), min_count, remove)
+    pairs = counts.where((F.col("n") >= min_count) & F.col("w2").isNotNull())
+    fits = fits_broadcast(unigrams)
     first = unigrams.select("w1", F.col("_count").alias("_n1"))
     second = unigrams.select(F.col("w1").alias("w2"), F.col("_count").alias("_n2"))
     # `total` is a single row.
-    table = pairs.join(first, "w1").join(second, "w2").join(F.broadcast(total))
+    table = join_small(join_small(pairs, first, ["w1"], ["w2"], fits), second, ["w2"], ["w1"], fits).join(F.broadcast(total))
     a = F.col("n").cast("double")
     b, c = F.col("_n2") - a, F.col("_n1") - a
     d = F.col("_all") - F.col("_n1") - F.col("_n2") + a

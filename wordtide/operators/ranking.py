@@ -15,6 +15,9 @@ SALTS = 64
 PREFIX_DIGITS = 3
 RANGE_BUCKETS = 256
 BLOCK_ROWS = 10_000
+# Up to so many rows are cut by Spark's limit; more by ranges of keys.
+FEW = 10_000
+RANGES = 1000
 
 
 def hash_order(*key: str, seed: int = 42) -> Column:
@@ -47,6 +50,34 @@ def top_per_group(
     )
 
 
+def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first n rows by the order columns, nulls first; rows are not sorted.
+
+    Few rows are taken by Spark's own limit. Beyond FEW, keys alone are sorted by range and
+    counted per range; the n-th key becomes a bound, and the rows up to it pass a plain filter.
+    Of rows that equal the bound in all order columns, as many as fit are taken.
+    """
+    order = list(order)
+    if n <= FEW:
+        return df.orderBy(*order).limit(n)
+    count = df.count()
+    if count <= n:
+        return df
+    keys = df.select(*order).repartitionByRange(min(RANGES, -(-count // FEW)), *order)
+    keys = cut_lineage(keys.withColumn("_range", F.spark_partition_id()), "keys")
+    before = 0
+    for number, size in sorted(tuple(r) for r in keys.groupBy("_range").agg(F.count("*").alias("_n")).collect()):
+        if before + size >= n:
+            break
+        before += size
+    inside = keys.where(F.col("_range") == number).select(*order)
+    row, types = inside.orderBy(*order).offset(n - before - 1).limit(1).first(), dict(df.dtypes)
+    bound = F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order])
+    key = F.struct(*order)
+    left = n - before - inside.where(key < bound).count()
+    return df.where(key < bound).unionByName(df.where(key == bound).limit(left))
+
+
 def rank_by_hash(
     df: DataFrame, group: Sequence[str], hash_col: str, ties: Sequence[str], rank: str = "rank"
 ) -> DataFrame:

@@ -8,13 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordtide.operators.ranking import hash_order, rank_by_hash, top_per_group
+from wordtide.operators.ranking import first_rows, hash_order, rank_by_hash, top_per_group
+from wordtide.session import cut_lineage
 
 DRAWS_PER_TASK_ROW = 10_000
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    return df.orderBy(hash_order(*key, seed=seed), *key).limit(n)
+    """At most n rows, first by hash of their key; large samples are not sorted, see `first_rows`."""
+    return first_rows(df.withColumn("_hash_order", hash_order(*key, seed=seed)), n, ["_hash_order", *key]).drop("_hash_order")
 
 
 def sample_per_group(
@@ -35,18 +37,21 @@ def draw_with_replacement(
     """Per group n draws, or bround(fraction * size) draws, each from all its rows.
 
     Draw i takes the row whose rank in hash order is a hash of (seed, group, i)
-    modulo the group's size. Adds `draw`.
+    modulo the group's size. Adds `draw`. `key` tells the rows of a group apart.
     """
     if (n is None) == (fraction is None):
         raise ValueError("Give either n or fraction.")
-    rows = df.where(F.col(group).isNotNull()).withColumn("_hash", hash_order(key, seed=seed))
-    ranked = rank_by_hash(rows, [group], "_hash", [key], "_rank").drop("_hash")
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    # Keys are ranked; rows are read once more, for the keys that were drawn.
+    keys = cut_lineage(df.where(F.col(group).isNotNull()).select(group, key), "keys")
+    hashed = keys.withColumn("_hash", hash_order(key, seed=seed))
+    ranked = rank_by_hash(hashed, [group], "_hash", [key], "_rank").drop("_hash")
+    sizes = keys.groupBy(group).agg(F.count("*").alias("_size"))
     wanted = F.lit(n) if n is not None else F.bround(F.col("_size") * F.lit(fraction)).cast("long")
     draws = _numbered(sizes.withColumn("_draws", wanted.cast("long"))).withColumn(
         "_rank", F.pmod(hash_number(F.lit(str(seed)), F.col(group), F.col("draw")), F.col("_size"))
     )
-    return draws.select(group, "draw", "_rank").join(ranked, [group, "_rank"]).drop("_rank")
+    drawn = draws.select(group, "draw", "_rank").join(ranked, [group, "_rank"]).drop("_rank")
+    return drawn.join(df, [group, key])
 
 
 def hash_number(*parts: Column) -> Column:

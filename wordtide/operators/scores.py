@@ -44,6 +44,39 @@ def calinski_harabasz(labelled: DataFrame, group: Sequence[str], label: str = "l
     return whole.select(*group, F.when(flat, 1.0).otherwise(ratio).alias("score"))
 
 
+def squared_silhouette(labelled: DataFrame, group: Sequence[str], label: str = "label", id_col: str = "usage_id") -> DataFrame:
+    """group, score: mean silhouette by squared Euclidean distances, linear in the points.
+
+    Another measure than `silhouette`, in the same range. The mean squared distance of a point to
+    a cluster follows from the cluster's count, sum and sum of squares, so the points are read
+    once for these and once for their scores. Points without label take no part; a point alone
+    in its cluster scores 0, as does every point of a single cluster.
+    """
+    group = list(group)
+    known = labelled.where(F.col(label).isNotNull()).select(*group, F.col(label).alias("_label"), F.col(id_col).alias("_id"), "vector")
+    squares = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
+    parts = known.groupBy(*group, "_label").agg(
+        F.count("*").alias("n"), F.sum(squares(F.col("vector"))).alias("squares"), B.sum_arrays("vector").alias("total")
+    )
+    clusters = parts.groupBy(*group).agg(F.collect_list(F.struct("_label", "n", "squares", "total")).alias("_clusters"))
+    joined = B.attach_small(known, clusters, group, ["_id"])
+
+    def mean_gap(c: Column) -> Column:
+        cross = F.aggregate(F.zip_with("vector", c["total"], lambda x, t: x * t), F.lit(0.0), lambda acc, x: acc + x)
+        whole = c["n"] * F.col("_square") + c["squares"] - 2 * cross
+        return F.greatest(whole, F.lit(0.0)) / F.when(c["_label"] == F.col("_label"), c["n"] - 1).otherwise(c["n"])
+
+    own = F.filter("_clusters", lambda c: c["_label"] == F.col("_label"))[0]
+    others = F.filter("_clusters", lambda c: c["_label"] != F.col("_label"))
+    placed = joined.withColumn("_square", squares(F.col("vector"))).select(
+        *group,
+        F.when(own["n"] > 1, mean_gap(own)).alias("_a"),
+        F.array_min(F.transform(others, mean_gap)).alias("_b"),
+    )
+    score = F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
+    return placed.groupBy(*group).agg(F.avg(score).alias("score"))
+
+
 def silhouette(
     points: DataFrame,
     group: Sequence[str],

@@ -56,15 +56,11 @@ def clustering_intersection(labelled: DataFrame, labels: Sequence[str], id_col:
     Meta labels number the tuples of labels in the order of their smallest id,
     so only one row per tuple is ranked.
     """
-    tuples = labelled.groupBy(*labels).agg(F.min(id_col).alias("_first"))
-    ranked = rank_by_number(cut_lineage(tuples), "_first", "meta_label").select(
-        *[F.col(c).alias(f"_{c}") for c in labels], "meta_label"
-    )
-    same = None
-    for c in labels:
-        test = F.col(c).eqNullSafe(F.col(f"_{c}"))
-        same = test if same is None else same & test
-    return labelled.join(ranked, same).select(id_col, "meta_label")
+    key = F.to_json(F.struct(*[F.col(c) for c in labels]), {"ignoreNullFields": "false"})  # nulls are a label, too
+    named = labelled.select(id_col, key.alias("_tuple"))
+    tuples = named.groupBy("_tuple").agg(F.min(id_col).alias("_first"))
+    ranked = rank_by_number(cut_lineage(tuples), "_first", "meta_label").select("_tuple", "meta_label")
+    return B.attach_small(named, ranked, ["_tuple"], [id_col]).select(id_col, "meta_label")
 
 
 def pair_agreement(labelled: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -17,18 +17,21 @@ K_RANGE = tuple(range(2, 11))
 SILHOUETTE = "silhouette"
 # Names of the criterion.
 CALINSKI = ("calinski", "harabasz", "calinski-harabasz")
+# A measure of its own, linear in the usages of a word.
+SQUARED = "squared-silhouette"
 
 MODEL_COLUMNS = ["word", "method", "k", "covariance", "criterion", "score", "converged", "weights", "means", "covariances"]
 
 
 def kmeans_scores(points: DataFrame, labels: DataFrame, k_range: Sequence[int], criterion: str) -> DataFrame:
     """word, k, score of every fitted k."""
-    if criterion != SILHOUETTE and criterion not in CALINSKI:
-        raise ValueError(f"k-means is scored by silhouette or calinski, not by {criterion!r}")
+    if criterion not in (SILHOUETTE, SQUARED, *CALINSKI):
+        raise ValueError(f"k-means is scored by silhouette, {SQUARED} or calinski, not by {criterion!r}")
     sizes = sorted(int(k) for k in k_range)
-    if criterion in CALINSKI:
+    if criterion != SILHOUETTE:
         labelled = points.join(labels.select("word", "usage_id", "k", "label"), ["word", "usage_id"])
-        return scores.calinski_harabasz(labelled, ["word", "k"])
+        measure = scores.squared_silhouette if criterion == SQUARED else scores.calinski_harabasz
+        return measure(labelled, ["word", "k"])
     wide = labels.groupBy("word", "usage_id").agg(
         F.array(*[F.max(F.when(F.col("k") == k, F.col("label"))) for k in sizes]).alias("labels")
     )

@@ -79,6 +79,11 @@ def silhouette(spark, sf):
     return scored.select("word", rounded(F.col("score")).alias("score"))
 
 
+def silhouette_squared(spark, sf):
+    scored = S.squared_silhouette(usages(spark, sf).select("word", "usage_id", "label", "vector"), GROUP)
+    return scored.select("word", rounded(F.col("score")).alias("score"))
+
+
 def calinski_harabasz(spark, sf):
     scored = S.calinski_harabasz(usages(spark, sf).select("word", "label", "vector"), GROUP)
     return scored.select("word", rounded(F.col("score")).alias("score"))
@@ -202,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         cluster_outer_join, usage_distribution, usage_distribution_soft, usage_shares, clustering_intersection,
-        pair_agreement, silhouette, calinski_harabasz, kmeans_assign, kmeans_update, kmeans_sweep, usage_clusters,
+        pair_agreement, silhouette, silhouette_squared, calinski_harabasz, kmeans_assign, kmeans_update, kmeans_sweep, usage_clusters,
         gmm_sweep, clusterings_roundtrip, kmeans_layers, neighbour_bundle, prototypes,
     ]
 }
@@ -255,6 +260,12 @@ ORACLES = {
       q AS (SELECT word, usage_id, max(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b
             FROM p GROUP BY word, usage_id)
       SELECT word, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) + 0.0::DOUBLE AS score FROM q GROUP BY word""",
+    "silhouette_squared": with_parts(USAGES) + """,
+      p AS (SELECT a.word, a.usage_id, a.label, b.label AS other, avg(list_distance(a.vector, b.vector) ** 2) AS m
+            FROM u a JOIN u b ON a.word = b.word AND a.usage_id <> b.usage_id GROUP BY ALL),
+      q AS (SELECT word, usage_id, max(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b
+            FROM p GROUP BY word, usage_id)
+      SELECT word, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) + 0.0::DOUBLE AS score FROM q GROUP BY word""",
     "calinski_harabasz": with_parts(USAGES, DIMENSIONS) + """,
       m AS (SELECT *, avg(x) OVER (PARTITION BY word, label, dim) AS c, avg(x) OVER (PARTITION BY word, dim) AS g FROM e),
       k AS (SELECT word, count(DISTINCT label) AS k, count(DISTINCT usage_id) AS n, sum((x - c) * (x - c)) AS w,

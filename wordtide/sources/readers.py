@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wordtide.functions.periods import lenient_number
 from wordtide.operators.blocks import fits_broadcast
+from wordtide.operators.ranking import first_rows
 from wordtide.session import cut_lineage
 from wordtide.sources.writers import CLEAN_SCHEMA, CONTROL_COLUMNS, NULL_MARK, PAIR_COLUMNS
 
@@ -164,7 +165,7 @@ def articles(
         return df
     if not order:
         raise ValueError("A limit needs columns to order by, or its rows are not determined.")
-    return df.orderBy(*order).limit(limit)
+    return first_rows(df, limit, list(order))
 
 
 def jdbc_articles(spark: SparkSession, url: str, table_name: str, **options: str) -> DataFrame:
