@@ -180,14 +180,23 @@ def test_small_words_get_only_k_below_their_size(spark):
     assert {r["k"] for r in centroids.collect()} == {2}
 
 
-def plain_seeds(ids, x, places, start=0, seed=42):
-    taken = []
-    for place in range(places):
-        gaps = np.ones(len(x)) if not taken else np.min([((x - x[t]) ** 2).sum(1) for t in taken], axis=0)
-        u = [(int(hashlib.md5(f"{seed}-{start}-{place}-{i}".encode()).hexdigest()[:13], 16) + 1) / (16.0**13 + 1) for i in ids]
-        race = [(-math.log(a) / g if g > 0 else math.inf, i, row) for row, (a, g, i) in enumerate(zip(u, gaps, ids))]
-        taken.append(min(race)[2])
-    return x[taken]
+def plain_seeds(ids, x, k, most, start=0, seed=42):
+    """Candidates by oversampling, then k of them by weight, all in one place."""
+    race = lambda draw, i: -math.log((int(md5(f"{seed}-{start}-{draw}-{i}")[:13], 16) + 1) / (16.0**13 + 1))
+    gaps_to = lambda rows, taken: np.array([min(((x[r] - x[t]) ** 2).sum() for t in taken) for r in rows])
+    every = range(len(x))
+    taken = [min(every, key=lambda r: race(0, ids[r]))]
+    for turn in (1, 2):
+        gaps = gaps_to(every, taken)
+        open_ = sorted((race(turn, ids[r]) / gaps[r], ids[r], r) for r in every if gaps[r] > 0)
+        taken += [r for _, _, r in open_[: K.EXTRA * most]]
+    nearest = [min(range(len(taken)), key=lambda t: (((x[r] - x[taken[t]]) ** 2).sum(), t)) for r in every]
+    weights, picked = Counter(nearest), []
+    for place in range(k):
+        gaps = gaps_to(taken, [taken[p] for p in picked]) if picked else np.ones(len(taken))
+        scores = [race(f"seed{place}", ids[t]) / (weights[j] * gaps[j]) if weights[j] * gaps[j] > 0 else math.inf for j, t in enumerate(taken)]
+        picked.append(int(np.argmin(scores)))
+    return x[[taken[p] for p in picked]]
 
 
 @pytest.mark.parametrize("block_rows", [1000, 9])
@@ -201,10 +210,38 @@ def test_seeds_are_drawn_over_all_points(spark, block_rows):
     ids = [r["usage_id"] for r in df.orderBy("usage_id").collect()]
     rows = np.array([r["vector"] for r in df.orderBy("usage_id").collect()])
     for (start, k), centroids in got.items():
-        assert np.allclose(centroids, plain_seeds(ids, rows, k, start))
+        assert np.allclose(centroids, plain_seeds(ids, rows, k, 6, start))
     assert set(got) == {(s, k) for s in (0, 1) for k in (2, 6)}
 
 
+def test_seeds_of_equal_points_are_repeated(spark):
+    df = spark.createDataFrame([("w", i, [1.0, 2.0]) for i in range(6)], "word string, usage_id long, vector array<double>")
+    counts = cut_lineage(B.block_counts(df, ["word"]))
+    blocks = B.with_blocks(df, counts, ["word"], "usage_id")
+    got = {r["k"]: r["centroids"] for r in K.start_centroids(blocks, counts, ["word"], [2, 4, 9]).collect()}
+    blocks.unpersist()
+    assert got == {2: [1.0, 2.0] * 2, 4: [1.0, 2.0] * 4}
+
+
+def test_steps_inside_a_block_equal_steps_over_blocks(spark):
+    _, df = points(spark)
+    whole = {(r["word"], r["k"], r["usage_id"]): r["label"] for r in K.fit(df, ["word"], [2, 4])[1].collect()}
+    parts = {(r["word"], r["k"], r["usage_id"]): r["label"] for r in K.fit(df, ["word"], [2, 4], block_rows=7)[1].collect()}
+    assert whole == parts
+
+
+def test_seeding_takes_as_many_passes_for_any_k(spark, monkeypatch):
+    _, df = points(spark, words=1)
+    counts = cut_lineage(B.block_counts(df, ["word"]))
+    blocks = B.with_blocks(df, counts, ["word"], "usage_id")
+    passes, whole = [], B.per_block
+    monkeypatch.setattr(B, "per_block", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    for k in ([2], [2, 3, 4, 5, 6, 7, 8, 9, 10]):
+        K.start_centroids(blocks, counts, ["word"], k).collect()
+    blocks.unpersist()
+    assert len(passes) == 2 * (K.ROUNDS + 1)
+
+
 def test_more_seeds_than_five_hundred(spark):
     df = spark.createDataFrame(
         [("w", i, [float(i), float(i * i % 97)]) for i in range(640)], "word string, usage_id long, vector array<double>"

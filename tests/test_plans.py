@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordtide.plans import neighbours, usage_types
+from wordtide.plans import corpus, neighbours, usage_types
 from wordtide.plans.time_profile import attribute_profile, hits_over_time
 from wordtide.sources import models
 
@@ -43,6 +43,20 @@ def test_neighbour_bundle_has_every_layer_and_usage(spark, separated):
     assert len({(r["word"], r["cluster"], r["usage_id"] % 3) for r in shown}) == 6
 
 
+def test_bundle_keeps_usages_without_a_sentence(spark, separated):
+    layered = separated.withColumn("layer", F.lit(7))
+    sentences = spark.createDataFrame([("w0", 0, "one", "N"), ("w0", 0, "two", "X")], "word string, usage_id long, sentence string, pos string")
+    bundle = neighbours.neighbour_bundle(layered, sentences, k=3).collect()
+    assert len(bundle) == 91 and sorted(r["sentence"] for r in bundle if r["sentence"]) == ["one", "two"]
+
+
+def test_metadata_does_not_move_texts(spark):
+    documents = spark.createDataFrame([(1, "a"), (2, "b")], "textID long, doc_text string")
+    joined = corpus.attach_metadata(documents, spark.createDataFrame([(1, 1999)], "textID long, year long"))
+    assert sorted((r["textID"], r["year"]) for r in joined.collect()) == [(1, 1999), (2, None)]
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_time_profile(spark):
     papers = spark.createDataFrame(
         [(1, "A model. The model", 1955), (2, "No hit", 1955), (3, "model", 2021), (4, "model", None)],

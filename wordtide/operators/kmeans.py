@@ -1,7 +1,9 @@
 """k-means for every word and every k at once.
 
 The state is a table (word, start, k, cluster, centroid). A step sends it to the
-blocks of points, takes partial sums there, and adds them up by cluster.
+blocks of points, takes partial sums there, and adds them up by cluster. Models of a word
+whose points are a single block take all their steps there. Seeds come from a few passes
+over the points, however many are asked for.
 """
 
 from __future__ import annotations
@@ -12,16 +14,20 @@ import sys
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wordtide.operators import blocks as B
 from wordtide.operators.arrays import lists, matrix
+from wordtide.operators.ranking import top_per_group
 from wordtide.session import cut_lineage, read_steps, write_step
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE = ["start", "k", "cluster"]
+# Passes that draw candidates for seeds, and how many each draws as a multiple of the largest k.
+ROUNDS = 2
+EXTRA = 5
 
 
 def start_centroids(
@@ -33,33 +39,66 @@ def start_centroids(
     seed: int = 42,
     below: bool = True,
 ) -> DataFrame:
-    """Packed first centroids by k-means++ over all points: group, start, k, centroids.
-
-    Place after place, every word and start takes the point with the smallest -ln(u) / gap, gap being
-    the squared distance to the nearest point taken before (1 for the first place). That is a draw in
-    proportion to gap; u comes from the md5 of seed, start, place and id, so the draw does not
-    depend on how points are placed. Without a gap left, a twin of a taken point is taken. Seeds for
-    k are the first k of one sequence. A group gets the k below its size, or up to it if not `below`.
+    """Packed first centroids by oversampling (k-means||): group, start, k, centroids.
+
+    Every word and start takes the point with the smallest -ln(u). Each of ROUNDS passes adds the
+    EXTRA * k points, k being the largest asked for, with the smallest -ln(u) / gap, gap being the
+    squared distance to the nearest candidate so far: draws in proportion to gap. Candidates weigh as
+    many points as they are nearest to. Among them seeds are drawn one after the other, the next
+    being that with the smallest -ln(u) / (weight * gap); without a gap left the first is taken again.
+    u comes from the md5 of seed, start, the name of the draw and id, so it does not depend on how
+    points are placed. Seeds for k are the first k of one sequence. A group gets the k below its
+    size, or up to it if not `below`.
     """
     group, sizes = list(group), sorted({int(k) for k in k_range})
     kind = dict(blocks.dtypes)["usage_id"]
-    every = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")
-    none = F.array().cast("array<double>").alias("centroids")
-    taken = cut_lineage(counts.select(*group, "points", every, none), "seeds")
+    each, most = [*group, "start"], max(sizes)
+    start = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")
+    first = blocks.select(*group, "usage_id", "vector", start).groupBy(*each).agg(
+        F.min_by(F.struct("usage_id", "vector"), F.struct(_race(seed, F.col("start"), "0"), F.col("usage_id"))).alias("_p")
+    )
+    taken = cut_lineage(first.select(*each, F.array("_p.usage_id").alias("ids"), F.col("_p.vector").alias("centroids")), "seeds")
     schema = f"start int, score double, usage_id {kind}, vector array<double>"
-    most = min(max(sizes), taken.agg(F.max("points")).first()[0] or 0)
-    for place in range(most):
-        open_ = taken.where(F.col("points") > place).select(*group, "start", "centroids")
-        drawn = B.per_block(blocks, counts, open_, group, _draw(seed, place), schema, B.fits_broadcast(open_))
-        best = drawn.groupBy(*group, "start").agg(F.min_by("vector", F.struct("score", "usage_id")).alias("_new"))
-        grown = F.when(F.col("_new").isNull(), F.col("centroids")).otherwise(F.concat("centroids", "_new"))
-        joined = taken.join(best, [*group, "start"], "left")
-        taken = cut_lineage(joined.select(*group, "points", "start", grown.alias("centroids")), "seeds")
+    for turn in range(1, ROUNDS + 1):
+        races = blocks.withColumn("race", F.array(*[_race(seed, F.lit(i), str(turn)) for i in range(starts)]))
+        found = B.per_block(races, counts, taken, group, _draw(EXTRA * most), schema, B.fits_broadcast(taken))
+        best = top_per_group(found, each, [F.col("score"), F.col("usage_id")], EXTRA * most, ["usage_id"])
+        rows = F.array_sort(F.collect_list(F.struct("rank", "usage_id", "vector")))
+        more = best.groupBy(*each).agg(rows.alias("_more"))
+        taken = cut_lineage(
+            taken.join(more, each, "left").select(
+                *each,
+                F.concat("ids", F.coalesce(F.transform("_more", lambda r: r["usage_id"]), F.array().cast(f"array<{kind}>"))).alias("ids"),
+                F.concat(
+                    "centroids", F.coalesce(F.flatten(F.transform("_more", lambda r: r["vector"])), F.array().cast("array<double>"))
+                ).alias("centroids"),
+            ),
+            "seeds",
+        )
+    weighed = B.per_block(
+        blocks, counts, taken, group, _weights, "start int, n array<double>", B.fits_broadcast(taken)
+    ).groupBy(*each).agg(B.sum_arrays("n").alias("weights"))
+    draw = lambda place: lambda i: _race(seed, F.col("start"), f"seed{place}", i)
+    drawn = F.array(*[F.transform("ids", draw(place)) for place in range(most)])
+    ready = taken.join(weighed, each).join(counts.select(*group, "points"), group).withColumn("races", drawn)
+    types = dict(blocks.dtypes)
+    keyed = ", ".join(f"`{g}` {types[g]}" for g in group)
+    reduced = ready.select(*each, "points", "centroids", "weights", "races").mapInArrow(
+        _reduce(group, most), f"{keyed}, start int, points long, centroids array<double>, seeds int"
+    )
     wanted = F.explode(F.array(*map(F.lit, sizes))).alias("k")
     fits = F.col("k") < F.col("points") if below else F.col("k") <= F.col("points")
-    each = taken.select("*", wanted).where(fits)
-    size = (F.size("centroids") / F.least(F.lit(most), F.col("points"))).cast("int")
-    return each.select(*group, "start", "k", F.slice("centroids", F.lit(1), F.col("k") * size).alias("centroids"))
+    size = (F.size("centroids") / F.col("seeds")).cast("int")
+    return reduced.select("*", wanted).where(fits).select(
+        *group, "start", "k", F.slice("centroids", F.lit(1), F.col("k") * size).alias("centroids")
+    )
+
+
+def _race(seed: int, start: Column, draw: str, key: Column | str = "usage_id") -> Column:
+    """-ln(u) of a draw, u in (0, 1) from the first 13 hexadecimal digits of an md5."""
+    key = F.col(key) if isinstance(key, str) else key
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), start.cast("string"), F.lit(draw), key.cast("string")))
+    return -F.log((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / (16.0**13 + 1))
 
 
 def lloyd(
@@ -78,12 +117,18 @@ def lloyd(
     not merely reach max_iter.
     """
     group = list(group)
-    moving, paths = models, []
     scale = F.col("variance") if "variance" in counts.columns else F.lit(1.0)
-    of = counts.select(*group, F.when(scale > 0, scale).otherwise(1.0).alias("_scale"))
+    of = counts.select(*group, F.when(scale > 0, scale).otherwise(1.0).alias("_scale"), "blocks")
+    scaled = cut_lineage(models.select(*group, "start", "k", "centroids").join(of, group), "models")
+    alone = scaled.where("blocks = 1").drop("blocks")
+    schema = "start int, k int, centroids array<double>, n array<double>, cost double, converged boolean"
+    ended = cut_lineage(B.per_block(blocks, counts, alone, group, _settle(max_iter, tol), schema, broadcast), "ended")
+    moving, paths = scaled.where("blocks > 1").select(*group, "start", "k", "centroids"), []
+    if moving.isEmpty():
+        return ended
     for _ in range(max_iter):
         seen = Observation()
-        moved = step(blocks, counts, moving, group, broadcast).join(of, group)
+        moved = step(blocks, counts, moving, group, broadcast).join(of.drop("blocks"), group)
         moved = moved.withColumn("shift", F.col("shift") / F.col("_scale")).drop("_scale")
         moved = moved.observe(seen, F.count_if(F.col("shift") > tol).alias("moving"))
         paths.append(write_step(moved))
@@ -92,8 +137,8 @@ def lloyd(
             break
     # Every model rests in the table of its last step; those cut off still move.
     resting = read_steps(moved, paths).where(F.col("shift") <= tol)
-    ended = resting.withColumn("converged", F.lit(True)).unionByName(moving.withColumn("converged", F.lit(False)))
-    return cut_lineage(ended.drop("shift"))
+    rest = resting.withColumn("converged", F.lit(True)).unionByName(moving.withColumn("converged", F.lit(False)))
+    return cut_lineage(ended.unionByName(rest.drop("shift")))
 
 
 def mean_variance(points: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -251,34 +296,126 @@ def _labels(points, models):
     }
 
 
-def _draw(seed, place):
-    """The point of a block that each start would take next."""
+def _settle(max_iter, tol):
+    """All steps of the models of points that are a single block."""
 
     def run(points, models):
-        from hashlib import md5
+        import numpy as np
+        import pyarrow as pa
+
+        vectors, rows = matrix(points, "vector"), []
+        for (start, k, centroids), scale in zip(_models(models), models.column("_scale").to_pylist()):
+            converged = False
+            for _ in range(max_iter):
+                labels, gaps = _nearest(vectors, centroids)
+                n = np.bincount(labels, minlength=k).astype("float64")
+                total = np.zeros_like(centroids)
+                np.add.at(total, labels, vectors)
+                moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
+                shift, centroids = ((moved - centroids) ** 2).sum() / scale, moved
+                if shift <= tol:
+                    converged = True
+                    break
+            rows.append((start, k, centroids.ravel(), n, gaps.sum(), converged))
+        start, k, centroids, n, cost, converged = zip(*rows)
+        many = pa.list_(pa.float64())
+        return {
+            "start": pa.array(start, "int32"),
+            "k": pa.array(k, "int32"),
+            "centroids": pa.array(centroids, many),
+            "n": pa.array(n, many),
+            "cost": pa.array(cost, "float64"),
+            "converged": pa.array(converged),
+        }
+
+    return run
+
+
+def _candidates(models, dims):
+    """start and the matrix of candidates of each row."""
+    import numpy as np
+
+    for start, centroids in zip(models.column("start").to_pylist(), models.column("centroids")):
+        yield start, np.asarray(centroids.values, dtype="float64").reshape(-1, dims)
+
 
+def _gaps(vectors, candidates):
+    """Squared distance to the nearest candidate, exact, and its place."""
+    import numpy as np
+
+    best, place = np.full(len(vectors), np.inf), np.zeros(len(vectors), dtype="int64")
+    for i, candidate in enumerate(candidates):
+        gap = ((vectors - candidate) ** 2).sum(axis=1)
+        nearer = gap < best
+        best[nearer], place[nearer] = gap[nearer], i
+    return best, place
+
+
+def _draw(most):
+    """The points of a block that each start would take next, at most so many."""
+
+    def run(points, models):
         import numpy as np
         import pyarrow as pa
 
-        vectors, ids = matrix(points, "vector"), points.column("usage_id")
-        names = [str(i) for i in ids.to_pylist()]
-        starts, scores, picked = models.column("start").to_pylist(), [], []
-        for start, taken in zip(starts, models.column("centroids")):
-            told = np.asarray(taken.values, dtype="float64").reshape(-1, vectors.shape[1])
-            gaps = np.ones(len(vectors))
-            if len(told):
-                gaps = np.min([((vectors - seed_) ** 2).sum(axis=1) for seed_ in told], axis=0)
-            drawn = [int(md5(f"{seed}-{start}-{place}-{n}".encode()).hexdigest()[:13], 16) for n in names]
-            race = -np.log((np.array(drawn, dtype="float64") + 1) / (16.0**13 + 1))
-            score = np.divide(race, gaps, out=np.full(len(gaps), np.inf), where=gaps > 0)
-            best = min(np.flatnonzero(score == score.min()).tolist(), key=lambda i: ids[i].as_py())
-            scores.append(score[best])
-            picked.append(best)
+        vectors, races = matrix(points, "vector"), matrix(points, "race")
+        starts, scores, picked = [], [], []
+        for start, candidates in _candidates(models, vectors.shape[1]):
+            gaps, _ = _gaps(vectors, candidates)
+            score = np.divide(races[:, start], gaps, out=np.full(len(gaps), np.inf), where=gaps > 0)
+            # All that equal the last one go on: ids decide between them.
+            bound = np.partition(score, most - 1)[most - 1] if len(score) > most else np.inf
+            rows = np.flatnonzero((score <= bound) & (score < np.inf))
+            starts += [start] * len(rows)
+            scores.append(score[rows])
+            picked.append(rows)
+        rows = np.concatenate(picked)
         return {
             "start": pa.array(starts, "int32"),
-            "score": pa.array(scores, "float64"),
-            "usage_id": ids.combine_chunks().take(pa.array(picked)),
-            "vector": lists(vectors[picked]),
+            "score": pa.array(np.concatenate(scores)),
+            "usage_id": points.column("usage_id").combine_chunks().take(pa.array(rows)),
+            "vector": lists(vectors[rows]),
         }
 
     return run
+
+
+def _weights(points, models):
+    """How many points of a block each candidate is nearest to."""
+    import numpy as np
+    import pyarrow as pa
+
+    vectors, starts, counts = matrix(points, "vector"), [], []
+    for start, candidates in _candidates(models, vectors.shape[1]):
+        starts.append(start)
+        counts.append(np.bincount(_gaps(vectors, candidates)[1], minlength=len(candidates)).astype("float64"))
+    return {"start": pa.array(starts, "int32"), "n": pa.array(counts, pa.list_(pa.float64()))}
+
+
+def _reduce(group, most):
+    """Seeds among the candidates of each row, drawn one after the other."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            found, numbers = [], []
+            for i, size in enumerate(column["points"].to_pylist()):
+                weights = np.asarray(column["weights"][i].values)
+                candidates = np.asarray(column["centroids"][i].values).reshape(len(weights), -1)
+                races = [np.asarray(r.values) for r in column["races"][i]]
+                picked = []
+                for place in range(min(most, size)):
+                    gaps = _gaps(candidates, candidates[picked])[0] if picked else np.ones(len(weights))
+                    pull = weights * gaps
+                    score = np.divide(races[place], pull, out=np.full(len(pull), np.inf), where=pull > 0)
+                    picked.append(int(score.argmin()) if score.min() < np.inf else picked[0] if picked else 0)
+                found.append(candidates[picked].ravel())
+                numbers.append(len(picked))
+            names = [*group, "start", "points", "centroids", "seeds"]
+            columns = [*(column[c] for c in [*group, "start", "points"]), pa.array(found, pa.list_(pa.float64())), pa.array(numbers, "int32")]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
+from wordtide.operators.blocks import fits_broadcast
+from wordtide.session import cut_lineage
 from wordtide.sources import readers, writers
 
 
@@ -28,8 +30,13 @@ def _cleaned(parts: DataFrame) -> DataFrame:
 
 
 def attach_metadata(documents: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left join on textID; documents without metadata keep nulls."""
-    return documents.join(metadata, "textID", "left")
+    """Left join on textID; documents without metadata keep nulls.
+
+    Metadata is written and measured first: sent to the documents if it is small, so that no text
+    is moved, and joined by id otherwise.
+    """
+    metadata = cut_lineage(metadata, "metadata")
+    return documents.join(F.broadcast(metadata) if fits_broadcast(metadata) else metadata, "textID", "left")
 
 
 def clean_corpus(files: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -25,13 +25,14 @@ def cluster_layers(points: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 def neighbour_bundle(points: DataFrame, sentences: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """word, layer, usage_id, sentence, pos, x, y, cluster.
 
-    Points: word, layer, usage_id, vector. Sentences: word, usage_id, sentence, pos.
+    Points: word, layer, usage_id, vector. Sentences: word, usage_id, sentence, pos; a usage with
+    several has a row for each, one without keeps its row with nulls.
     """
     points = cut_lineage(points)
     layout = vectors.project_2d(points, ["word", "layer"])
     clusters = cluster_layers(points, k, seed)
     keys = ["word", "layer", "usage_id"]
-    return layout.join(clusters, keys).join(sentences, ["word", "usage_id"]).select(
+    return layout.join(clusters, keys).join(sentences, ["word", "usage_id"], "left").select(
         *keys, "sentence", "pos", "x", "y", "cluster"
     )
 

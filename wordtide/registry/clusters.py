@@ -10,7 +10,7 @@ from wordtide.functions.vectors import norm
 from wordtide.operators import blocks as B, hits as H, kmeans as K, mixture as M, scores as S, usage as U, vectors as V
 from wordtide.plans import neighbours, usage_types
 from wordtide.registry.common import (
-    BINS, DIMENSIONS, TOKENS_OF, USAGES, documents, exploded, rounded, table, usages, with_parts,
+    BINS, DIMENSIONS, TOKENS_OF, USAGES, WORDS, documents, exploded, rounded, table, usages, with_parts,
 )
 from wordtide.session import cut_lineage, new_path
 from wordtide.sources import models, readers, writers
@@ -178,14 +178,14 @@ def kmeans_layers(spark, sf):
 def neighbour_bundle(spark, sf):
     """Layer 7 of the bundle, written as one JSON folder per word and read back."""
     words = F.concat(F.lit("w"), F.col("corpus_id") % 5)
-    first = H.sentence_table(documents(spark, sf)).where("sent_idx = 0").select(
-        words.alias("word"),
-        F.col("corpus_id").alias("usage_id"),
-        "sentence",
-        T.tag_of_first(T.tokens(F.col("sentence")), T.tokens(F.col("sentence")), "the").alias("pos"),
+    # All sentences with a target word; usages of documents without one stay without a sentence.
+    hits = H.collect_hits(documents(spark, sf), WORDS).select("corpus_id", "sentence").distinct()
+    tokens = T.tokens(F.col("sentence"))
+    shown = hits.select(
+        words.alias("word"), F.col("corpus_id").alias("usage_id"), "sentence", T.tag_of_first(tokens, tokens, "the").alias("pos")
     )
     path = new_path(spark, "bundle")
-    writers.json_by_word(neighbours.neighbour_bundle(_layers(spark, sf), first), path)
+    writers.json_by_word(neighbours.neighbour_bundle(_layers(spark, sf), shown), path)
     schema = "layer int, usage_id long, sentence string, pos string, x double, y double, cluster int, word string"
     return neighbours.layer_view(spark.read.schema(schema).json(path))
 
