@@ -25,7 +25,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 
 # How much a word within a name says that its value is secret.
 NAME_WEIGHTS = {
-    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "secrets": 0.9,
+    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "pass": 0.9, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "secrets": 0.9,
     "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "cred": 0.8, "creds": 0.8, "bearer": 0.9,
     "authorization": 0.8, "auth": 0.5, "private": 0.5, "signing": 0.5, "encryption": 0.5, "access": 0.4, "api": 0.4,
     "client": 0.2, "session": 0.3, "key": 0.4, "salt": 0.5, "pin": 0.4, "jwt": 0.8, "oauth": 0.6, "webhook": 0.4,
@@ -97,39 +97,45 @@ def base_spans(text: str) -> list:
 def pairs(text: str) -> list:
     """The lexer: (name, parts) of every assignment, parts being (start, end, literal?) of the right side.
 
-    Reads `name = "x"`, `name: x`, `"name": "x"`, `name := x`, `name => x`, `name(...)`-free chains
-    joined by + or blanks between strings, `<name>x</name>`, and ${name}, $name or bare references.
+    Reads `name = "x"`, `name: x`, `"name": "x"`, `map["name"] = x`, `name := x`, `name => x`,
+    `export name=x`, strings of one or three quotes, chains joined by + or blanks between
+    strings, `<name>x</name>`, and ${name}, $name or bare references. A bare value reaches to the
+    next blank, quote, bracket, comma or semicolon, without . ! ? : at its end.
     """
     import re
 
     if not any(c in text for c in "=:>"):
         return []
     target = re.compile(
-        r"""(?:(?<![\w.-])(?P<q>["']?)(?P<name>[A-Za-z_][\w-]*(?:\.[\w-]+)*+)(?P=q)(?:\s?:\s?[A-Z]\w*)?"""
+        r"""(?:(?<![\w.-])(?P<q>["']?)(?P<name>[A-Za-z_][\w-]*(?:\.[\w-]+)*+)(?P=q)(?:[ \t]*\])?(?:\s?:\s?[A-Z]\w*)?"""
         r"""[ \t]*(?::=|=>|==?|:)[ \t]*|<(?P<tag>[A-Za-z_][\w.-]*)>)"""
     )
     part = re.compile(
-        r"""(?:(?:Bearer|Basic)[ \t]+)?(?:(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
-        r"""|\$\{(?P<braced>\w+)\}|\$(?P<dollar>[A-Za-z_]\w*)|(?P<bare>[A-Za-z0-9+/_.=~-]+))"""
+        r"""(?:(?:Bearer|Basic)[ \t]+)?(?:(?P<triple>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')"""
+        r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+        r"""|\$\{(?P<braced>\w+)\}|\$(?P<dollar>[A-Za-z_]\w*)|(?P<bare>[^\s"'`,;<>()\[\]{}]*[^\s"'`,;<>()\[\]{}.!?:]))""",
+        re.S,
     )
     joint = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*|[ \t]+(?=[\"'])")
-    # Names are sought shortly before an operator only; prose between operators is not lexed.
+    operator = re.compile(r"[=:>]{1,2}(?:\s?[A-Z]\w*[ \t]*=)?[ \t]*")
+    # Names are sought between an operator and what was read before it; no stretch is read twice.
     found, at = [], 0
     for op in re.finditer("[=:>]", text):
         op = op.start()
         if op < at:
             continue
-        low = max(at, op - 256)
-        line = max(text.rfind("\n", low, op) + 1, low)
-        best = next((m for m in target.finditer(text, line, op + 32) if m.end() > op), None)
+        line = max(text.rfind("\n", at, op) + 1, at)
+        best = next((m for m in target.finditer(text, line, operator.match(text, op).end()) if m.end() > op), None)
         if best is None:
+            at = op
             continue
         end, parts = best.end(), []
         while (p := part.match(text, end)) is not None:
             group = p.lastgroup
             start, stop = p.span(group)
-            if group == "string":
-                parts.append((start + 1, stop - 1, True))
+            quotes = {"string": 1, "triple": 3}.get(group, 0)
+            if quotes:
+                parts.append((start + quotes, stop - quotes, True))
             else:
                 parts.append((start, stop, group == "bare" and not text[start:stop].isidentifier()))
             end = p.end()
@@ -168,27 +174,13 @@ def literals(text: str) -> list:
     lexed = pairs(text)
     if not lexed:
         return []
-    parts_of = {name: parts for name, parts in lexed}  # the last assignment counts
-
-    def resolve(parts, seen):
-        out = []
-        for start, end, literal in parts:
-            if literal:
-                out.append((start, end))
-                continue
-            other = text[start:end]
-            if other in parts_of and other not in seen and len(seen) < 8:
-                out += resolve(parts_of[other], seen | {other})
-            elif start == parts[0][0] and len(parts) == 1:
-                out.append((start, end))  # a bare word that names nothing is a value of its own
-        return out
-
+    spans_of = _resolver(text, lexed)
     found = {}
-    for name, parts in lexed:
+    for at, (name, _) in enumerate(lexed):
         weight = sensitivity(name)
         if weight <= 0:
             continue
-        spans = resolve(parts, frozenset([name]))
+        spans = spans_of(at)
         score = 0.5 * weight + 0.5 * strength("".join(text[a:b] for a, b in spans))
         if weight * strength("".join(text[a:b] for a, b in spans)) > 0 and score >= THRESHOLD:
             for a, b in spans:
@@ -197,6 +189,56 @@ def literals(text: str) -> list:
     return [(a, b, name, score) for (a, b), (name, score) in sorted(found.items())]
 
 
+def _resolver(text, lexed):
+    """Function from an assignment to the literals that it ends up with, in order, each once.
+
+    A reference stands for the nearest assignment of its name before it, or for the first one
+    behind it if there is none; references are followed to their end, circles are left.
+    """
+    from bisect import bisect_right
+
+    places = {}
+    for at, (name, parts) in enumerate(lexed):
+        places.setdefault(name, ([], []))
+        places[name][0].append(parts[-1][1])
+        places[name][1].append(at)
+    known = {}
+
+    def named(start, end, now):
+        ends, numbers = places.get(text[start:end], ((), ()))
+        before = bisect_right(ends, start)
+        if before:
+            return numbers[before - 1]
+        return next((n for n in numbers[:2] if n != now), now if numbers else None)
+
+    def spans_of(at):
+        stack, entered = [at], set()
+        while stack:
+            now = stack[-1]
+            if now in known:
+                stack.pop()
+                continue
+            parts = lexed[now][1]
+            needs = {} if now in entered else {n: None for s, e, literal in parts if not literal and (n := named(s, e, now)) is not None}
+            entered.add(now)
+            waiting = [n for n in needs if n not in known and n not in entered]
+            if waiting:
+                stack += waiting
+                continue
+            out = {}
+            for start, end, literal in parts:
+                other = None if literal else named(start, end, now)
+                if other is not None and other != now:
+                    out.update(dict.fromkeys(known.get(other, ())))
+                elif literal or (other is None and len(parts) == 1):
+                    out[start, end] = None  # a bare word that names nothing is a value of its own
+            known[now] = tuple(out)
+            stack.pop()
+        return known[at]
+
+    return spans_of
+
+
 def all_spans(text: str) -> tuple:
     """(base spans, all spans with name and score), sorted by start, then kind, then end."""
     base = base_spans(text)
