@@ -4,10 +4,11 @@ Pivots divide the space into cells. Queries and data are grouped by the cell of
 nearest pivot; a summary of each cell (radius, the members nearest to its pivot) gives
 bounds on the scores between a group of queries and a cell. A query is sent only to cells
 whose upper bound reaches the k-th best score that the summaries promise. Cells are cut
-into blocks and queries into slices of bounded size; each pair of them is solved in its
-own task, so neither a hot cell nor many queries meet in one.
+into blocks, and the queries that a cell needs into slices of bounded size; each pair of them is
+solved in its own task, so neither a hot cell nor many queries meet in one. A block is sent as
+often as the queries that reach its cell fill slices, a query to the blocks of these cells.
 
-As queries are the smaller side, they are what is replicated. Bounds come from the
+Bounds come from the
 triangle inequality: q.x lies within |q| |x - p| of q.p for pivot p.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,7 +28,10 @@ from wordtide.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Cells follow the table within these bounds.
 CELLS = 64
+MOST_CELLS = 1024
+CELL_ROWS = 65_536
 PIVOT_SAMPLE = 4096
 BLOCK_ROWS = 4096
 SLICE_ROWS = 8192
@@ -44,7 +48,7 @@ def top_k(
     data: DataFrame,
     queries: DataFrame,
     k: int,
-    cells: int = CELLS,
+    cells: int | None = None,
     sample: int = PIVOT_SAMPLE,
     block_rows: int = BLOCK_ROWS,
     slice_rows: int = SLICE_ROWS,
@@ -53,7 +57,7 @@ def top_k(
 
     Ties go to the smaller id; rows with the query's id are left out. A repeated id counts once,
     by its best score. Fewer than k candidates are all returned; a query without candidates
-    has no rows; empty inputs give no rows. Vectors shorter than the longest count as followed
+    has no rows; `cells` follows the number of rows if not given; empty inputs give no rows. Vectors shorter than the longest count as followed
     by zeros. Scores are exact while they are integers below 2^53. The pivots come from the
     `sample` rows that are first by a hash of id; every other figure covers all rows.
     """
@@ -61,6 +65,7 @@ def top_k(
     drawn = data.orderBy(F.xxhash64("id"), "id", "vector").limit(sample).select("vector").toArrow()
     if not drawn.num_rows:
         return _ranked(data.selectExpr("id as query_id", "id", "0D as score").limit(0), k)
+    cells = cells or max(CELLS, min(MOST_CELLS, -(-data.count() // CELL_ROWS)))
     pivots = V.centres(padded(drawn.column("vector"), size), cells)
     placed = cut_lineage(data.mapInArrow(_place(pivots, size), "id long, vector array<double>, cell int, gap double"))
     asked = cut_lineage(queries.mapInArrow(_place(pivots, size), "id long, vector array<double>, cell int, gap double"))
@@ -72,18 +77,15 @@ def top_k(
                for r in rows}
     wanted = _group_bounds(pivots, summary, {g["cell"]: g["radius"] for g in groups}, k)
     blocks = {cell: -(-n // block_rows) for cell, (n, _, _) in summary.items()}
-    slices = max(1, -(-sum(g["n"] for g in groups) // slice_rows))
-
-    sent = asked.mapInArrow(
-        _targets(pivots, size, summary, wanted, blocks, k),
-        "query_id long, query array<double>, to_cell int, to_block int",
-    ).withColumn("to_slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
-    parts = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    cut = (
-        placed.drop("gap")
-        .withColumn("block", F.pmod(F.xxhash64("id"), parts[F.col("cell")]).cast("int"))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    )
+    reached = asked.mapInArrow(_targets(pivots, size, summary, wanted, k), "query_id long, query array<double>, to_cell int")
+    met = {r["to_cell"]: r["n"] for r in reached.groupBy("to_cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    slices = {cell: -(-met.get(cell, 0) // slice_rows) for cell in blocks}
+    sent = reached.select(
+        "query_id", "query", "to_cell",
+        F.pmod(F.xxhash64("query_id"), _by_cell(slices, "to_cell")).cast("int").alias("to_slice"),
+        F.explode(F.sequence(F.lit(0), _by_cell(blocks, "to_cell") - 1)).alias("to_block"),
+    )
+    cut = _cut(placed, blocks, slices)
     solved = (
         cut.groupBy("cell", "block", "slice")
         .cogroup(sent.groupBy("to_cell", "to_block", "to_slice"))
@@ -92,6 +94,19 @@ def top_k(
     return _ranked(solved, k)
 
 
+def _by_cell(numbers: dict, cell: str) -> Column:
+    return F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col(cell)]
+
+
+def _cut(placed: DataFrame, blocks: dict, slices: dict) -> DataFrame:
+    """Rows with their block, once for every slice of queries that their cell meets; none for cells without queries."""
+    return placed.drop("gap").where(_by_cell(slices, "cell") > 0).select(
+        "id", "vector", "cell",
+        F.pmod(F.xxhash64("id"), _by_cell(blocks, "cell")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), _by_cell(slices, "cell") - 1)).alias("slice"),
+    )
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """A query has at most k rows from each block here."""
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
@@ -168,8 +183,8 @@ def _nearest_of_task(n):
     return run
 
 
-def _targets(pivots, size, summary, wanted, blocks, k):
-    """Rows of queries for every block of the cells that each needs."""
+def _targets(pivots, size, summary, wanted, k):
+    """Rows of queries for the cells that each needs."""
 
     def run(batches):
         import numpy as np
@@ -178,7 +193,7 @@ def _targets(pivots, size, summary, wanted, blocks, k):
         for batch in batches:
             ids, asked = batch.column("id").to_pylist(), padded(batch.column("vector"), size)
             norms, scores = np.linalg.norm(asked, axis=1), asked @ pivots.T
-            row, cell, block = [], [], []
+            row, cell = [], []
             for at, (i, group) in enumerate(zip(ids, batch.column("cell").to_pylist())):
                 sure = [
                     (scores[at, c] - norms[at] * gap, other)
@@ -189,9 +204,8 @@ def _targets(pivots, size, summary, wanted, blocks, k):
                 least = _kth(sure, k)
                 for c in wanted[group]:
                     if scores[at, c] + norms[at] * summary[c][1] >= least - _slack(least):
-                        row += [at] * blocks[c]
-                        cell += [c] * blocks[c]
-                        block += range(blocks[c])
+                        row.append(at)
+                        cell.append(c)
             for a in range(0, len(row), 8192):
                 part = slice(a, a + 8192)
                 yield pa.RecordBatch.from_arrays(
@@ -199,9 +213,8 @@ def _targets(pivots, size, summary, wanted, blocks, k):
                         batch.column("id").take(pa.array(row[part])),
                         batch.column("vector").take(pa.array(row[part])),
                         pa.array(cell[part], "int32"),
-                        pa.array(block[part], "int32"),
                     ],
-                    ["query_id", "query", "to_cell", "to_block"],
+                    ["query_id", "query", "to_cell"],
                 )
 
     return run
