@@ -272,10 +272,15 @@ def test_the_whole_pool_is_scored_by_the_original_vectors(spark):
     assert [r["id"] for r in got] == (1 + np.argsort(-(vectors[1:] @ vectors[0]))[:5]).tolist()
 
 
-def test_lists_that_have_not_settled_are_an_error(spark):
-    _, data = unit_vectors(spark, 3000, 48)
-    with pytest.raises(RuntimeError, match="did not settle"):
-        nndescent.search(data, data.where("id = 0"), 10, list_size=8, reverse=8, rounds=1)
+def test_lists_that_have_not_settled_still_give_the_asked_recall(spark):
+    vectors, data = unit_vectors(spark, 3000, 48)
+    found = nndescent.search(data, data.where("id % 300 = 0"), 10, list_size=8, reverse=8, rounds=1).collect()
+    hits = 0
+    for q in range(0, 3000, 300):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:10].tolist()) & {r["id"] for r in found if r["query_id"] == q})
+    assert hits >= 0.9 * 100
 
 
 # 1: near duplicates
