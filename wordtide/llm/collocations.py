@@ -38,8 +38,8 @@ DEVIATIONS = 3.0
 # The bitmap of proposed phrases has 32 bits a phrase within these bounds (a power of two; 16 MB at most).
 LEAST_BITS, MOST_BITS = 18, 27
 # What a task holds at once: bytes of text that are split together, hashes not yet handed on.
-SLICE_BYTES = 1 << 20
-HELD_HASHES = 1 << 21
+SLICE_BYTES = 1 << 19
+HELD_HASHES = 1 << 19
 TAGS = 1 << 16
 UNKNOWN = "und"  # fixed value: the language of rows without one
 LEVELS = 8  # phrase hashes carry the number of words in their lowest three bits
