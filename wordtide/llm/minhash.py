@@ -32,9 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PLACES = 64
 MISS = 1e-6
 BLOCK_ROWS = 512
-# Sets of a block: so many, or so many shingles in all, whichever is reached first.
 SET_BLOCK = 128
-SET_SHINGLES = 1 << 20
 SLOTS = 64  # a power of two, no less than the places of a signature
 
 
@@ -118,7 +116,7 @@ def _components_of(rows, reps, words, percent, places, miss):
     )
     near = cut_lineage(_near_pairs(first, signed, percent, errors), "near")
     family = components(near).withColumnRenamed("label", "family")
-    links = cut_lineage(_confirmed(near, family, signed, sets, percent), "links")
+    links = cut_lineage(_confirmed(near, family, sets, percent), "links")
 
     # Pairs that links have not yet joined: within a family of near pairs, and then across families.
     inner = _within_families(family, components(links), signed, sets, percent, errors)
@@ -133,7 +131,7 @@ def _components_of(rows, reps, words, percent, places, miss):
     mixed = cut_lineage(counted.where("_l <> _m").select("key", "size"), "mixed")
     left = named.join(mixed, "key").join(signed, "rep").withColumnRenamed("family", "label")
     rest = cut_lineage(_pairs_in_buckets(left, edges, percent, errors), "rest")
-    more = _confirmed(rest, components(rest).withColumnRenamed("label", "family"), signed, sets, percent)
+    more = _confirmed(rest, components(rest).withColumnRenamed("label", "family"), sets, percent)
     return components(links.unionByName(inner).unionByName(cut_lineage(more, "more")))
 
 
@@ -156,19 +154,18 @@ def _sets_of(rows, wanted, words):
     return cut_lineage(texts.mapInArrow(_sets(words), "rep long, items binary"), "items").dropDuplicates(["rep"])
 
 
-def _confirmed(pairs, family, signed, sets, percent):
+def _confirmed(pairs, family, sets, percent):
     """The pairs whose full sets are similar enough.
 
     Texts are dealt to blocks, those of a component of candidates to as few as hold them; a task
     gets the sets of two blocks and the pairs between them, so a set is moved once for each
     block that it meets, not for each pair.
     """
-    weighed = cut_lineage(family.join(signed.select("rep", "n"), "rep"), "weighed")
-    sized = weighed.groupBy("family").agg(_blocks_of("_blocks"))
-    bins = weighed.agg(_blocks_of("bins")).first()["bins"] or 1
+    sized = family.groupBy("family").agg(_blocks_of("_blocks"))
+    bins = max(1, -(-family.count() // SET_BLOCK))
     place = F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
     # A large family is one key: its rows meet its single row of `sized` by size, not by key.
-    met = attach_small(weighed, sized, ["family"], ["rep"])
+    met = attach_small(family, sized, ["family"], ["rep"])
     dealt = cut_lineage(met.select("rep", F.pmod(place, F.lit(bins)).alias("block")), "dealt")
     of = lambda side: dealt.select(F.col("rep").alias(side), F.col("block").alias(f"_{side}"))
     placed = cut_lineage(
@@ -188,8 +185,7 @@ def _confirmed(pairs, family, signed, sets, percent):
 
 def _blocks_of(name):
     """How many blocks a group of sets fills."""
-    size = F.greatest(F.count("*") / SET_BLOCK, F.sum("n") / SET_SHINGLES)
-    return F.greatest(F.lit(1), F.ceil(size)).cast("int").alias(name)
+    return F.ceil(F.count("*") / SET_BLOCK).cast("int").alias(name)
 
 
 def _within_families(family, labels, signed, sets, percent, errors):
@@ -205,12 +201,12 @@ def _within_families(family, labels, signed, sets, percent, errors):
     sizes = named.groupBy("family", "label").agg(F.count("*").alias("_c"))
     large = F.col("_c") >= SET_BLOCK
     met = attach_small(attach_small(named, mixed, ["family"], ["rep"]), sizes, ["family", "label"], ["rep"])
-    named = met.join(signed.select("rep", "n"), "rep").select(
-        "rep", "n", "family", "label", large.alias("large"), F.when(large, F.col("label")).otherwise(F.col("family")).alias("own"), "_f"
+    named = met.select(
+        "rep", "family", "label", large.alias("large"), F.when(large, F.col("label")).otherwise(F.col("family")).alias("own"), "_f"
     )
     named = cut_lineage(named, "open")
     parts = named.groupBy("family", "large", "own").agg(_blocks_of("_p"))
-    bins = named.where(F.col("_f") <= SET_BLOCK).agg(_blocks_of("bins")).first()["bins"] or 1
+    bins = max(1, -(-named.where(F.col("_f") <= SET_BLOCK).count() // SET_BLOCK))
     place = F.xxhash64("family", "large", "own", F.pmod(F.xxhash64("rep"), F.col("_p")))
     block = F.when(F.col("_f") <= SET_BLOCK, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(place)
     met = attach_small(named, parts, ["family", "large", "own"], ["rep"])
