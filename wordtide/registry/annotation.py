@@ -52,14 +52,14 @@ _SAMPLE = """x AS (
   SELECT word, CAST(corpus_id % 7 AS INTEGER) AS cluster, period, text,
          corpus_id || '-' || sent_idx || '-' || start_idx AS sid
   FROM sn LEFT JOIN bins ON 1950 + corpus_id % 73 > lo AND 1950 + corpus_id % 73 <= hi),
-own AS (SELECT word, cluster, period, text, min(md5('42-' || sid) || sid) AS k FROM x GROUP BY ALL),
-ce AS (
+own AS MATERIALIZED (SELECT word, cluster, period, text, min(md5('42-' || sid) || sid) AS k FROM x GROUP BY ALL),
+ce AS MATERIALIZED (
   SELECT cl.word, cl.cluster, b.period, row_number() OVER (PARTITION BY cl.word ORDER BY
            (SELECT count(*) FROM own o WHERE o.word = cl.word AND o.cluster = cl.cluster AND o.period = b.period),
            md5('42-' || cl.word || '-' || cl.cluster || '-' || b.period), cl.cluster, b.period) AS turn
   FROM (SELECT DISTINCT word, cluster FROM x) cl CROSS JOIN bins b),
-mo AS (SELECT word, count(*) AS most FROM ce GROUP BY word),
-cand AS (
+mo AS MATERIALIZED (SELECT word, count(*) AS most FROM ce GROUP BY word),
+cand AS MATERIALIZED (
   SELECT ce.word, turn AS step, turn, text, k FROM ce JOIN own USING (word, cluster, period)
   UNION ALL
   SELECT ce.word, most + turn, turn, text, k FROM ce JOIN mo USING (word)
