@@ -151,6 +151,62 @@ def test_layouts_become_the_same_turns(spark):
     assert set(out) == {1, 2, 3, 4, 8} and out[1]["loss_chars"] == 2
 
 
+LAYOUT_CASES = [
+    ('{"messages": [{"role": "user", "content": "hi", "name": "z"}, {"role": "assistant", "content": "yo"}], "id": 7}', "messages"),
+    ('{"source": "w", "prompt": "hi", "completion": "yo", "score": [1, 2], "meta": {"a": {"b": null}}}', "prompt"),
+    (
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "h"}, {"type": "image"}, "i"]},'
+        ' {"role": "assistant", "content": ["yo"]}]}',
+        "messages_of_parts",
+    ),
+    ('{"messages": [{"role": "user", "content": ["hi"]}, {"role": "assistant", "content": "yo"}], "prompt": "x"}', "messages"),
+    (
+        '{"prompt": [{"role": "user", "content": "hi"}], "completion": [{"role": "assistant", "content": "yo"}]}',
+        "prompt_messages",
+    ),
+    ('{"messages": [], "id": 1}', chat.NO_TURNS),
+    ('{"prompt": null, "completion": null}', chat.NO_TURNS),
+    ('{"prompt": ["a", "b"], "completion": "yo"}', chat.NO_LAYOUT),
+    ('{"messages": ["a"], "message.content": "b", "message": 1}', chat.NO_LAYOUT),
+    ('{"messages": {}}', chat.NO_LAYOUT),
+    ("{}", chat.NO_LAYOUT),
+    ("[1]", chat.NO_LAYOUT),
+    ("", chat.NO_JSON),
+    (None, chat.NO_JSON),
+]
+
+
+def test_further_fields_do_not_hide_a_layout(spark):
+    rows = [(i, r) for i, (r, _) in enumerate(LAYOUT_CASES)]
+    df = spark.createDataFrame(rows, "conv_id long, record string").withColumn("layout", F.lit("clash"))
+    got = collections.defaultdict(list)
+    for r in chat.canonical_turns(df).orderBy("conv_id", "position").collect():
+        got[r["conv_id"]].append((r["role"], r["text"], r["layout"], r["unmatched"]))
+    for i, (_, expected) in enumerate(LAYOUT_CASES):
+        if expected in (chat.NO_JSON, chat.NO_LAYOUT, chat.NO_TURNS):
+            assert [x[:2] + x[3:] for x in got[i]] == [(None, None, expected)]
+        else:
+            assert got[i] == [("user", "hi", expected, None), ("assistant", "yo", expected, None)]
+    lost = {r["conv_id"]: r["unmatched"] for r in chat.unmatched(df).collect()}
+    formatted = {r["conv_id"] for r in chat.format_chats(df).collect()}
+    assert set(lost) | formatted == set(range(len(LAYOUT_CASES))) and not set(lost) & formatted
+    assert chat.canonical_turns(df.limit(0)).count() == 0
+
+
+def test_an_item_that_is_no_object_is_a_turn_without_role(spark):
+    record = '{"messages": ["hi", {"role": "gpt", "content": {"a": 1}}, {"role": null, "content": null}, null]}'
+    df = spark.createDataFrame([(1, record)], "conv_id long, record string")
+    turns = [(r["role"], r["text"]) for r in chat.canonical_turns(df).orderBy("position").collect()]
+    assert turns == [("", "hi"), ("assistant", '{"a":1}'), ("", ""), ("", "")]
+
+
+def test_paths_tell_names_from_nesting(spark):
+    record = '{"a": 1, "b.c": 1, "d": {"e": [1], "f": {}}, "g": [{"h": 1}, 2], "i": [], "j[]": null}'
+    df = spark.createDataFrame([(record,)], "record string")
+    paths = df.select(chat.paths_of(F.try_parse_json("record"))).first()[0]
+    assert paths == ["a", "b\\.c", "d.e[]", "d.f", "g[]", "g[].h", "i[0]", "j\\[]"]
+
+
 def test_escapes_are_reversible(spark):
     hard = ["", "\\", "### ### x", "</turn>", "<\\/turn>", "\\### Assistant: </turn> ok", "#\\## ", "a\nb\\\n", "é🙂" * 3000]
     rows = [(i // 3 if i else None, i, "assistant" if i % 2 else "us:er:\n\\", t) for i, t in enumerate(hard)]

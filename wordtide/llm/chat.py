@@ -7,7 +7,6 @@ end up as rows (conversation, position, role, text), which a template turns into
 
 from __future__ import annotations
 
-from collections.abc import Callable
 import sys
 from dataclasses import dataclass
 
@@ -30,10 +29,11 @@ ASSISTANT = "assistant"
 class Mapping:
     """Where a layout keeps its turns.
 
-    paths: nested field paths of the layout, such as `messages[].role`. turns: for layouts with
-    a fixed set of turns (role, path of the text) pairs, of which null texts are left out;
-    for layouts with a list (path of the list, name of its role, name of its text); for layouts
-    with a row per turn (path of the position, path of the role, path of the text).
+    paths: the nested field paths it needs, as `paths_of` writes them; other fields may be there
+    too. turns: for layouts with a fixed set of turns (role, path of the text) pairs, of which
+    null texts are left out; for layouts with lists (path of the list, name of its role, name of
+    its text) for each list, one after another; for layouts with a row per turn (path of the
+    position, path of the role, path of the text).
     """
 
     name: str
@@ -42,12 +42,30 @@ class Mapping:
     turns: tuple
 
 
+def _lists(name: str, role: str, text: str, *lists: str) -> tuple[Mapping, ...]:
+    """A layout of lists of turns, with texts as strings or as lists of parts."""
+    turns = tuple((x, role, text) for x in lists)
+    return tuple(
+        Mapping(name + suffix, tuple(f"{x}[].{y}" for x in lists for y in (role, text + mark)), "list", turns)
+        for suffix, mark in (("", ""), ("_of_parts", "[]"))
+    )
+
+
+# The first layout whose paths a record has is taken, so those that need more stand before those that need less.
 LAYOUTS = (
     Mapping("turn_row", ("conv", "role", "text", "turn"), "row", ("turn", "role", "text")),
-    Mapping("messages", ("messages[].content", "messages[].role"), "list", ("messages", "role", "content")),
-    Mapping(
-        "conversations", ("conversations[].from", "conversations[].value"), "list", ("conversations", "from", "value")
+    *(
+        Mapping(
+            name,
+            ("conversation", "index", content, "message.role"),
+            "row",
+            ("index", "message.role", "message.content"),
+        )
+        for name, content in (("turn_message", "message.content"), ("turn_message_of_parts", "message.content[]"))
     ),
+    *_lists("messages", "role", "content", "messages"),
+    *_lists("conversations", "from", "value", "conversations"),
+    *_lists("prompt_messages", "role", "content", "prompt", "completion"),
     Mapping("prompt", ("completion", "prompt"), "fixed", (("user", "prompt"), (ASSISTANT, "completion"))),
     Mapping("response", ("prompt", "response"), "fixed", (("user", "prompt"), (ASSISTANT, "response"))),
     Mapping(
@@ -58,34 +76,66 @@ LAYOUTS = (
     ),
     Mapping("short_instruction", ("instruction", "output"), "fixed", (("user", "instruction"), (ASSISTANT, "output"))),
     Mapping("question", ("answer", "question"), "fixed", (("user", "question"), (ASSISTANT, "answer"))),
+    Mapping("no_prompt_messages", ("completion[].role", "prompt[0]"), "list", (("completion", "role", "content"),)),
+    Mapping("no_messages", ("messages[0]",), "list", (("messages", "role", "content"),)),
+    Mapping("no_conversations", ("conversations[0]",), "list", (("conversations", "from", "value"),)),
 )
 # Other names of the roles in public layouts.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+NO_JSON, NO_LAYOUT, NO_TURNS = "no JSON", "unknown layout", "no turns"
+
+
+def _fields(value: Column) -> Column:
+    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+
+def _items(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
 
+def _is(value: Column, kind: str) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit(kind + "<"))
 
-def layout_of(mapping: Mapping) -> str:
-    """The nested layout of the mapping's paths, written as `shape` writes that of a record."""
-    tree: dict = {}
-    for path in mapping.paths:
-        node = tree
-        for part in path.split("."):
-            node = node.setdefault(part, {})
-    return f"OBJECT<{_fields(tree)}>"
 
+def paths_of(variant: Column) -> Column:
+    """Sorted distinct nested field paths of a record, two levels deep; null if it is no JSON object.
 
-def _fields(node: dict) -> str:
-    names = sorted((k.removesuffix("[]"), k.endswith("[]"), v) for k, v in node.items())
-    return ", ".join(n + (f": ARRAY<OBJECT<{_fields(v)}>>" if many else "") for n, many, v in names)
+    `a` is a field, `a.b` a field of an object, `a[].b` a field of the objects in a list, `a[]` a
+    list of other values, `a[0]` an empty list, `a[].b[]` a list in each. Dots, brackets and
+    backslashes in names are escaped, so no name looks like a path.
+    """
+    name = lambda e: F.regexp_replace(e["key"], r"([.\[\\])", r"\\$1")
+    mark = lambda e: F.when(_is(e["value"], "ARRAY"), "[]").otherwise("")
+
+    def below(value, prefix):
+        inner = F.transform(_fields(value), lambda e: F.concat(prefix, F.lit("."), name(e), mark(e)))
+        return F.when(F.size(inner) > 0, inner).otherwise(F.array(prefix))
+
+    def paths(e):
+        own, value = name(e), e["value"]
+        items = _items(value)
+        many = F.concat(own, F.lit("[]"))
+        listed = F.array_distinct(F.flatten(F.transform(items, lambda i: below(i, many))))
+        return (
+            F.when(_is(value, "OBJECT"), below(value, own))
+            .when(_is(value, "ARRAY") & (F.size(items) == 0), F.array(F.concat(own, F.lit("[0]"))))
+            .when(_is(value, "ARRAY"), listed)
+            .otherwise(F.array(own))
+        )
 
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(_fields(variant), paths))))
 
-def shape(variant: Column) -> Column:
-    """Nested field names of a record, without the types of its leaves; null if it is no JSON."""
-    leaf = r"(?<=[^<>, ]): (?!ARRAY<OBJECT|OBJECT)(?:ARRAY<\w+(?:\(\d+,\s*\d+\))?>|\w+(?:\(\d+,\s*\d+\))?)"
-    return F.regexp_replace(F.schema_of_variant(variant), leaf, "")
 
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(paths)
 
-def fingerprint(layout: Column) -> Column:
-    return F.xxhash64(layout)
+
+def layout_name(paths: Column, layouts: tuple[Mapping, ...] = LAYOUTS) -> Column:
+    """The layout with the fingerprint of these paths, else the first one whose paths are all among them, else null."""
+    literal = lambda m: F.array_sort(F.array(*map(F.lit, m.paths)))
+    exact = F.create_map(*[x for m in layouts for x in (fingerprint(literal(m)), F.lit(m.name))])
+    held = [F.when(F.size(F.array_except(literal(m), paths)) == 0, m.name) for m in layouts]
+    return F.coalesce(exact[fingerprint(paths)], *held)
 
 
 def _role(role: Column, rename: bool) -> Column:
@@ -95,47 +145,79 @@ def _role(role: Column, rename: bool) -> Column:
     return F.coalesce(names[F.lower(role)], role, F.lit(""))
 
 
-def _items(turn: Callable, role: str, text: str) -> Callable:
-    return lambda x, i: turn(i, _role(x[role], True), x[text])
+def _text(value: Column) -> Column:
+    """The text of a value: of a list its parts that are strings or have a text, joined; of an object its text or JSON."""
+    string = F.try_variant_get(value, "$", "string")
+    field = lambda x: F.try_variant_get(x, "$.text", "string")
+    part = lambda x: F.when(_is(x, "OBJECT"), field(x)).otherwise(F.try_variant_get(x, "$", "string"))
+    parts = F.array_join(F.transform(_items(value), part), "")
+    return F.when(_is(value, "ARRAY"), parts).when(_is(value, "OBJECT"), F.coalesce(field(value), string)).otherwise(string)
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
-    """Records (conv_id, record as JSON) as rows conv_id, position, role, text, layout.
-
-    The mapping is looked up by fingerprint in a map literal, as there are few layouts. The
-    turns of a layout with rows keep their own position. Records that are no JSON or have an
-    unknown layout give a row with null position, role and text, so none is lost silently.
+    """Records (conv_id, record as JSON) as rows conv_id, position, role, text, layout, fingerprint, unmatched.
+
+    The mapping is looked up by fingerprint in a map literal, as there are few layouts; a record
+    with further fields takes the first layout whose paths it has. The turns of a layout with rows
+    keep their own position. Texts in parts are joined; parts without text, such as pictures, add
+    nothing; an item of a list that is no object is a turn without a role. Records that are no JSON,
+    have an unknown layout or hold no turn give a row with null position, role and text, and
+    `unmatched` says which of these it is (else null), so none is lost silently.
     """
-    known = F.create_map(*[x for m in layouts for x in (fingerprint(F.lit(layout_of(m))), F.lit(m.name))])
     parsed = records.select("conv_id", F.try_parse_json("record").alias("_v"))
-    named = parsed.withColumn("layout", known[fingerprint(shape(F.col("_v")))])
+    seen = parsed.withColumn("_p", paths_of(F.col("_v")))
+    named = seen.withColumns({"layout": layout_name(F.col("_p"), layouts), "fingerprint": fingerprint(F.col("_p"))})
     get = lambda path, kind: F.try_variant_get("_v", f"$.{path}", kind)
     turn = lambda position, role, text: F.struct(
         position.cast("long").alias("position"), role.alias("role"), text.alias("text")
     )
     nothing = F.lit(None).cast("string")
+
+    def listed(path, role, text):
+        own = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+        return F.transform(
+            get(path, "array<variant>"),
+            lambda x: turn(
+                F.lit(None),
+                _role(F.try_variant_get(x, f"$.{role}", "string"), True),
+                F.coalesce(F.when(_is(x, "OBJECT"), _text(own(x, text))).otherwise(_text(x)), F.lit("")),
+            ),
+        )
+
     picked = None
     for m in layouts:
         if m.kind == "row":
             position, role, text = m.turns
-            one = turn(get(position, "long"), _role(get(role, "string"), False), get(text, "string"))
+            one = turn(get(position, "long"), _role(get(role, "string"), False), _text(get(text, "variant")))
             turns = F.array(one)
         elif m.kind == "list":
-            path, role, text = m.turns
-            items = get(path, f"array<struct<`{role}` string, `{text}` string>>")
-            turns = F.transform(items, _items(turn, role, text))
+            turns = F.concat(*[listed(*x) for x in m.turns]) if len(m.turns) > 1 else listed(*m.turns[0])
+            turns = F.transform(turns, lambda x, i: turn(i, x["role"], x["text"]))
         else:
-            each = [turn(F.lit(i), F.lit(r), get(p, "string")) for i, (r, p) in enumerate(m.turns)]
+            each = [turn(F.lit(i), F.lit(r), _text(get(p, "variant"))) for i, (r, p) in enumerate(m.turns)]
             turns = F.filter(F.array(*each), lambda t: t["text"].isNotNull())
         hit = F.col("layout") == m.name
         picked = F.when(hit, turns) if picked is None else picked.when(hit, turns)
     lost = F.array(turn(F.lit(None), nothing, nothing))
-    return named.select("conv_id", "layout", F.explode(F.coalesce(picked, lost)).alias("_t")).select(
-        "conv_id", "_t.position", "_t.role", F.coalesce("_t.text", F.when(F.col("layout").isNotNull(), "")).alias("text"),
-        "layout",
+    some = F.coalesce(F.size("_t") > 0, F.lit(False))
+    reason = F.when(F.col("_v").isNull(), NO_JSON).when(F.col("layout").isNull(), NO_LAYOUT).when(~some, NO_TURNS)
+    made = named.withColumn("_t", picked).withColumn("unmatched", reason)
+    return made.select(
+        "conv_id", "layout", "fingerprint", "unmatched", F.explode(F.when(some, F.col("_t")).otherwise(lost)).alias("_t")
+    ).select(
+        "conv_id", "_t.position", "_t.role",
+        F.coalesce("_t.text", F.when(F.col("unmatched").isNull(), "")).alias("text"),
+        "layout", "fingerprint", "unmatched",
     )
 
 
+def unmatched(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
+    """A row for each record without turns: conv_id, fingerprint (null if it is no JSON object), layout, unmatched."""
+    lost = canonical_turns(records, layouts).where(F.col("unmatched").isNotNull())
+    known = F.when(F.col("unmatched") != NO_JSON, F.col("fingerprint")).alias("fingerprint")
+    return lost.select("conv_id", known, "layout", "unmatched")
+
+
 def escaped(text: Column) -> Column:
     """Text in which no control string is left: backslashes are doubled, control strings broken by one."""
     for plain, safe in (("\\", "\\\\"), (HEAD, "#\\## "), (END, "<\\/turn>")):
@@ -233,8 +315,8 @@ def format_chats(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) ->
     """Format records of any known layout, write the text, and read it back: rows of READ_BACK.
 
     Null texts are empty turns (in layouts with fixed turns they are left out), null roles are
-    empty; a null conv_id is a conversation of its own. Records of unknown layout raise no
-    error here: they have no turns and are found by `canonical_turns`.
+    empty; a null conv_id is a conversation of its own. Records without turns (`unmatched` lists
+    them with the reason) raise no error here and add nothing.
     """
-    turns = canonical_turns(records, layouts).where(F.col("layout").isNotNull())
+    turns = canonical_turns(records, layouts).where(F.col("unmatched").isNull())
     return read_back(cut_lineage(formatted(turns), "chat"))

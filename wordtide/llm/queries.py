@@ -29,14 +29,23 @@ CONTROL_CASE = r"\### Assistant: </turn> ok"
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn is a record of its own, in the layout with a row per turn."""
+    """Every turn is a record of its own, in one of three layouts with a row per turn, by a hash."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     case = spark.createDataFrame(
         [(-7, 0, "user", CONTROL_CASE), (-7, 1, "assistant", CONTROL_CASE)],
         "conv_id long, turn long, role string, text string",
     )
-    fields = F.struct(F.col("conv_id").alias("conv"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    record = F.to_json(fields, {"ignoreNullFields": "false"})
+    conv, text = F.col("conv_id"), F.coalesce("text", F.lit(""))
+    message = F.struct("role", text.alias("content"))
+    parts = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"))
+    layouts = (
+        F.struct(conv.alias("conv"), "turn", "role", text.alias("text")),
+        F.struct(conv.alias("conversation"), F.col("turn").alias("index"), message.alias("message")),
+        F.struct(conv.alias("conversation"), F.col("turn").alias("index"), parts.alias("message"), F.lit("n").alias("source")),
+    )
+    records = [F.to_json(fields, {"ignoreNullFields": "false"}) for fields in layouts]
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(records)))
+    record = F.when(kind == 0, records[0]).when(kind == 1, records[1]).otherwise(records[2])
     return chat.format_chats(rows.unionByName(case).select("conv_id", record.alias("record")))
 
 
