@@ -134,19 +134,36 @@ def layout_name(paths: Column, layouts: tuple[Mapping, ...] = LAYOUTS) -> Column
     """The layout with the fingerprint of these paths, else the first one whose paths are all among them, else null."""
     literal = lambda m: F.array_sort(F.array(*map(F.lit, m.paths)))
     exact = F.create_map(*[x for m in layouts for x in (fingerprint(literal(m)), F.lit(m.name))])
-    held = [F.when(F.size(F.array_except(literal(m), paths)) == 0, m.name) for m in layouts]
-    return F.coalesce(exact[fingerprint(paths)], *held)
+    each = F.array(*[F.struct(F.lit(m.name).alias("name"), literal(m).alias("paths")) for m in layouts])
+    held = F.filter(each, lambda m: F.size(F.array_except(m["paths"], paths)) == 0)
+    return F.coalesce(exact[fingerprint(paths)], F.get(held, F.lit(0))["name"])
+
+
+def _sources(mapping: Mapping) -> Column:
+    """The mapping as an array of structs: where its items are, and which of their fields hold role, text and position."""
+    rows = []
+    for turn in mapping.turns if mapping.kind != "row" else [mapping.turns]:
+        if mapping.kind == "row":
+            position, role, text = turn
+            at = text.rpartition(".")[0] or None
+            rows.append((at, role.rpartition(".")[2], None, text.rpartition(".")[2], position))
+        elif mapping.kind == "list":
+            rows.append((turn[0], turn[1], None, turn[2], None))
+        else:
+            rows.append((None, None, turn[0], turn[1], None))
+    names = ("at", "role_field", "role", "text_field", "position_field")
+    many = F.lit(mapping.kind == "list").alias("many")
+    string = lambda x, n: F.lit(x).cast("string").alias(n)
+    return F.array(*[F.struct(*map(string, row, names), many) for row in rows])
 
 
-def _role(role: Column, rename: bool) -> Column:
-    if not rename:
-        return F.coalesce(role, F.lit(""))
+def _role(role: Column, rename: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    return F.coalesce(names[F.lower(role)], role, F.lit(""))
+    return F.coalesce(F.when(rename, names[F.lower(role)]), role, F.lit(""))
 
 
 def _text(value: Column) -> Column:
-    """The text of a value: of a list its parts that are strings or have a text, joined; of an object its text or JSON."""
+    """Text of a value: of a list its parts that are strings or have a text, joined; of an object its text or JSON."""
     string = F.try_variant_get(value, "$", "string")
     field = lambda x: F.try_variant_get(x, "$.text", "string")
     part = lambda x: F.when(_is(x, "OBJECT"), field(x)).otherwise(F.try_variant_get(x, "$", "string"))
@@ -165,50 +182,42 @@ def canonical_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS)
     `unmatched` says which of these it is (else null), so none is lost silently.
     """
     parsed = records.select("conv_id", F.try_parse_json("record").alias("_v"))
-    seen = parsed.withColumn("_p", paths_of(F.col("_v")))
+    seen = parsed.withColumns({"_p": paths_of(F.col("_v")), "_m": F.try_variant_get("_v", "$", "map<string,variant>")})
     named = seen.withColumns({"layout": layout_name(F.col("_p"), layouts), "fingerprint": fingerprint(F.col("_p"))})
-    get = lambda path, kind: F.try_variant_get("_v", f"$.{path}", kind)
-    turn = lambda position, role, text: F.struct(
-        position.cast("long").alias("position"), role.alias("role"), text.alias("text")
+    where = F.create_map(*[x for m in layouts for x in (F.lit(m.name), _sources(m))])
+    field = lambda x, name: F.when(_is(x, "OBJECT"), F.try_variant_get(x, "$", "map<string,variant>")[name])
+
+    def turns_of(source):
+        whole = source["at"].isNull()
+        own = F.col("_m")[source["at"]]
+        items = F.when(whole, F.array(F.col("_v"))).when(source["many"], _items(own)).otherwise(F.array(own))
+
+        def turn(x):
+            get = lambda name: F.when(whole, F.col("_m")[name]).otherwise(field(x, name))
+            role = F.try_variant_get(get(source["role_field"]), "$", "string")
+            value = F.when(_is(x, "OBJECT"), get(source["text_field"])).otherwise(x)
+            return F.struct(
+                F.try_variant_get(F.col("_m")[source["position_field"]], "$", "long").alias("position"),
+                F.coalesce(source["role"], _role(role, source["many"])).alias("role"),
+                _text(value).alias("text"),
+            )
+
+        # In layouts with fixed turns null texts are left out.
+        return F.filter(F.transform(items, turn), lambda t: source["role"].isNull() | t["text"].isNotNull())
+
+    placed = lambda t, i: F.struct(
+        F.when(F.col("_s")[0]["position_field"].isNull(), i.cast("long")).otherwise(t["position"]).alias("position"),
+        t["role"].alias("role"),
+        F.coalesce(t["text"], F.lit("")).alias("text"),
     )
-    nothing = F.lit(None).cast("string")
-
-    def listed(path, role, text):
-        own = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
-        return F.transform(
-            get(path, "array<variant>"),
-            lambda x: turn(
-                F.lit(None),
-                _role(F.try_variant_get(x, f"$.{role}", "string"), True),
-                F.coalesce(F.when(_is(x, "OBJECT"), _text(own(x, text))).otherwise(_text(x)), F.lit("")),
-            ),
-        )
-
-    picked = None
-    for m in layouts:
-        if m.kind == "row":
-            position, role, text = m.turns
-            one = turn(get(position, "long"), _role(get(role, "string"), False), _text(get(text, "variant")))
-            turns = F.array(one)
-        elif m.kind == "list":
-            turns = F.concat(*[listed(*x) for x in m.turns]) if len(m.turns) > 1 else listed(*m.turns[0])
-            turns = F.transform(turns, lambda x, i: turn(i, x["role"], x["text"]))
-        else:
-            each = [turn(F.lit(i), F.lit(r), _text(get(p, "variant"))) for i, (r, p) in enumerate(m.turns)]
-            turns = F.filter(F.array(*each), lambda t: t["text"].isNotNull())
-        hit = F.col("layout") == m.name
-        picked = F.when(hit, turns) if picked is None else picked.when(hit, turns)
-    lost = F.array(turn(F.lit(None), nothing, nothing))
+    each = F.filter(F.transform("_s", turns_of), lambda x: x.isNotNull())
+    made = named.withColumn("_s", where[F.col("layout")]).withColumn("_t", F.transform(F.flatten(each), placed))
     some = F.coalesce(F.size("_t") > 0, F.lit(False))
     reason = F.when(F.col("_v").isNull(), NO_JSON).when(F.col("layout").isNull(), NO_LAYOUT).when(~some, NO_TURNS)
-    made = named.withColumn("_t", picked).withColumn("unmatched", reason)
+    # A record without turns gives one row of nulls.
     return made.select(
-        "conv_id", "layout", "fingerprint", "unmatched", F.explode(F.when(some, F.col("_t")).otherwise(lost)).alias("_t")
-    ).select(
-        "conv_id", "_t.position", "_t.role",
-        F.coalesce("_t.text", F.when(F.col("unmatched").isNull(), "")).alias("text"),
-        "layout", "fingerprint", "unmatched",
-    )
+        "conv_id", "layout", "fingerprint", reason.alias("unmatched"), F.explode_outer("_t").alias("_t")
+    ).select("conv_id", "_t.position", "_t.role", "_t.text", "layout", "fingerprint", "unmatched")
 
 
 def unmatched(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
