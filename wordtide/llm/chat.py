@@ -123,7 +123,7 @@ def paths_of(variant: Column) -> Column:
             .otherwise(F.array(own))
         )
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(_fields(variant), paths))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(_fields(variant), paths))))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -132,7 +132,7 @@ def fingerprint(paths: Column) -> Column:
 
 def layout_name(paths: Column, layouts: tuple[Mapping, ...] = LAYOUTS) -> Column:
     """The layout with the fingerprint of these paths, else the first one whose paths are all among them, else null."""
-    literal = lambda m: F.array_sort(F.array(*map(F.lit, m.paths)))
+    literal = lambda m: F.array(*map(F.lit, sorted(m.paths)))
     exact = F.create_map(*[x for m in layouts for x in (fingerprint(literal(m)), F.lit(m.name))])
     each = F.array(*[F.struct(F.lit(m.name).alias("name"), literal(m).alias("paths")) for m in layouts])
     held = F.filter(each, lambda m: F.size(F.array_except(m["paths"], paths)) == 0)
