@@ -566,6 +566,25 @@ def best_score(vocab, scores, text):
     return best[-1]
 
 
+def test_long_chunks_take_the_same_paths(monkeypatch):
+    draw = random.Random(3)
+    whole = pieces.read_vocabulary()
+    for vocab, letters in ((pieces.vocabulary(ENTRIES), "abc é▁"), (whole, "etaoinshr é▁🙂字 \\n0")):
+        chunks = ["".join(draw.choices(letters, k=draw.randint(1, 400))) for _ in range(60)] + ["a" * 300, " " * 300]
+        expected = pieces._viterbi_block(vocab, chunks, np)
+        for cut in (1, 7, 100):
+            monkeypatch.setattr(pieces, "LONG_CHUNK", cut)
+            assert pieces.viterbi(vocab, chunks) == expected
+
+
+def test_a_long_chunk_is_encoded_in_linear_time(spark):
+    word = "".join(random.Random(4).choices("etaoinshrdlu", k=1000))
+    df = docs_of(spark, [word * 400, word * 100, word])
+    got = {r["doc_id"]: r for r in pieces.roundtrip(df).collect()}
+    assert all(r["restored"] for r in got.values())
+    assert 399 < got[1]["n_tokens"] / got[3]["n_tokens"] < 401
+
+
 def test_viterbi_finds_the_best_path():
     vocab = pieces.vocabulary(ENTRIES)
     scores = {p.replace("▁", " "): s for p, s, kind in ENTRIES if kind == "piece"}

@@ -26,6 +26,7 @@ UNKNOWN_PENALTY = 10.0
 # What a task holds at once: encoded chunks, cells of the recurrence, bytes of text.
 CACHED_CHUNKS = 100_000
 MATRIX_CELLS = 250_000
+LONG_CHUNK = 4096
 SLICE_BYTES = 1 << 20
 
 
@@ -44,6 +45,7 @@ class Vocabulary:
     scores: object = None
     longest: int = 0
     splits: bool = True  # no piece has a mark after another character
+    edges: dict | None = None  # the same as base and check, for long chunks
 
 
 @lru_cache(maxsize=4)
@@ -185,12 +187,16 @@ def chunk_pattern(vocab: Vocabulary):
 def viterbi(vocab: Vocabulary, chunks: list) -> list:
     """Ids of each chunk (blanks stand for marks) as bytes of little-endian 32-bit integers.
 
-    All chunks of a block take each step of the recurrence together.
+    All chunks of a block take each step of the recurrence together; a chunk above LONG_CHUNK
+    characters goes alone, in memory that follows its best paths, not its whole matrix.
     """
     import numpy as np
 
     out = [b""] * len(chunks)
     order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
+    while order and len(chunks[order[-1]]) > LONG_CHUNK:
+        i = order.pop()
+        out[i] = _viterbi_long(vocab, chunks[i], np)
     at = 0
     while at < len(order):
         end = at + 1
@@ -204,6 +210,84 @@ def viterbi(vocab: Vocabulary, chunks: list) -> list:
     return out
 
 
+def _viterbi_long(vocab, chunk, np):
+    """As `_viterbi_block` for one chunk of any length: plain steps, ids given out where all open paths agree.
+
+    Only the last `longest` ends can be reached from later ones. Every so many characters the
+    paths to these are followed back; where they meet, everything before is settled and dropped.
+    """
+    codes, mark = vocab.codes, vocab.codes.get(MARK, 0)
+    longest = max(vocab.longest, 1)
+    trie = _plain(vocab)
+    out, floor = [], 0  # characters before floor are settled
+    best, start, piece = [0.0], [0], [-1]  # of the ends floor, floor + 1, ...
+    minus = float("-inf")
+    # Scores of ends are compared among neighbours only, so they may stay sums from the chunk's start.
+    size, next_cut = len(chunk), LONG_CHUNK
+
+    def ids_between(end, begin):
+        ids, at = [], end
+        while at > begin:
+            i = at - floor
+            if piece[i] >= 0:
+                ids.append(piece[i])
+            else:
+                text = chunk[start[i] : at].encode("utf-8", "surrogatepass")
+                ids += [vocab.byte_ids[b] for b in reversed(text)]
+            at = start[i]
+        return ids[::-1]
+
+    for s in range(size):
+        here = best[s - floor]
+        while len(best) <= min(s + longest, size) - floor:
+            best.append(minus)
+            start.append(s)
+            piece.append(-1)
+        state, single = 0, False
+        for d in range(min(longest, size - s)):
+            c = chunk[s + d]
+            state = trie.get((state, mark if c == " " else 0 if c == MARK else codes.get(c, 0)))
+            if state is None:
+                break
+            own = vocab.ids.item(state)
+            if own >= 0:
+                i, score = s + d + 1 - floor, here + vocab.scores.item(state)
+                if score > best[i]:
+                    best[i], start[i], piece[i] = score, s, own
+                single = single or d == 0
+        if not single:
+            i, score = s + 1 - floor, here + vocab.unknown_score
+            if score > best[i]:
+                best[i], start[i], piece[i] = score, s, -1
+        if s >= next_cut:
+            # Ends that later steps can start from: those after s that a piece reaches already, and s + 1.
+            open_ends = {e for e in range(s + 1, min(s + longest, size) + 1) if best[e - floor] > minus}
+            while len(open_ends) > 1:
+                last = max(open_ends)
+                open_ends.remove(last)
+                open_ends.add(max(start[last - floor], floor))
+            meet = open_ends.pop()
+            if meet > floor:
+                out.append(np.asarray(ids_between(meet, floor), dtype="<i4").tobytes())
+                best, start, piece = (x[meet - floor :] for x in (best, start, piece))
+                floor = meet
+            next_cut = s + LONG_CHUNK
+    out.append(np.asarray(ids_between(size, floor), dtype="<i4").tobytes())
+    return b"".join(out)
+
+
+def _plain(vocab):
+    """The double array as a dict (state, code) -> state, made once for each vocabulary of a worker."""
+    import numpy as np
+
+    if vocab.edges is None:
+        to = np.flatnonzero(vocab.check >= 0)
+        parents = vocab.check[to]
+        codes = to - vocab.base[parents]
+        vocab.edges = {(p, c): t for p, c, t in zip(parents.tolist(), codes.tolist(), to.tolist())}
+    return vocab.edges
+
+
 def _viterbi_block(vocab, chunks, np):
     codes, mark = vocab.codes, vocab.codes.get(MARK, 0)
     n, width = len(chunks), max(map(len, chunks))
@@ -275,6 +359,9 @@ def _encode(vocab, text, ids):
                     fresh = list({c for chunks in each for c in chunks})
                 cache.update(zip(fresh, viterbi(vocab, fresh)))
                 joined = [b"".join(map(cache.__getitem__, chunks)) for chunks in each]
+                for c in fresh:
+                    if len(c) > LONG_CHUNK:
+                        del cache[c]
                 ends = np.cumsum([0, *(len(x) // 4 for x in joined)]).astype("int32")
                 values = pa.array(np.frombuffer(b"".join(joined), dtype="<i4"))
                 missing = pa.array([t is None for t in texts])
