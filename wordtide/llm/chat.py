@@ -222,7 +222,7 @@ def canonical_turns(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS)
 
 def unmatched(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
     """A row for each record without turns: conv_id, fingerprint (null if it is no JSON object), layout, unmatched."""
-    lost = canonical_turns(records, layouts).where(F.col("unmatched").isNotNull())
+    lost = canonical_turns(records, layouts).where(F.col("text").isNull())
     known = F.when(F.col("unmatched") != NO_JSON, F.col("fingerprint")).alias("fingerprint")
     return lost.select("conv_id", known, "layout", "unmatched")
 
@@ -327,5 +327,6 @@ def format_chats(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) ->
     empty; a null conv_id is a conversation of its own. Records without turns (`unmatched` lists
     them with the reason) raise no error here and add nothing.
     """
-    turns = canonical_turns(records, layouts).where(F.col("unmatched").isNull())
+    # A turn's text is never null; a filter by `unmatched` would go below the explode and match each record again.
+    turns = canonical_turns(records, layouts).where(F.col("text").isNotNull())
     return read_back(cut_lineage(formatted(turns), "chat"))
