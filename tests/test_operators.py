@@ -626,3 +626,24 @@ def test_joins_and_blocks_beyond_the_broadcast_size(spark, monkeypatch):
     assert salted == small
     _, labels = K.fit(df, ["word"], [3], block_rows=7)
     assert {(r["word"], r["usage_id"]): r["label"] for r in labels.collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sample_looks_up_ids_before_texts_are_made_and_ends_with_the_last_cell(spark, monkeypatch):
+    steps = {}
+
+    def noted(df, name="step"):
+        steps.setdefault(name, []).append(_plan(df))
+        return cut_lineage(df, name)
+
+    monkeypatch.setattr(A, "cut_lineage", noted)
+    rows = [("w", c, p, f"{c}{p}{i}", ["a", f"t{c}{p}{i}", "b", "."], 1) for c in (0, 1) for p in ("p", "q") for i in range(3)]
+    made = spark.createDataFrame(rows, "word string, cluster int, period string, usage_id string, context array<string>, position int")
+    sampled = A.sample_snippets(A.prepare_snippets(made), ["p", "q"])
+    assert sampled.count() == 4
+    # Every cell has texts of its own: the cluster's and the word's are not offered any more.
+    assert len(steps["offered"]) == 1
+    assert "IN (" in steps["shown"][0] or "INSET" in steps["shown"][0]
