@@ -647,3 +647,16 @@ def test_sample_looks_up_ids_before_texts_are_made_and_ends_with_the_last_cell(s
     # Every cell has texts of its own: the cluster's and the word's are not offered any more.
     assert len(steps["offered"]) == 1
     assert "IN (" in steps["shown"][0] or "INSET" in steps["shown"][0]
+
+
+def test_snippets_search_for_markup_before_they_replace_it(spark):
+    texts = [
+        ["x", "##y", "hit", "[PAD]", "z", "."], ["<", "p", ">", "hit", "&", "lt", ";", "."], ["/", "/", "hit", "a", "[UNK]", "##b"],
+        ["&", "gt", ";", "hit", "c"],
+    ]
+    rows = [(i, t, t.index("hit")) for i, t in enumerate(texts)]
+    made = A.with_snippets(spark.createDataFrame(rows, "id int, context array<string>, position int"))
+    assert "regexp_replace" not in _plan(made)
+    assert [r["text"] for r in made.orderBy("id").select("text").collect()] == [
+        "xy [[hit]] z .", " [[hit]] < .", " [[hit]] a b", "> [[hit]] c",
+    ]
