@@ -233,3 +233,16 @@ def test_compute_once_reads_what_was_published_first(spark):
     left = new_path(spark, "test-left")
     spark.range(3).write.parquet(f"{left}/data/0-x")
     assert writers.compute_once(spark, left, lambda: spark.range(4)).count() == 4
+
+
+def test_json_of_one_word_is_dealt_to_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "json")
+    df = spark.range(500).selectExpr("'the' AS word", "id", "array(id) AS ids", "map('k', id) AS named")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        writers.json_by_word(df, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "json" / "word=the").glob("*.json"))) > 1
+    back = spark.read.schema("id long, ids array<long>, word string").json(path)
+    assert sorted((r["word"], r["id"], r["ids"]) for r in back.collect()) == [("the", i, [i]) for i in range(500)]

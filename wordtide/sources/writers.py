@@ -26,6 +26,8 @@ CONTROL_VALUES = ["identical", "", "TRUE"]
 # Stands for null in CSV tables, where nothing between two commas is an empty text.
 NULL_MARK = "\ue000"
 SOURCE_FILE = "source_file"
+# Parts that the rows of a word are dealt to.
+JSON_SALTS = 256
 
 
 def clean_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -84,8 +86,12 @@ def pair_sheet(pairs: DataFrame, path: str, control: bool = False) -> None:
 
 
 def json_by_word(df: DataFrame, path: str) -> None:
-    """JSON lines, one folder per word, rebalanced as in `hits_by_word`."""
-    df.hint("rebalance", "word").write.mode("overwrite").partitionBy("word").json(path)
+    """JSON lines, one folder per word; rows are rebalanced by word and a hash, so that a word of
+    any size is dealt to many tasks, and small words end in few files.
+    """
+    hashed = [c for c, t in df.dtypes if "map<" not in t]
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(JSON_SALTS)))
+    dealt.hint("rebalance", "word", "_salt").drop("_salt").write.mode("overwrite").partitionBy("word").json(path)
 
 
 def finished_words(spark: SparkSession, path: str) -> DataFrame:
