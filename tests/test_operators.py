@@ -660,3 +660,13 @@ def test_snippets_search_for_markup_before_they_replace_it(spark):
     assert [r["text"] for r in made.orderBy("id").select("text").collect()] == [
         "xy [[hit]] z .", " [[hit]] < .", " [[hit]] a b", "> [[hit]] c",
     ]
+
+
+def test_partitions_of_blocks_follow_the_cores(spark):
+    rows = [("w", i, [float(i), 1.0]) for i in range(400)]
+    points = spark.createDataFrame(rows, "word string, usage_id long, vector array<double>")
+    counts = cut_lineage(B.block_counts(points, ["word"], 2))
+    blocks = B.with_blocks(points, counts, ["word"], "usage_id")
+    assert blocks.rdd.getNumPartitions() <= B.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert blocks.count() == 400 and blocks.select("block").distinct().count() > 100
+    blocks.unpersist()
