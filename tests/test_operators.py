@@ -670,3 +670,24 @@ def test_partitions_of_blocks_follow_the_cores(spark):
     assert blocks.rdd.getNumPartitions() <= B.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
     assert blocks.count() == 400 and blocks.select("block").distinct().count() > 100
     blocks.unpersist()
+
+
+def test_only_hot_keys_are_copied_for_a_join(spark, monkeypatch):
+    monkeypatch.setattr(B, "HOT_ROWS", 50)
+    big = spark.createDataFrame([("hot", i) for i in range(60)] + [(f"k{i}", i) for i in range(40)] + [(None, 1)], "key string, id int")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3), ("other", 4)] + [(f"k{i}", i) for i in range(40)], "key string, v int")
+    salted, copied = B.salted_sides(big, small, ["key"], ["id"])
+    assert copied.count() == 42 + 2 * B.JOIN_SALTS
+    assert salted.where("key = 'hot'").select("_salt").distinct().count() > 10
+    got = B.join_small(big, small, ["key"], ["id"], False)
+    assert got.columns == ["key", "id", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.join_small(big, small, ["key"], ["id"], True).collect()))
+
+
+def test_likelihood_is_the_same_without_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([("a b a c a b",), ("a d b",), (None,), ("",)], "text string")
+    bigrams = colloc.ngrams_of_texts(texts, 2)
+    plain = sorted(map(tuple, colloc.likelihood_ratio(bigrams, 1).collect()))
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(B, "HOT_ROWS", 2)
+    assert sorted(map(tuple, colloc.likelihood_ratio(bigrams, 1).collect())) == plain
