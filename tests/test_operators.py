@@ -691,3 +691,15 @@ def test_likelihood_is_the_same_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(B, "HOT_ROWS", 2)
     assert sorted(map(tuple, colloc.likelihood_ratio(bigrams, 1).collect())) == plain
+
+
+def test_slices_of_ngrams_follow_the_text(spark, monkeypatch):
+    monkeypatch.setattr(colloc, "SLICE_CHARS", 100)
+    rows = [(i % 7 or None, "a b c d e " * 10) for i in range(40)] + [(8, None), (None, "")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    slices = colloc.in_slices(texts, ["doc_id", "text"])
+    assert slices.rdd.getNumPartitions() == 40
+    assert sorted(map(tuple, slices.collect()), key=str) == sorted(rows, key=str)
+    got, want = (colloc.ngram_counts(colloc.ngrams_of_texts(t, 3)).collect() for t in (slices, texts))
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    assert colloc.in_slices(texts.where("false"), ["doc_id"]).count() == 0

@@ -14,9 +14,22 @@ from wordtide.operators.ranking import BLOCK_ROWS as RANK_ROWS
 from wordtide.operators.ranking import sum_before
 from wordtide.session import cut_lineage
 
+# Text of a slice, about; a slice's n-grams are counted in the memory of a task.
+SLICE_CHARS = 1 << 24
 TINY = 1e-20  # Fixed value: guards the logarithms of the likelihood ratio.
 
 
+def in_slices(texts: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """The rows hashed by their keys into slices of about SLICE_CHARS characters.
+
+    Most n-grams are rare, so a task that counts its own first holds nearly all of them: beyond its
+    memory they are sorted on disk. Slices follow the size of the texts, not the splits of the scan.
+    """
+    chars = texts.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    slices = max(-(-chars // SLICE_CHARS), texts.sparkSession.sparkContext.defaultParallelism)
+    return texts.repartition(slices, *keys)
+
+
 def ngrams_of_texts(texts: DataFrame, n: int, text_col: str = "text") -> DataFrame:
     """One row per token with its n-1 followers in the same row's text: w1 .. wn.
 
