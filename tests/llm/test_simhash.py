@@ -143,3 +143,26 @@ def test_empty_tables(spark):
     assert S.near_duplicates(docs).count() == 0
     one = spark.createDataFrame([(4, None)], "doc_id long, text string")
     assert found(S.near_duplicates(one)) == [(4, "0" * 16, 4)]
+
+
+def test_rows_dealt_grow_with_the_classes(spark, monkeypatch):
+    """Five times the classes are sent to about five times as many places."""
+    monkeypatch.setattr(S, "PART_ROWS", 1000)
+    dealt, deal = [], S._deal
+    monkeypatch.setattr(S, "_deal", lambda placed: dealt.append(deal(placed)) or dealt[-1])
+    for n in (3_000, 15_000):
+        S.links(classes_of(spark, random_fps(n, 11))).count()
+    few, many = (d.count() for d in dealt)
+    assert many < 6.5 * few
+
+
+def test_large_labels_meet_others_inside_a_task(spark, monkeypatch):
+    """Rows of a common label in a leaf skip each other, and one link stands for all with another label."""
+    monkeypatch.setattr(S, "COMMON", 20)
+    monkeypatch.setattr(S, "SAMPLE", 150)
+    monkeypatch.setattr(S, "LED_ROWS", 100)
+    one = int(random_fps(1, 12)[0])
+    fps = {*family(one, 600, range(12), 1), *family(one ^ 0x3F << 30, 400, range(40, 52), 2), *map(int, random_fps(200, 13))}
+    fps |= {f ^ 1 << 63 ^ 1 << 25 for f in list(fps)[:60]}
+    fps = sorted(fps, key=lambda f: xxhash.xxh64_intdigest(str(f)))
+    assert linked(spark, fps) == expected(fps)

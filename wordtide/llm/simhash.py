@@ -12,6 +12,10 @@ The trees are fitted on a bounded sample; all fingerprints are placed by them. E
 are one class. Classes are first linked to sampled ones in their shard; classes with a common
 component need not meet any more, so a large group of near copies fills shards of its own, which
 only others visit. Shards are cut into parts of bounded size, and so are their visitors.
+
+The number of shards is fixed up to LEAVES * PART_ROWS classes, so a fingerprint is sent to as many
+shards on average however many there are. The task of a part divides its members by a tree of its
+own, with small leaves, and leads members and visitors through it. Beyond that number shards grow with the classes.
 """
 
 from __future__ import annotations
@@ -36,9 +40,14 @@ TREES = 3
 # Fingerprints that the trees are fitted on, about, by a hash, and how many of them a leaf keeps at least.
 SAMPLE = 1 << 16
 LEAST_SAMPLED = 8
-# Fingerprints of a part of a shard, and visitors that a task holds against a part.
-PART_ROWS = 4096
-SLICE_ROWS = 1 << 16
+# Leaves of a tree, about. Fingerprints of a part of a shard, and visitors that a task holds against a part.
+LEAVES = 96
+PART_ROWS = 1 << 18
+SLICE_ROWS = 1 << 20
+# Inside a task: members of a leaf at least, rows led through the tree at once, members of a label that skip each other.
+LEAST_MEMBERS = 48
+LED_ROWS = 1 << 15
+COMMON = 1024
 VANTAGES = 12  # tried for a cut
 STEP_BYTES = 1 << 22
 
@@ -215,13 +224,12 @@ class _Tree:
         best, found = 0.95 * len(values) ** 2, None
         for vantage in values[draw.permutation(len(values))[:VANTAGES]]:
             upto = np.cumsum(np.bincount(np.bitwise_count(values ^ vantage), minlength=65)).astype("float64")
-            for cut in range(64):
-                near, far = upto[cut], len(values) - upto[cut]
-                if not near or not far:
-                    continue
-                work = near * upto[min(64, cut + self.radius)] + far * (len(values) - (upto[cut - self.radius] if cut >= self.radius else 0))
-                if work < best:
-                    best, found = work, (vantage, cut)
+            near, far = upto[:64], len(values) - upto[:64]
+            visit_near = upto[np.minimum(64, np.arange(64) + self.radius)]
+            visit_far = len(values) - np.append(np.zeros(self.radius), upto)[:64]
+            work = np.where((near > 0) & (far > 0), near * visit_near + far * visit_far, np.inf)
+            if work.min() < best:
+                best, found = work.min(), (vantage, int(work.argmin()))
         return found
 
     def visits(self, values):
@@ -251,12 +259,12 @@ class _Tree:
 
 
 def _forest(drawn, errors, trees, count):
-    """Trees over the sample's values in each block, with leaves for about PART_ROWS of all rows."""
+    """Trees over the sample's values in each block, with LEAVES leaves or, if more, leaves for about PART_ROWS of all rows."""
     import numpy as np
 
     fps = drawn.column("fp").to_numpy().view("uint64")
     reps = drawn.column("rep").to_numpy()
-    least = max(LEAST_SAMPLED, int(len(fps) * PART_ROWS / max(count, 1) / 2))
+    least = max(LEAST_SAMPLED, int(len(fps) / max(LEAVES, count / PART_ROWS) / 2))
     masks = _blocks(trees)
     return {
         "trees": [_Tree(fps & mask, errors // trees, least) for mask in masks],
@@ -346,38 +354,45 @@ def _solve(forest, errors):
         masks = forest.value["masks"]
         radius = errors // len(masks)
 
-        def between(one, two, mask, within):
-            """Places in both of near rows; rows are met by their distance from a vantage point in the tree's block."""
-            vantage = two["fp"][0] & mask
-            gap_one, gap_two = (np.bitwise_count((x["fp"] & mask) ^ vantage).astype("int64") for x in (one, two))
-            order = np.argsort(gap_two, kind="stable")
-            sorted_gaps = gap_two[order]
-            for gap in np.unique(gap_one):
-                low, high = np.searchsorted(sorted_gaps, [gap - radius, gap + radius + 1])
-                rows, others = np.flatnonzero(gap_one == gap), order[low:high]
-                if not len(others):
-                    continue
-                step = max(1, (1 << 20) // len(others))
-                for at in range(0, len(rows), step):
-                    part = rows[at : at + step]
-                    near = np.bitwise_count(one["fp"][part][:, None] ^ two["fp"][others][None, :]) <= errors
-                    x, y = np.nonzero(near)
-                    x, y = part[x], others[y]
-                    if within:
-                        x, y = x[x < y], y[x < y]
-                    yield x, y
-
-        def links(one, two, tree, within):
-            for x, y in between(one, two, masks[tree], within):
-                differ = ~(one["has"][x] & two["has"][y] & (one["label"][x] == two["label"][y]))
-                x, y = x[differ], y[differ]
+        def near(one, two, rows, others):
+            """Places in both of near rows."""
+            step = max(1, (1 << 20) // max(1, len(others)))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                x, y = np.nonzero(np.bitwise_count(one["fp"][part][:, None] ^ two["fp"][others][None, :]) <= errors)
+                yield part[x], others[y]
+
+        def common_labels(members, held):
+            """Labels of many rows of a leaf, each with the leaf's other rows."""
+            found, counts = np.unique(members["label"][held][members["has"][held]], return_counts=True)
+            return [(x, held[~members["has"][held] | (members["label"][held] != x)]) for x in found[counts >= COMMON]]
+
+        def between(one, two, leaves, mask, tree):
+            """Places in both of near rows that share a leaf; rows of a common label meet those without it only."""
+            common = {n: common_labels(two, held) for n, held in enumerate(leaves) if len(held) >= COMMON}
+            for start in range(0, len(one["fp"]), LED_ROWS):
+                row, leaf, _ = tree.visits(one["fp"][start : start + LED_ROWS] & mask)
+                order = np.argsort(leaf, kind="stable")
+                row, ends = row[order] + start, np.searchsorted(leaf[order], np.arange(len(leaves) + 1))
+                for number in np.flatnonzero(np.diff(ends)):
+                    rows = row[ends[number] : ends[number + 1]]
+                    for label, others in common.get(number, ()):
+                        theirs = one["has"][rows] & (one["label"][rows] == label)
+                        yield from near(one, two, rows[theirs], others)
+                        rows = rows[~theirs]
+                    yield from near(one, two, rows, leaves[number])
+
+        def links(one, two, fine, tree):
+            for x, y in between(one, two, fine.sampled, masks[tree], fine):
+                # The rows of a label are linked to it already, so its link stands for theirs.
+                a, b = one["to"][x], two["to"][y]
                 gap = one["fp"][x] ^ two["fp"][y]
-                earlier = np.zeros(len(x), dtype=bool)  # such a pair is found in an earlier tree
-                for mask in masks[:tree]:
-                    earlier |= np.bitwise_count(gap & mask) <= radius
-                a, b = one["rep"][x[~earlier]], two["rep"][y[~earlier]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                keep = a != b
+                for mask in masks[:tree]:  # such a pair is found in an earlier tree
+                    keep &= np.bitwise_count(gap & mask) > radius
+                if keep.any():
+                    both = np.unique(np.sort(np.stack([a[keep], b[keep]]), axis=0), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
         for table, ends in whole_groups(batches, ["key"]):
             for low, high in zip([0, *ends[:-1]], ends):
@@ -390,16 +405,18 @@ def _solve(forest, errors):
                     "has": label.is_valid().to_numpy(zero_copy_only=False),
                     "label": label.fill_null(0).to_numpy(),
                 }
+                columns["to"] = np.where(columns["has"], columns["label"], columns["rep"])
                 cut = int(np.searchsorted(visitor, True))
                 if not cut:
                     continue
                 members = {k: v[:cut] for k, v in columns.items()}
                 guests = {k: v[cut:] for k, v in columns.items()}
                 tree = group.column("tree")[0].as_py()
+                fine = _Tree(members["fp"] & masks[tree], radius, LEAST_MEMBERS)
                 if group.column("first")[0].as_py() and not (members["has"].all() and (members["label"] == members["label"][0]).all()):
-                    yield from links(members, members, tree, True)
+                    yield from links(members, members, fine, tree)
                 if len(guests["rep"]):
-                    yield from links(guests, members, tree, False)
+                    yield from links(guests, members, fine, tree)
 
     return run
 
