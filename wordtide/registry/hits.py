@@ -155,23 +155,20 @@ def text_concat(spark, sf):
     return P.joined_text_offsets(H.sentence_table(documents(spark, sf))).select("corpus_id", "sent_idx", "char_start")
 
 
-def sliced(spark, sf):
-    """Documents in slices for counting n-grams; repeated ids spread by their texts."""
-    return colloc.in_slices(table(spark, sf, "documents"), ["doc_id", "text"])
-
-
 def bigram_counts(spark, sf):
-    counts = colloc.ngram_counts(colloc.ngrams_of_texts(sliced(spark, sf), 2))
+    counts = colloc.ngram_counts(colloc.ngrams_of_texts(documents(spark, sf), 2))
     return colloc.frequent(counts, 3, colloc.without(["the"]))
 
 
 def bigram_counts_across(spark, sf):
-    stream = colloc.ngrams_of_stream(H.sentence_table(sliced(spark, sf)), 2, across_docs=True)
+    stream = colloc.ngrams_of_stream(H.sentence_table(documents(spark, sf)), 2, across_docs=True)
     return colloc.frequent(colloc.ngram_counts(stream), 3, colloc.without(["the"]))
 
 
 def trigram_counts(spark, sf):
-    return colloc.frequent(colloc.ngram_counts(colloc.ngrams_of_texts(sliced(spark, sf), 3)), 3)
+    # In slices for counting; repeated ids spread by their texts.
+    docs = colloc.in_slices(table(spark, sf, "documents"), ["doc_id", "text"])
+    return colloc.frequent(colloc.ngram_counts(colloc.ngrams_of_texts(docs, 3)), 3)
 
 
 def bigram_llr(spark, sf):
