@@ -385,6 +385,66 @@ def test_mixture_fit_and_criteria(spark):
     assert len(probs) == 60 and all(np.isclose(sum(r["prob"]), 1) for r in probs)
 
 
+def mixture_rows(fitted):
+    return {(r["word"], r["covariance"], r["k"]): r for r in fitted.collect()}
+
+
+def test_mixture_steps_in_tasks_need_no_jobs_of_their_own(spark):
+    _, df = points(spark, n=60, d=3, words=2)
+    jobs, sc = {}, spark.sparkContext
+    try:
+        for steps in (2, 14):
+            sc.setJobGroup(f"mixture-{steps}", "steps")
+            rows = mixture_rows(M.fit(df, ["word"], [2, 3], starts=2, max_iter=steps, tol=0.0, block_rows=20))
+            assert len(rows) == 16 and not any(r["converged"] for r in rows.values())
+            jobs[steps] = len(sc.statusTracker().getJobIdsForGroup(f"mixture-{steps}"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[14] - jobs[2]) < 6
+
+
+def test_mixture_of_large_words_equals_that_of_words_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # Some words have a few points, so that their covariances are singular.
+    sizes = {"w0": 90, "w1": 40, "w2": 7, "w3": 2}
+    rows = [(w, 100 * i + j, (rng.normal(size=4) + 6 * (j % 2)).tolist()) for i, (w, n) in enumerate(sizes.items()) for j in range(n)]
+    df = spark.createDataFrame(rows, "word string, usage_id long, vector array<double>")
+    args = (["word"], [2, 3])
+    whole = mixture_rows(M.fit(df, *args, starts=1, max_iter=40, block_rows=15))
+    assert {w for w, _, _ in whole} == {"w0", "w1", "w2"} and len(whole) == 24
+    # One word is held by tasks, the others take steps over their blocks, a part of the models at a time.
+    monkeypatch.setattr(M, "TASK_BYTES", 7 * 4 * 8)
+    monkeypatch.setattr(M, "STATE_BYTES", 4000)
+    parted = mixture_rows(M.fit(df, *args, starts=1, max_iter=40, block_rows=15))
+    assert set(parted) == set(whole)
+    for key, r in whole.items():
+        assert parted[key]["converged"] == r["converged"]
+        for c in ("weights", "means", "covariances", "log_likelihood", "aic", "bic"):
+            assert np.allclose(parted[key][c], r[c], rtol=1e-6, atol=1e-8), (key, c)
+
+
+@pytest.mark.parametrize("rounding", [0.0, 1e-9, 1.0])
+def test_mixture_totals_equal_those_of_plain_responsibilities(monkeypatch, rounding):
+    monkeypatch.setattr(M, "ROUNDING", rounding)
+    monkeypatch.setattr(M, "STATE_BYTES", 800)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1300, 5)) + np.arange(5)
+    models = [(kind, np.empty(0), x[rng.choice(1300, k, False)], np.empty(0)) for k in (2, 4) for kind in M.COVARIANCE_TYPES]
+    upper = np.triu_indices(5)
+    for _ in range(4):
+        found, moved = M._totals(x, models), []
+        for (kind, weights, means, flat), sums in zip(models, found):
+            share, likelihood = M._responsibilities(x, kind, weights, means, flat)
+            squares = x[:, upper[0]] * x[:, upper[1]]
+            second = {"full": share.T @ squares, "tied": squares.sum(axis=0)}.get(kind, share.T @ x**2)
+            plain = np.concatenate([[likelihood], share.sum(axis=0), (share.T @ x).ravel(), second.ravel()])
+            assert np.allclose(sums, plain, rtol=1e-9, atol=1e-9), kind
+            moved.append((kind, *M._next(kind, len(means), sums)))
+        scores = [sums[0] for sums in M._totals(x, models, moments=False)]
+        assert np.allclose(scores, [sums[0] for sums in found])
+        models = moved
+
+
 def test_projection_equals_principal_components(spark):
     x, df = points(spark, n=40, words=1)
     got = {r["usage_id"]: (r["x"], r["y"]) for r in V.project_2d(df, ["word"], block_rows=9).collect()}

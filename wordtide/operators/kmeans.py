@@ -28,6 +28,9 @@ STATE = ["start", "k", "cluster"]
 # Passes that draw candidates for seeds, and how many each draws as a multiple of the largest k.
 ROUNDS = 2
 EXTRA = 5
+# Steps of a fit at most, and the shift at which a model stands still.
+STEPS = 300
+SHIFT = 1e-4
 
 
 def start_centroids(
@@ -106,8 +109,8 @@ def lloyd(
     counts: DataFrame,
     models: DataFrame,
     group: Sequence[str],
-    max_iter: int = 300,
-    tol: float = 1e-4,
+    max_iter: int = STEPS,
+    tol: float = SHIFT,
     broadcast: bool = False,
 ) -> DataFrame:
     """Repeat assign and update until the packed centroids of every model stand still.
@@ -117,8 +120,7 @@ def lloyd(
     not merely reach max_iter.
     """
     group = list(group)
-    scale = F.col("variance") if "variance" in counts.columns else F.lit(1.0)
-    of = counts.select(*group, F.when(scale > 0, scale).otherwise(1.0).alias("_scale"), "blocks")
+    of = counts.select(*group, scale(counts).alias("_scale"), "blocks")
     scaled = cut_lineage(models.select(*group, "start", "k", "centroids").join(of, group), "models")
     alone = scaled.where("blocks = 1").drop("blocks")
     schema = "start int, k int, centroids array<double>, n array<double>, cost double, converged boolean"
@@ -141,6 +143,12 @@ def lloyd(
     return cut_lineage(ended.unionByName(rest.drop("shift")))
 
 
+def scale(counts: DataFrame) -> Column:
+    """What shifts of a group are measured by: its mean variance, 1 if that is 0 or unknown."""
+    known = F.col("variance") if "variance" in counts.columns else F.lit(1.0)
+    return F.when(known > 0, known).otherwise(1.0)
+
+
 def mean_variance(points: DataFrame, group: Sequence[str]) -> DataFrame:
     """group, variance: the mean over the dimensions of the variance of each."""
     spread = vector_to_array(Summarizer.variance(array_to_vector(F.col("vector"))))
@@ -246,11 +254,12 @@ def _models(table):
         yield start, k, np.asarray(centroids.values).reshape(k, -1)
 
 
-def _nearest(points, centroids):
+def _nearest(points, centroids, squares=None):
     import numpy as np
 
-    squares = (points**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1)[None, :]
-    gaps = np.maximum(squares - 2 * points @ centroids.T, 0.0)
+    own = (points**2).sum(axis=1) if squares is None else squares
+    sums = own[:, None] + (centroids**2).sum(axis=1)[None, :]
+    gaps = np.maximum(sums - 2 * (points @ centroids.T), 0.0)
     labels = gaps.argmin(axis=1)
     return labels, gaps[np.arange(len(points)), labels]
 
@@ -300,29 +309,15 @@ def _settle(max_iter, tol):
     """All steps of the models of points that are a single block."""
 
     def run(points, models):
-        import numpy as np
         import pyarrow as pa
 
-        vectors, rows = matrix(points, "vector"), []
-        for (start, k, centroids), scale in zip(_models(models), models.column("_scale").to_pylist()):
-            converged = False
-            for _ in range(max_iter):
-                labels, gaps = _nearest(vectors, centroids)
-                n = np.bincount(labels, minlength=k).astype("float64")
-                total = np.zeros_like(centroids)
-                np.add.at(total, labels, vectors)
-                moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
-                shift, centroids = ((moved - centroids) ** 2).sum() / scale, moved
-                if shift <= tol:
-                    converged = True
-                    break
-            rows.append((start, k, centroids.ravel(), n, gaps.sum(), converged))
+        rows = settled(matrix(points, "vector"), models, max_iter, tol)
         start, k, centroids, n, cost, converged = zip(*rows)
         many = pa.list_(pa.float64())
         return {
             "start": pa.array(start, "int32"),
             "k": pa.array(k, "int32"),
-            "centroids": pa.array(centroids, many),
+            "centroids": pa.array([c.ravel() for c in centroids], many),
             "n": pa.array(n, many),
             "cost": pa.array(cost, "float64"),
             "converged": pa.array(converged),
@@ -331,6 +326,31 @@ def _settle(max_iter, tol):
     return run
 
 
+def settled(vectors, models, max_iter=STEPS, tol=SHIFT):
+    """start, k, centroids, n, cost, whether converged of each model after all its steps."""
+    import numpy as np
+
+    rows, squares = [], (vectors**2).sum(axis=1)
+    finite = np.isfinite(squares).all()
+    for (start, k, centroids), scale in zip(_models(models), models.column("_scale").to_pylist()):
+        converged, ones = False, np.eye(k)
+        for _ in range(max_iter):
+            labels, gaps = _nearest(vectors, centroids, squares)
+            n = np.bincount(labels, minlength=k).astype("float64")
+            if finite:
+                total = ones[labels].T @ vectors
+            else:  # A point that is no number is one of its own cluster only.
+                total = np.zeros_like(centroids)
+                np.add.at(total, labels, vectors)
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
+            shift, centroids = ((moved - centroids) ** 2).sum() / scale, moved
+            if shift <= tol:
+                converged = True
+                break
+        rows.append((start, k, centroids, n, gaps.sum(), converged))
+    return rows
+
+
 def _candidates(models, dims):
     """start and the matrix of candidates of each row."""
     import numpy as np
